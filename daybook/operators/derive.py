@@ -45,7 +45,13 @@ def session_numbers(
 
 def session_id(user: Column, session_idx: Column) -> Column:
     """``<user>_sess_<number>``, the number padded to at least four digits."""
-    return F.format_string("%s_sess_%04d", user.cast("string"), session_idx)
+    return F.concat(user.cast("string"), F.lit("_sess_"), padded(session_idx, 4))
+
+
+def padded(number: Column, digits: int) -> Column:
+    """Number as text with leading zeros; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.when(number < 10 ** (digits - 1), F.lpad(text, digits, "0")).otherwise(text)
 
 
 def assign_sessions(
@@ -211,15 +217,15 @@ def due_window(task: DataFrame, period_end: Column) -> DataFrame:
 
 
 def user_key(number: Column) -> Column:
-    return F.format_string("user_%06d", number)
+    return F.concat(F.lit("user_"), padded(number, 6))
 
 
 def task_key(number: Column) -> Column:
-    return F.format_string("task_%08d", number)
+    return F.concat(F.lit("task_"), padded(number, 8))
 
 
 def log_key(number: Column) -> Column:
-    return F.format_string("log_%010d", number)
+    return F.concat(F.lit("log_"), padded(number, 10))
 
 
 def postponed_tasks(events: DataFrame) -> DataFrame:

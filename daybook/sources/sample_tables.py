@@ -112,9 +112,10 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("create_task").alias("event_type"),
         F.col("o_orderkey").alias("task_id"),
         _list_id().alias("list_id"),
-        F.format_string(
-            '{"action_duration": %d, "due_date": null, "has_reminder": true}',
+        F.concat(
+            F.lit('{"action_duration": '),
             F.col("o_orderkey") % 118 + 3,
+            F.lit(', "due_date": null, "has_reminder": true}'),
         ).alias("attributes"),
         *_client(F.col("o_orderkey")),
     )
@@ -128,16 +129,16 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(flag == "N", "complete_task").when(flag == "R", "delete_task").otherwise("edit_task").alias("event_type"),
         F.col("l_orderkey").alias("task_id"),
         _list_id().alias("list_id"),
-        F.when(
-            flag == "A",
-            F.format_string(
-                '{"action_duration": %d, "new_priority": "high", "new_due_date": "%s"}',
-                "l_linenumber",
-                F.col("l_shipdate").cast("date").cast("string"),
-            ),
-        )
-        .otherwise(F.format_string('{"action_duration": %d, "new_priority": "high"}', "l_linenumber"))
-        .alias("attributes"),
+        F.concat(
+            F.lit('{"action_duration": '),
+            "l_linenumber",
+            F.lit(', "new_priority": "high"'),
+            F.when(
+                flag == "A",
+                F.concat(F.lit(', "new_due_date": "'), F.col("l_shipdate").cast("date"), F.lit('"')),
+            ).otherwise(""),
+            F.lit("}"),
+        ).alias("attributes"),
         *_client(F.col("l_partkey")),
     )
     return created.unionByName(touched).unionByName(app_events(spark, folder))
