@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # A fact side below this many source bytes fits a few tasks even on one key.
 SMALL_FACT_BYTES = 256 * 1024 * 1024
 # Rows of one key that a single join task should see at most.
-ROWS_PER_SPLIT = 4_000_000
+ROWS_PER_SPLIT = 1_000_000
 # Keys salted at most. Any further key holds under 1/1000 of all rows.
 MAX_HOT_KEYS = 1000
 # Slots over which rows without a key are spread.
@@ -35,12 +35,19 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
+def key_counts(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Rows per key, as ``lookup_join`` takes them."""
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
     on: str | Sequence[str],
-    spread: str | Sequence[str],
+    spread: str | Sequence[str] | None,
     counts: DataFrame | None = None,
+    split_nulls: bool = False,
     broadcast_bytes: int | None = None,
     small_fact_bytes: int = SMALL_FACT_BYTES,
     rows_per_split: int = ROWS_PER_SPLIT,
@@ -50,44 +57,60 @@ def lookup_join(
     * dimension within the broadcast limit: broadcast it, no shuffle;
     * fact side small: plain shuffled join;
     * otherwise: shuffled join in which the heaviest keys are salted over
-      several tasks (their dimension rows are copied once per salt) and rows
-      without a key are spread, since they never match.
+      several tasks, their dimension rows being copied once per salt.
 
     ``spread`` names fact columns that vary within a key; the salt is a hash of
-    them, so a retried task deals its rows the same way. ``counts`` may give
-    the rows per key (columns ``on`` + ``n``) where they are known already.
+    them, so a retried task deals its rows the same way. None means that a key
+    has few rows in ``fact`` by construction, and nothing is salted. ``counts``
+    may give the rows per key, or an upper bound (columns ``on`` + ``n``).
+
+    Rows without a key match nothing. They are dealt to all tasks, or with
+    ``split_nulls`` kept out of the shuffle, at the price of a second scan:
+    right for a stored fact table in which they are many.
     """
     keys = [on] if isinstance(on, str) else list(on)
     limit = broadcast_limit(fact) if broadcast_bytes is None else broadcast_bytes
     if source_bytes(dim) <= limit:
         return fact.join(F.broadcast(dim), keys, "left")
-    if source_bytes(fact) <= small_fact_bytes:
+    if spread is None or source_bytes(fact) <= small_fact_bytes:
         return fact.join(dim, keys, "left")
     spread = [spread] if isinstance(spread, str) else list(spread)
-    return _salted_left_join(fact, dim, keys, spread, counts, rows_per_split)
+    if counts is None:
+        counts = key_counts(fact, keys)
+    keyless = F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    hot = _hot_keys(counts.filter(~keyless), keys, rows_per_split)
+    if not split_nulls:
+        return _salted_left_join(fact, dim, keys, spread, hot, keyless)
+    added = [
+        F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema if f.name not in keys
+    ]
+    matched = _salted_left_join(fact.filter(~keyless), dim, keys, spread, hot, keyless)
+    return matched.unionByName(fact.filter(keyless).select("*", *added))
 
 
-def _salted_left_join(fact, dim, keys, spread, counts, rows_per_split) -> DataFrame:
-    some_null = " OR ".join(f"`{k}` IS NULL" for k in keys)
-    if counts is None:
-        counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(
-        counts.filter(f"n > {rows_per_split} AND NOT ({some_null})")
+def _hot_keys(counts: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
+    """The heaviest keys and the number of tasks each is dealt to; bounded rows."""
+    return (
+        counts.filter(F.col("n") > rows_per_split)
         .orderBy(F.desc("n"))
         .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("n") / rows_per_split).cast("int").alias("_splits"))
+        .select(*keys, F.ceil(F.col("n") / rows_per_split).cast("bigint").alias("_splits"))
     )
+
+
+def _salted_left_join(
+    fact: DataFrame, dim: DataFrame, keys: list[str], spread: list[str], hot: DataFrame, keyless
+) -> DataFrame:
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     dealt_to = F.xxhash64(*spread)
-    dealt = fact.join(hot, keys, "left").withColumn(
+    dealt = fact.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
-        F.when(F.expr(some_null), F.pmod(dealt_to, F.lit(NULL_SLOTS)))
-        .when(F.col("_splits").isNotNull(), F.pmod(dealt_to, F.col("_splits").cast("bigint")))
-        .otherwise(F.lit(0).cast("bigint")),
+        F.when(keyless, F.pmod(dealt_to, F.lit(NULL_SLOTS)))
+        .when(F.col("_splits").isNotNull(), F.pmod(dealt_to, F.col("_splits")))
+        .otherwise(zero),
     )
-    one = F.lit(1).cast("bigint")
-    last = F.coalesce(F.col("_splits").cast("bigint"), one) - one
-    copies = dim.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(last - last, last))
+    copies = dim.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(zero, F.coalesce("_splits", one) - one))
     )
     joined = dealt.drop("_splits").join(copies.drop("_splits"), [*keys, "_salt"], "left")
     return joined.drop("_salt")

@@ -75,18 +75,21 @@ def activity_trend(
         .groupBy("date")
         .agg(F.max("active").alias("active"), *[F.sum(n).alias(n) for n in names])
     )
-    # Ends may fall after the last active day; the spine stops there.
-    active_days = changes.filter("active")
-    spine = active_days.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi")).alias("date")
-    )
-    # One row per calendar day from here on.
-    running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0).cast("bigint")
-    return spine.join(changes, "date", "left").select(
-        "date",
-        F.coalesce("dau", zero).alias("dau"),
-        *[F.sum(F.coalesce(F.col(n), zero)).over(running).alias(n) for n in windows],
+    # At most one row per calendar day from here on. Each row stands for the days
+    # up to the next change; ends after the last active day are dropped.
+    in_order = Window.orderBy("date")
+    last_day = F.max(F.when(F.col("active"), F.col("date"))).over(Window.partitionBy(F.lit(1)))
+    held = changes.select(
+        F.col("date").alias("start"),
+        F.lead("date").over(in_order).alias("next_start"),
+        last_day.alias("last_day"),
+        "dau",
+        *[F.sum(n).over(in_order).alias(n) for n in windows],
+    ).filter("start <= last_day")
+    end = F.least(F.date_sub("next_start", 1), F.col("last_day"))
+    changed = F.col("date") == F.col("start")
+    return held.select("*", F.explode(F.sequence(F.col("start"), end)).alias("date")).select(
+        "date", F.when(changed, F.col("dau")).otherwise(F.lit(0)).alias("dau"), *windows
     )
 
 

@@ -12,34 +12,45 @@ from daybook.functions.times import time_slot
 from daybook.functions.values import date_from_text
 
 
-def session_numbers(
-    events: DataFrame,
-    user: str = "user_id",
-    time: str = "event_time",
-    max_gap_minutes: int = 30,
-) -> DataFrame:
-    """Ordinal session of every (user, slot), a slot being as wide as the gap.
-
-    Two events in one slot are never more than the gap apart, so a slot belongs
-    to one session, and a session can only start at the first event of a slot.
-    Only the first and last time per slot are needed: the rows of a hot user
-    combine before the shuffle, and the window sees slots instead of events.
-    """
-    seconds = max_gap_minutes * 60
-    slots = (
-        events.groupBy(user, time_slot(F.col(time), seconds).alias("slot"))
+def user_slots(events: DataFrame, user: str, time: str, max_gap_minutes: int) -> DataFrame:
+    """First and last time and rows of every (user, slot), a slot as wide as the gap."""
+    slot = time_slot(F.col(time), max_gap_minutes * 60)
+    return (
+        events.select(user, time, slot.alias("slot"))
+        .filter(F.col(user).isNotNull() & F.col("slot").isNotNull())
+        .groupBy(user, "slot")
         .agg(
             F.min(time).alias("first_time"),
             F.max(time).alias("last_time"),
             F.count(F.lit(1)).alias("n"),
         )
+        # Always true. With the filter above it makes every use of the slots read the
+        # same rows and columns, so that Spark sees one shuffle and runs it once.
+        .filter("n > 0 AND first_time <= last_time")
     )
+
+
+def session_numbers(slots: DataFrame, user: str, max_gap_minutes: int) -> DataFrame:
+    """Ordinal session of every (user, slot).
+
+    Two events in one slot are never more than the gap apart, so a slot belongs
+    to one session, and a session can only start at the first event of a slot.
+    Only the first and last time per slot are needed: the rows of a hot user
+    combine before the shuffle, and the window sees slots instead of events.
+    """
     in_order = Window.partitionBy(user).orderBy("slot")
-    pause = F.col("first_time") - F.lag("last_time").over(in_order)
     gap = F.expr(f"INTERVAL '{max_gap_minutes}' MINUTE")
-    starts = F.when(pause.isNull() | (pause > gap), 1).otherwise(0).cast("bigint")
-    return slots.withColumn("starts", starts).select(
-        user, "slot", "n", F.sum("starts").over(in_order).alias("session_idx")
+    # With a slot in between the pause is over the limit; only neighbours are measured.
+    apart = F.col("last_slot").isNull() | (F.col("slot") > F.col("last_slot") + 1)
+    starts = (
+        F.when(apart, 1).when(F.col("first_time") - F.col("before") > gap, 1).otherwise(0)
+    )
+    return (
+        slots.withColumns(
+            {"last_slot": F.lag("slot").over(in_order), "before": F.lag("last_time").over(in_order)}
+        )
+        .withColumn("starts", starts.cast("bigint"))
+        .select(user, "slot", F.sum("starts").over(in_order).alias("session_idx"))
     )
 
 
@@ -67,14 +78,14 @@ def assign_sessions(
     ``spread`` names columns that vary among the events of one user (default:
     the event time), used where a slot is too large for one task.
     """
-    numbers = session_numbers(events, user, time, max_gap_minutes)
+    slots = user_slots(events, user, time, max_gap_minutes)
     rows = events.withColumn("slot", time_slot(F.col(time), max_gap_minutes * 60))
     joined = lookup_join(
         rows,
-        numbers.drop("n"),
+        session_numbers(slots, user, max_gap_minutes),
         [user, "slot"],
         spread or time,
-        counts=numbers.select(user, "slot", "n"),
+        counts=slots.select(user, "slot", "n"),
         **join_options,
     )
     columns = [c for c in events.columns if c != "session_id"]
@@ -253,37 +264,38 @@ def event_transitions(
     """Counts of consecutive event types (from, to) within a session.
 
     A session may hold any share of the log, so it is cut into chunks of time.
-    Pairs inside a chunk come from a window over the chunk; the pair across
-    two chunks joins the last event of one to the first of the next, found
-    from one combined row per chunk.
+    Pairs inside a chunk come from a window over the chunk. The pair across two
+    chunks joins the last event of one to the first of the next; only these
+    outer events of the chunks are ordered per session.
     """
     rows = events.filter(F.col(session).isNotNull()).select(
         F.col(session).alias("session"),
         time_slot(F.col(time), chunk_seconds).alias("chunk"),
         F.struct(F.col(time).alias("at"), F.col(tie).alias("tie")).alias("place"),
-        "event_type",
+        F.col("event_type").alias("from_event"),
     )
     in_chunk = Window.partitionBy("session", "chunk").orderBy("place")
-    inner = (
-        rows.withColumn("to_event", F.lead("event_type").over(in_chunk))
-        .filter("to_event IS NOT NULL")
-        .groupBy(F.col("event_type").alias("from_event"), "to_event")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = F.struct("place", "event_type")
-    chunks = rows.groupBy("session", "chunk").agg(
-        F.min(placed).alias("first"), F.max(placed).alias("last")
+    placed = rows.withColumns(
+        {
+            "to_event": F.lead("from_event").over(in_chunk),
+            "is_first": F.row_number().over(in_chunk) == 1,
+            "is_last": F.lead(F.lit(True), 1, False).over(in_chunk) == F.lit(False),
+        }
     )
-    across = Window.partitionBy("session").orderBy("chunk")
+    across = Window.partitionBy("session").orderBy("chunk", "place")
     outer = (
-        chunks.select(
-            F.col("last.event_type").alias("from_event"),
-            F.lead("first.event_type").over(across).alias("to_event"),
-        )
-        .filter("to_event IS NOT NULL")
+        placed.filter("is_first OR is_last")
+        .withColumn("to_event", F.lead("from_event").over(across))
+        .filter("is_last")
+    )
+    inner = placed.filter("NOT is_last")
+    pairs = [
+        part.filter("to_event IS NOT NULL")
         .groupBy("from_event", "to_event")
         .agg(F.count(F.lit(1)).alias("n"))
-    )
+        for part in (inner, outer)
+    ]
+    inner, outer = pairs
     return (
         inner.unionByName(outer)
         .groupBy("from_event", "to_event")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.lookups import lookup_join
+from daybook.functions.lookups import key_counts, lookup_join
 from daybook.functions.times import second_diff
 from daybook.functions.values import soft_bool, soft_int
 
@@ -76,8 +76,15 @@ def event_raw(log: DataFrame, user: DataFrame, task: DataFrame, **join_options)
         "task_status",
     )
     events = typed_events(log)
-    events = lookup_join(events, users, "user_id", spread="event_id", **join_options)
-    events = lookup_join(events, tasks, "task_id", spread="event_id", **join_options)
+    # Most events have no task; where the task join has to shuffle, they stay out.
+    events = lookup_join(
+        events, tasks, "task_id", spread="event_id", counts=key_counts(log, "task_id"),
+        split_nulls=True, **join_options,
+    )
+    events = lookup_join(
+        events, users, "user_id", spread="event_id", counts=key_counts(log, "user_id"),
+        **join_options,
+    )
     events = events.withColumn("attribute", attribute_columns(F.col("attributes")))
     read = [
         READERS[kind](F.col(f"attribute.{key}")).alias(name)
@@ -124,7 +131,11 @@ def task_lifecycle(
     tasks = task.select(
         "task_id", "priority", "has_reminder", "has_subtask", "task_status", "due_date"
     )
-    joined = lookup_join(stats, tasks, "task_id", spread="user_id", **join_options)
+    # The events of a task bound its rows here, and are cheaper to count.
+    joined = lookup_join(
+        stats, tasks, "task_id", spread="user_id", counts=key_counts(events, "task_id"),
+        **join_options,
+    )
     overdue = F.col("last_update_time").cast("date") > F.col("due_date").cast("date")
     return joined.select(
         "task_id",

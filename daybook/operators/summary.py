@@ -27,7 +27,9 @@ def user_active_1d(events: DataFrame, user: DataFrame, **join_options) -> DataFr
     """Activity per known user and day; events of unknown users share a NULL user."""
     known = user.select("user_id", F.col("user_id").alias("known_user"))
     rows = events.select("user_id", "event_time", "event_type", "session_id", "task_id")
-    rows = lookup_join(rows, known, "user_id", spread=["event_time", "session_id", "task_id"], **join_options)
+    rows = lookup_join(
+        rows, known, "user_id", spread=["event_time", "session_id", "task_id"], **join_options
+    )
     daily = rows.groupBy(F.col("known_user").alias("user_id"), _day().alias("stat_date")).agg(
         F.count(F.lit(1)).alias("event_cnt"),
         F.count_distinct("session_id").alias("session_cnt"),
@@ -153,7 +155,7 @@ def channel_region_summary(events: DataFrame, user: DataFrame, **join_options) -
     )
     users = user.select("user_id", "register_channel", "province", "city")
     return (
-        lookup_join(active, users, "user_id", spread="stat_date", **join_options)
+        lookup_join(active, users, "user_id", spread=None, **join_options)
         .groupBy("stat_date", "register_channel", "province", "city")
         .agg(
             F.count("user_id").alias("active_user_cnt"),
@@ -168,16 +170,14 @@ def new_old_user_summary(active: DataFrame) -> DataFrame:
     ``active`` has one row per user and day. First days are counted from a
     minimum per user; the others of a day are not new.
     """
+    known = F.col("user_id").isNotNull().cast("int")
     first = (
-        active.filter(F.col("user_id").isNotNull())
-        .groupBy("user_id")
+        active.groupBy("user_id")
         .agg(F.min("active_date").alias("stat_date"))
-        .select("stat_date", F.lit(1).alias("new"), F.lit(0).alias("seen"))
+        .select("stat_date", known.alias("new"), F.lit(0).alias("seen"))
     )
     seen = active.select(
-        F.col("active_date").alias("stat_date"),
-        F.lit(0).alias("new"),
-        F.col("user_id").isNotNull().cast("int").alias("seen"),
+        F.col("active_date").alias("stat_date"), F.lit(0).alias("new"), known.alias("seen")
     )
     return (
         first.unionByName(seen)
@@ -256,7 +256,8 @@ def user_feature_usage_summary(
     touched = events.groupBy(_day().alias("stat_date"), "task_id").agg(
         F.count(F.lit(1)).alias("k")
     )
-    pairs = lookup_join(touched, weights, "task_id", spread="stat_date", **join_options)
+    # A task has at most one row per day here.
+    pairs = lookup_join(touched, weights, "task_id", spread=None, **join_options)
 
     def rate(name: str) -> Column:
         hits = F.sum(F.col("k") * F.coalesce(F.col(name), F.lit(0)))
