@@ -29,12 +29,17 @@ def source_bytes(df: DataFrame) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
+    """The session's ``autoBroadcastJoinThreshold`` in bytes (negative: never)."""
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     text = text.strip().lower().removesuffix("b")
     units = {"k": 1024, "m": 1024**2, "g": 1024**3}
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
+def fits_broadcast(dim: DataFrame) -> bool:
+    return source_bytes(dim) <= broadcast_limit(dim)
+
+
 def key_counts(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows per key, as ``lookup_join`` takes them."""
     keys = [on] if isinstance(on, str) else list(on)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook import schemas
+from daybook.functions.lookups import fits_broadcast
 from daybook.operators import activity, detail, features, lifecycle, quality, summary
+from daybook.session import size_shuffles
 from daybook.sources import catalog, files
 
 Frames = dict[str, DataFrame]
@@ -129,16 +131,23 @@ def run(spark: SparkSession, raw_folder: str, out_folder: str, copies: bool = Fa
     """
     out = out_folder.rstrip("/")
     raw = read_raw(spark, raw_folder)
+    size_shuffles(spark, raw["ods_todo_event_log"], raw["dim_task"], raw["dim_user"])
     lazy = detail_layer(raw)
 
+    # Where both dimensions are broadcast, tasks keep the days of the raw log.
+    shuffled = not (fits_broadcast(raw["dim_user"]) and fits_broadcast(raw["dim_task"]))
     stored: Frames = {
-        "event_raw": files.publish(lazy["event_raw"], f"{out}/detail", "event_raw", "event_date")
+        "event_raw": files.publish(
+            lazy["event_raw"], f"{out}/detail", "event_raw", "event_date", rebalance=shuffled
+        )
     }
     clean = detail.event_clean(stored["event_raw"])
     views = {"event_clean": clean, "dwd_todo_event_detail": detail.event_detail(clean)}
     for name, view in views.items():
         stored[name] = (
-            files.publish(view, f"{out}/detail", name, "event_date") if copies else view
+            files.publish(view, f"{out}/detail", name, "event_date", rebalance=False)
+            if copies
+            else view
         )
     for name in ("dwd_task_lifecycle", "dwd_user_active_detail"):
         stored[name] = files.publish(lazy[name], f"{out}/detail", name)

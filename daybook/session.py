@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from daybook.functions.lookups import source_bytes
+
+# Input bytes per shuffle partition before adaptive execution merges small ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+# Most shuffle partitions set; sources of unknown size would ask for more.
+MAX_PARTITIONS = 100_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +49,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/daybook-{uuid.uuid4().hex}/{name}"
+
+
+def size_shuffles(spark: SparkSession, *sources: DataFrame) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` to suit the size of the sources.
+
+    Adaptive execution joins partitions that turn out small but splits only
+    skewed joins, so the number has to be large enough from the start.
+    """
+    needed = math.ceil(sum(source_bytes(df) for df in sources) / PARTITION_BYTES)
+    present = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(min(needed, MAX_PARTITIONS), present)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return partitions

@@ -59,14 +59,17 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, partition: str = schemas.EVENT_PARTITION) -> None:
+def write_partitioned(
+    df: DataFrame, path: str, partition: str = schemas.EVENT_PARTITION, rebalance: bool = True
+) -> None:
     """One directory per partition value; a rerun replaces only the days it holds.
 
     Rows are rebalanced by the partition value: small days come together, and a
-    day too large for one task is split into several files.
+    day too large for one task is split into several files. A frame whose tasks
+    hold few days each already (a scan of a day-partitioned table) needs none.
     """
     (
-        df.hint("rebalance", partition)
+        (df.hint("rebalance", partition) if rebalance else df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
@@ -74,13 +77,15 @@ def write_partitioned(df: DataFrame, path: str, partition: str = schemas.EVENT_P
     )
 
 
-def publish(df: DataFrame, folder: str, name: str, partition: str | None = None) -> DataFrame:
+def publish(
+    df: DataFrame, folder: str, name: str, partition: str | None = None, rebalance: bool = True
+) -> DataFrame:
     """Store a derived table and return the frame that reads the stored copy."""
     path = f"{folder.rstrip('/')}/{name}"
     if partition is None:
         write_table(df, path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
-    write_partitioned(df, path, partition)
+    write_partitioned(df, path, partition, rebalance)
     stored = StructType([f for f in df.schema if f.name != partition]).add(df.schema[partition])
     return df.sparkSession.read.schema(stored).parquet(path).select(*df.columns)
 

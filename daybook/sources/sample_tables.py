@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.functions.lookups import lookup_join
 from daybook.operators.derive import assign_sessions
 from daybook.schemas import columns
 from daybook.sources.files import read_table
@@ -121,8 +122,9 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     lines = sample(spark, folder, "lineitem")
     flag = F.col("l_returnflag")
-    owner = orders.select("o_orderkey", "o_custkey")
-    touched = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    owner = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderkey", "o_custkey")
+    owned = lookup_join(lines, owner, "l_orderkey", spread=["l_partkey", "l_suppkey"])
+    touched = owned.filter(F.col("o_orderkey").isNotNull()).select(
         F.concat_ws("_", F.concat(F.lit("l"), F.col("l_orderkey")), "l_linenumber", "l_partkey").alias("log_id"),
         F.when(flag == "A", F.col("l_suppkey")).otherwise(F.col("o_custkey")).alias("user_id"),
         F.col("l_shipdate").alias("event_time"),

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from daybook import schemas
+from daybook import schemas, session
 from daybook.operators import detail, quality
 from daybook.plans import layers
 from daybook.sources import catalog, files
@@ -180,6 +180,17 @@ def test_duplicates(rows, options):
     assert [tuple(r) for r in out.collect()] == [(None, 3), (None, 4), ("a", 1), ("a", 2)]
 
 
+def test_shuffles_are_sized_by_the_sources(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        monkeypatch.setattr(session, "source_bytes", lambda df: 40 * session.PARTITION_BYTES)
+        assert session.size_shuffles(spark, spark.range(1), spark.range(1)) == 80
+        monkeypatch.setattr(session, "source_bytes", lambda df: 1)
+        assert session.size_shuffles(spark, spark.range(1)) == 80
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_guards(rows):
     frame = rows("x int", (1,), (2,))
     assert quality.require_row_count(frame, 1, 2) == 2
