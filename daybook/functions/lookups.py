@@ -17,15 +17,22 @@ MAX_HOT_KEYS = 1000
 NULL_SLOTS = 4096
 
 
-def source_bytes(df: DataFrame) -> int:
+# Size of a source that does not tell it.
+UNKNOWN_BYTES = 1 << 62
+
+
+def source_bytes(df: DataFrame, pruned: bool = True) -> int:
     """Total size of the sources ``df`` reads, from Catalyst's statistics.
 
     An upper guide to the size of a frame that filters, projects, aggregates or
     looks up its sources without multiplying their rows. Frames built from
-    local rows report Spark's "unknown" size, which counts as large.
+    local rows report Spark's "unknown" size, which counts as large. With
+    ``pruned`` the plan is optimized first, so that partition filters count.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    query = df._jdf.queryExecution()
+    leaves = (query.optimizedPlan() if pruned else query.analyzed()).collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(sum(sizes), UNKNOWN_BYTES)
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -36,8 +43,10 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def fits_broadcast(dim: DataFrame) -> bool:
-    return source_bytes(dim) <= broadcast_limit(dim)
+def fits_broadcast(dim: DataFrame, limit: int | None = None) -> bool:
+    """Whether the sources of ``dim`` are within the broadcast limit."""
+    limit = broadcast_limit(dim) if limit is None else limit
+    return any(source_bytes(dim, pruned) <= limit for pruned in (False, True))
 
 
 def key_counts(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -74,8 +83,7 @@ def lookup_join(
     right for a stored fact table in which they are many.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    limit = broadcast_limit(fact) if broadcast_bytes is None else broadcast_bytes
-    if source_bytes(dim) <= limit:
+    if fits_broadcast(dim, broadcast_bytes):
         return fact.join(F.broadcast(dim), keys, "left")
     if spread is None or source_bytes(fact) <= small_fact_bytes:
         return fact.join(dim, keys, "left")

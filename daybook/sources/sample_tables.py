@@ -6,7 +6,7 @@ and events together for the event log.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.lookups import lookup_join
@@ -36,127 +36,112 @@ def sample(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder.rstrip('/')}/{name}.parquet", SCHEMAS[name])
 
 
-def _pick(number: Column, *values: str) -> Column:
-    """One of ``values`` by ``number`` modulo their count."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
-
-
-def _remainder_below(column: str, modulus: int, limit: int) -> Column:
-    return F.col(column) % modulus < limit
+def _pick(number: str, *values: str) -> str:
+    """SQL for one of ``values`` by ``number`` modulo their count."""
+    texts = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({texts}), CAST({number} % {len(values)} + 1 AS INT))"
 
 
 def dim_user(spark: SparkSession, folder: str) -> DataFrame:
-    balance, key = F.col("c_acctbal"), F.col("c_custkey")
-    customer = sample(spark, folder, "customer")
     # nation and region have 25 and 5 rows at every scale.
     places = sample(spark, folder, "nation").join(
-        F.broadcast(sample(spark, folder, "region")),
-        F.col("n_regionkey") == F.col("r_regionkey"),
+        F.broadcast(sample(spark, folder, "region")), F.expr("n_regionkey = r_regionkey")
     )
-    return customer.join(
-        F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select(
-        key.alias("user_id"),
-        F.lit(None).cast("string").alias("register_time"),
-        F.when(_remainder_below("c_custkey", 20, 13), "old_user").otherwise("new_user").alias("user_group"),
-        F.when(balance < 3000, "free").when(balance < 7000, "standard").otherwise("vip").alias("user_level"),
-        _pick(key, "low_frequency", "normal", "normal", "high_frequency").alias("user_type"),
-        _pick(key, "male", "female").alias("gender"),
-        _pick(key, "18-24", "25-34", "35-44", "45-54", "55+").alias("age_group"),
-        F.col("r_name").alias("province"),
-        F.col("n_name").alias("city"),
-        _remainder_below("c_custkey", 25, 17).alias("is_active"),
-        F.col("c_mktsegment").alias("register_channel"),
+    customer = sample(spark, folder, "customer")
+    return customer.join(F.broadcast(places), F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "c_custkey AS user_id",
+        "CAST(NULL AS STRING) AS register_time",
+        "CASE WHEN c_custkey % 20 < 13 THEN 'old_user' ELSE 'new_user' END AS user_group",
+        "CASE WHEN c_acctbal < 3000 THEN 'free' WHEN c_acctbal < 7000 THEN 'standard' ELSE 'vip' END"
+        " AS user_level",
+        _pick("c_custkey", "low_frequency", "normal", "normal", "high_frequency") + " AS user_type",
+        _pick("c_custkey", "male", "female") + " AS gender",
+        _pick("c_custkey", "18-24", "25-34", "35-44", "45-54", "55+") + " AS age_group",
+        "r_name AS province",
+        "n_name AS city",
+        "c_custkey % 25 < 17 AS is_active",
+        "c_mktsegment AS register_channel",
     )
 
 
-def _list_id() -> Column:
-    return F.col("o_custkey") * 10 + F.col("o_orderkey") % 5
+LIST_ID = "o_custkey * 10 + o_orderkey % 5 AS list_id"
 
 
 def dim_task(spark: SparkSession, folder: str) -> DataFrame:
-    key, status, created = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderdate")
-    due = F.date_add(created.cast("date"), (key % 31).cast("int"))
-    done = status == "F"
-    return sample(spark, folder, "orders").select(
-        key.alias("task_id"),
-        F.col("o_custkey").alias("user_id"),
-        _list_id().alias("list_id"),
-        F.lit(None).cast("string").alias("task_title"),
-        F.col("o_orderpriority").alias("priority"),
-        F.when(_remainder_below("o_orderkey", 100, 68), due.cast("string")).alias("due_date"),
-        created.alias("create_time"),
-        F.when(done, created + F.make_dt_interval(hours=(key % 72).cast("int"))).alias("complete_time"),
-        done.alias("is_completed"),
-        _remainder_below("o_orderkey", 25, 9).alias("has_subtask"),
-        _remainder_below("o_orderkey", 50, 21).alias("has_reminder"),
-        F.when(done, "completed").when(status == "O", "active").otherwise("deleted").alias("task_status"),
+    return sample(spark, folder, "orders").selectExpr(
+        "o_orderkey AS task_id",
+        "o_custkey AS user_id",
+        LIST_ID,
+        "CAST(NULL AS STRING) AS task_title",
+        "o_orderpriority AS priority",
+        "CASE WHEN o_orderkey % 100 < 68"
+        " THEN CAST(date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 31 AS INT)) AS STRING)"
+        " END AS due_date",
+        "o_orderdate AS create_time",
+        "CASE WHEN o_orderstatus = 'F'"
+        " THEN o_orderdate + make_dt_interval(0, CAST(o_orderkey % 72 AS INT)) END AS complete_time",
+        "o_orderstatus = 'F' AS is_completed",
+        "o_orderkey % 25 < 9 AS has_subtask",
+        "o_orderkey % 50 < 21 AS has_reminder",
+        "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'deleted' END"
+        " AS task_status",
     )
 
 
-def _client(number: Column) -> list[Column]:
+def _client(number: str) -> list[str]:
     return [
-        _pick(number, "mobile", "tablet", "desktop").alias("device_type"),
-        _pick(number, "android", "ios", "windows", "macos").alias("os"),
-        _pick(number, "3.0.1", "3.1.0", "3.1.2", "3.2.0", "3.2.1").alias("app_version"),
-        _pick(number, "wifi", "4g", "5g").alias("network_type"),
+        _pick(number, "mobile", "tablet", "desktop") + " AS device_type",
+        _pick(number, "android", "ios", "windows", "macos") + " AS os",
+        _pick(number, "3.0.1", "3.1.0", "3.1.2", "3.2.0", "3.2.1") + " AS app_version",
+        _pick(number, "wifi", "4g", "5g") + " AS network_type",
     ]
 
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """The combined log without sessions."""
     orders = sample(spark, folder, "orders")
-    created = orders.select(
-        F.concat(F.lit("c"), F.col("o_orderkey")).alias("log_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").alias("event_time"),
-        F.lit("create_task").alias("event_type"),
-        F.col("o_orderkey").alias("task_id"),
-        _list_id().alias("list_id"),
-        F.concat(
-            F.lit('{"action_duration": '),
-            F.col("o_orderkey") % 118 + 3,
-            F.lit(', "due_date": null, "has_reminder": true}'),
-        ).alias("attributes"),
-        *_client(F.col("o_orderkey")),
+    created = orders.selectExpr(
+        "concat('c', o_orderkey) AS log_id",
+        "o_custkey AS user_id",
+        "o_orderdate AS event_time",
+        "'create_task' AS event_type",
+        "o_orderkey AS task_id",
+        LIST_ID,
+        """concat('{"action_duration": ', o_orderkey % 118 + 3,"""
+        """ ', "due_date": null, "has_reminder": true}') AS attributes""",
+        *_client("o_orderkey"),
     )
     lines = sample(spark, folder, "lineitem")
-    flag = F.col("l_returnflag")
-    owner = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderkey", "o_custkey")
+    owner = orders.selectExpr("o_orderkey AS l_orderkey", "o_orderkey", "o_custkey")
     owned = lookup_join(lines, owner, "l_orderkey", spread=["l_partkey", "l_suppkey"])
-    touched = owned.filter(F.col("o_orderkey").isNotNull()).select(
-        F.concat_ws("_", F.concat(F.lit("l"), F.col("l_orderkey")), "l_linenumber", "l_partkey").alias("log_id"),
-        F.when(flag == "A", F.col("l_suppkey")).otherwise(F.col("o_custkey")).alias("user_id"),
-        F.col("l_shipdate").alias("event_time"),
-        F.when(flag == "N", "complete_task").when(flag == "R", "delete_task").otherwise("edit_task").alias("event_type"),
-        F.col("l_orderkey").alias("task_id"),
-        _list_id().alias("list_id"),
-        F.concat(
-            F.lit('{"action_duration": '),
-            "l_linenumber",
-            F.lit(', "new_priority": "high"'),
-            F.when(
-                flag == "A",
-                F.concat(F.lit(', "new_due_date": "'), F.col("l_shipdate").cast("date"), F.lit('"')),
-            ).otherwise(""),
-            F.lit("}"),
-        ).alias("attributes"),
-        *_client(F.col("l_partkey")),
+    touched = owned.filter("o_orderkey IS NOT NULL").selectExpr(
+        "concat('l', l_orderkey, '_', l_linenumber, '_', l_partkey) AS log_id",
+        "CASE WHEN l_returnflag = 'A' THEN l_suppkey ELSE o_custkey END AS user_id",
+        "l_shipdate AS event_time",
+        "CASE l_returnflag WHEN 'N' THEN 'complete_task' WHEN 'R' THEN 'delete_task'"
+        " ELSE 'edit_task' END AS event_type",
+        "l_orderkey AS task_id",
+        LIST_ID,
+        """concat('{"action_duration": ', l_linenumber, ', "new_priority": "high"',"""
+        """ CASE WHEN l_returnflag = 'A'"""
+        """ THEN concat(', "new_due_date": "', CAST(l_shipdate AS DATE), '"') ELSE '' END,"""
+        """ '}') AS attributes""",
+        *_client("l_partkey"),
     )
     return created.unionByName(touched).unionByName(app_events(spark, folder))
 
 
 def app_events(spark: SparkSession, folder: str) -> DataFrame:
     """The part of the log without tasks: the ``events`` table alone."""
-    return sample(spark, folder, "events").select(
-        F.concat(F.lit("e"), F.col("event_id")).alias("log_id"),
+    return sample(spark, folder, "events").selectExpr(
+        "concat('e', event_id) AS log_id",
         "user_id",
-        F.col("ts").alias("event_time"),
+        "ts AS event_time",
         "event_type",
-        F.lit(None).cast("bigint").alias("task_id"),
-        F.lit(None).cast("bigint").alias("list_id"),
-        F.col("props").alias("attributes"),
-        *_client(F.col("event_id")),
+        "CAST(NULL AS BIGINT) AS task_id",
+        "CAST(NULL AS BIGINT) AS list_id",
+        "props AS attributes",
+        *_client("event_id"),
     )
 
 
