@@ -102,10 +102,13 @@ def lookup_join(
 
 
 def _hot_keys(counts: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
-    """The heaviest keys and the number of tasks each is dealt to; bounded rows."""
+    """The heaviest keys and the number of tasks each is dealt to; bounded rows.
+
+    The order is total: both sides of the join, and any retry, get the same keys.
+    """
     return (
         counts.filter(F.col("n") > rows_per_split)
-        .orderBy(F.desc("n"))
+        .orderBy(F.desc("n"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("n") / rows_per_split).cast("bigint").alias("_splits"))
     )

@@ -122,17 +122,28 @@ def metric_layer(
     }
 
 
-def run(spark: SparkSession, raw_folder: str, out_folder: str, copies: bool = False) -> Frames:
+def run(
+    spark: SparkSession,
+    raw_folder: str,
+    out_folder: str,
+    copies: bool = False,
+    days: tuple[str, str] | None = None,
+) -> Frames:
     """Build and store every layer; each layer reads the stored one before it.
 
     The joined events are the one wide table. They are stored once, by day, and
     the clean and fact-ordered tables are views of them; with ``copies`` these
-    two are stored as well.
+    two are stored as well. With ``days`` (first, last) only those days of the
+    joined events are built and replaced, the others staying as stored; the
+    remaining tables are always built from all days.
     """
     out = out_folder.rstrip("/")
     raw = read_raw(spark, raw_folder)
     size_shuffles(spark, raw["ods_todo_event_log"], raw["dim_task"], raw["dim_user"])
     lazy = detail_layer(raw)
+    if days is not None:
+        log = files.read_event_log(spark, f"{raw_folder.rstrip('/')}/ods_todo_event_log", *days)
+        lazy["event_raw"] = detail.event_raw(log, raw["dim_user"], raw["dim_task"])
 
     # Where both dimensions are broadcast, tasks keep the days of the raw log.
     shuffled = not (fits_broadcast(raw["dim_user"]) and fits_broadcast(raw["dim_task"]))

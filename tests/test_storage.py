@@ -146,6 +146,18 @@ def test_pipeline(spark, log, tmp_path):
     assert os.path.isdir(f"{tmp_path}/out/detail/dwd_todo_event_detail/event_date=2026-07-01")
 
 
+def test_new_days_are_added(spark, log, tmp_path):
+    """A run of one more day equals a run of all days."""
+    early = log.filter("event_date < '2026-07-03'")
+    folder, out = raw_folder(spark, early, f"{tmp_path}/raw"), f"{tmp_path}/out"
+    assert layers.run(spark, folder, out)["event_raw"].count() == 6
+    files.write_partitioned(log.filter("event_date = '2026-07-03'"), f"{folder}/ods_todo_event_log")
+    tables = layers.run(spark, folder, out, days=("2026-07-03", "2026-07-03"))
+    full = layers.detail_layer(layers.read_raw(spark, folder))
+    for name in ("event_raw", "dwd_task_lifecycle", "dwd_user_active_detail"):
+        assert collect(tables[name]) == collect(full[name])
+
+
 def test_checks(spark, log, tmp_path):
     raw = layers.read_raw(spark, raw_folder(spark, log, f"{tmp_path}/raw"))
     reports = layers.check(raw)
