@@ -149,14 +149,17 @@ def run(
     shuffled = not (fits_broadcast(raw["dim_user"]) and fits_broadcast(raw["dim_task"]))
     stored: Frames = {
         "event_raw": files.publish(
-            lazy["event_raw"], f"{out}/detail", "event_raw", "event_date", rebalance=shuffled
+            lazy["event_raw"], f"{out}/detail", "event_raw", "event_date",
+            rebalance=shuffled, keep_others=days is not None,
         )
     }
     clean = detail.event_clean(stored["event_raw"])
     views = {"event_clean": clean, "dwd_todo_event_detail": detail.event_detail(clean)}
     for name, view in views.items():
         stored[name] = (
-            files.publish(view, f"{out}/detail", name, "event_date", rebalance=False)
+            files.publish(
+                view, f"{out}/detail", name, "event_date", rebalance=False, keep_others=False
+            )
             if copies
             else view
         )

@@ -60,9 +60,14 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, partition: str = schemas.EVENT_PARTITION, rebalance: bool = True
+    df: DataFrame,
+    path: str,
+    partition: str = schemas.EVENT_PARTITION,
+    rebalance: bool = True,
+    keep_others: bool = True,
 ) -> None:
-    """One directory per partition value; a rerun replaces only the days it holds.
+    """One directory per partition value; a rerun replaces only the days it holds,
+    or with ``keep_others`` off the whole table.
 
     Rows are rebalanced by the partition value: small days come together, and a
     day too large for one task is split into several files. A frame whose tasks
@@ -71,21 +76,21 @@ def write_partitioned(
     (
         (df.hint("rebalance", partition) if rebalance else df)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .partitionBy(partition)
         .parquet(path)
     )
 
 
 def publish(
-    df: DataFrame, folder: str, name: str, partition: str | None = None, rebalance: bool = True
+    df: DataFrame, folder: str, name: str, partition: str | None = None, **options: bool
 ) -> DataFrame:
     """Store a derived table and return the frame that reads the stored copy."""
     path = f"{folder.rstrip('/')}/{name}"
     if partition is None:
         write_table(df, path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
-    write_partitioned(df, path, partition, rebalance)
+    write_partitioned(df, path, partition, **options)
     stored = StructType([f for f in df.schema if f.name != partition]).add(df.schema[partition])
     return df.sparkSession.read.schema(stored).parquet(path).select(*df.columns)
 

@@ -42,6 +42,8 @@ def test_rerun_replaces_only_its_days(spark, log, tmp_path):
     files.write_partitioned(log.filter("event_date = '2026-07-02'").limit(1), path)
     counts = files.read_event_log(spark, path).groupBy("event_date").count()
     assert collect(counts) == [("2026-07-01", 2), ("2026-07-02", 1), ("2026-07-03", 1)]
+    files.write_partitioned(log.filter("event_date = '2026-07-02'"), path, keep_others=False)
+    assert {r["event_date"] for r in files.read_event_log(spark, path).collect()} == {"2026-07-02"}
 
 
 def test_a_large_day_is_split_into_files(spark, tmp_path):
