@@ -22,17 +22,21 @@ UNKNOWN_BYTES = 1 << 62
 
 
 def source_bytes(df: DataFrame, pruned: bool = True) -> int:
-    """Total size of the sources ``df`` reads, from Catalyst's statistics.
+    """Size of what ``df`` reads, from Catalyst's statistics.
 
     An upper guide to the size of a frame that filters, projects, aggregates or
     looks up its sources without multiplying their rows. Frames built from
     local rows report Spark's "unknown" size, which counts as large. With
-    ``pruned`` the plan is optimized first, so that partition filters count.
+    ``pruned`` the plan is optimized first, so that partition filters and, in a
+    plan without joins, the columns read count too.
     """
     query = df._jdf.queryExecution()
-    leaves = (query.optimizedPlan() if pruned else query.analyzed()).collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return min(sum(sizes), UNKNOWN_BYTES)
+    plan = query.optimizedPlan() if pruned else query.analyzed()
+    leaves = plan.collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    # Catalyst multiplies the sides of a join, so its total is the smaller one
+    # only where there is none.
+    return min(total, int(plan.stats().sizeInBytes()) if pruned else total, UNKNOWN_BYTES)
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,57 +69,63 @@ def metric_layer(
     raw: Mapping[str, DataFrame],
     details: Mapping[str, DataFrame],
     summaries: Mapping[str, DataFrame],
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> Frames:
-    """What the activity, lifecycle and feature pages show, as tables."""
+    """What the activity, lifecycle and feature pages show, as tables.
+
+    ``keep`` may store a metric and return the stored frame, which the metrics
+    made from it then read.
+    """
     user = raw["dim_user"]
     cycle, active = details["dwd_task_lifecycle"], details["dwd_user_active_detail"]
-    active_1d = summaries["dws_user_active_1d"]
     behavior = summaries["dws_user_behavior_summary"]
     tasks = summaries["dws_task_summary_1d"]
     channels = summaries["dws_channel_region_summary"]
     usage = summaries["dws_user_feature_usage_summary"]
     new_old = summaries["dws_new_old_user_summary"]
-
-    trend = activity.activity_trend(active_1d)
-    rates = activity.retention_rates(summaries["dws_user_retain_summary"])
+    metrics: Frames = {}
+
+    def add(name: str, df: DataFrame) -> DataFrame:
+        metrics[name] = keep(df, name)
+        return metrics[name]
+
+    trend = add("activity_trend", activity.activity_trend(summaries["dws_user_active_1d"]))
+    add("activity_kpis", activity.activity_kpis(trend))
+    add("new_old_structure", activity.new_old_structure(new_old))
+    add("new_old_share", activity.new_old_share(new_old))
+    add("activity_frequency", activity.activity_frequency(behavior))
+    add("active_share", activity.active_share(behavior))
+    rates = add(
+        "retention_rates", activity.retention_rates(summaries["dws_user_retain_summary"])
+    )
+    add("retention_long", activity.retention_long(rates))
+    add("cohort_matrix", activity.cohort_matrix(activity.retention_curve(active), MATRIX_DAYS))
+    add("channel_totals", activity.channel_totals(channels))
+    add("channel_region_totals", activity.channel_region_totals(channels))
     users = user.select("user_id", F.col("register_channel").alias("channel"))
-    by_channel = summary.user_retain_summary(active.join(users, "user_id"), by=["channel"])
-    priorities = lifecycle.priority_stats(cycle)
+    cohorts = summary.user_retain_summary(active.join(users, "user_id"), by=["channel"])
+    add("channel_quality", activity.channel_quality(channels, activity.retention_rates(cohorts)))
+
+    add("completion_kpis", lifecycle.completion_kpis(tasks))
+    add("completion_trend", lifecycle.completion_trend(tasks))
+    add("completion_overall", lifecycle.completion_overall(tasks))
+    priorities = add("priority_stats", lifecycle.priority_stats(cycle))
+    add("priority_long", lifecycle.priority_long(priorities))
+    add("duration_histogram", lifecycle.duration_histogram(cycle))
+    add("duration_box", lifecycle.duration_box_by_priority(cycle))
+    add("task_funnel", lifecycle.task_funnel(details["event_clean"]))
+
+    add("feature_trend", features.feature_trend(usage))
+    add("latest_feature_kpi", features.latest_feature_kpi(usage))
     flags = features.feature_flags(cycle)
-    segments = features.segment_feature_summary(
-        features.user_feature_rates(flags), user, behavior
+    add("completion_by_feature", features.completion_by_feature(flags))
+    segments = add(
+        "segment_feature_summary",
+        features.segment_feature_summary(features.user_feature_rates(flags), user, behavior),
     )
-    segments_long = features.segment_feature_long(segments)
-    return {
-        "activity_trend": trend,
-        "activity_kpis": activity.activity_kpis(trend),
-        "new_old_structure": activity.new_old_structure(new_old),
-        "new_old_share": activity.new_old_share(new_old),
-        "activity_frequency": activity.activity_frequency(behavior),
-        "active_share": activity.active_share(behavior),
-        "retention_rates": rates,
-        "retention_long": activity.retention_long(rates),
-        "cohort_matrix": activity.cohort_matrix(activity.retention_curve(active), MATRIX_DAYS),
-        "channel_totals": activity.channel_totals(channels),
-        "channel_region_totals": activity.channel_region_totals(channels),
-        "channel_quality": activity.channel_quality(
-            channels, activity.retention_rates(by_channel)
-        ),
-        "completion_kpis": lifecycle.completion_kpis(tasks),
-        "completion_trend": lifecycle.completion_trend(tasks),
-        "completion_overall": lifecycle.completion_overall(tasks),
-        "priority_stats": priorities,
-        "priority_long": lifecycle.priority_long(priorities),
-        "duration_histogram": lifecycle.duration_histogram(cycle),
-        "duration_box": lifecycle.duration_box_by_priority(cycle),
-        "task_funnel": lifecycle.task_funnel(details["event_clean"]),
-        "feature_trend": features.feature_trend(usage),
-        "latest_feature_kpi": features.latest_feature_kpi(usage),
-        "completion_by_feature": features.completion_by_feature(flags),
-        "segment_feature_summary": segments,
-        "segment_feature_long": segments_long,
-        "segment_feature_matrix": features.segment_feature_matrix(segments_long),
-    }
+    long = add("segment_feature_long", features.segment_feature_long(segments))
+    add("segment_feature_matrix", features.segment_feature_matrix(long))
+    return metrics
 
 
 def run(
@@ -170,10 +176,9 @@ def run(
         name: files.publish(df, f"{out}/summary", name)
         for name, df in summary_layer(raw, stored).items()
     }
-    metrics = {
-        name: files.publish(df, f"{out}/metrics", name)
-        for name, df in metric_layer(raw, stored, summaries).items()
-    }
+    metrics = metric_layer(
+        raw, stored, summaries, lambda df, name: files.publish(df, f"{out}/metrics", name)
+    )
     tables = stored | summaries | metrics
     catalog.publish_views(tables)
     return tables

@@ -137,3 +137,21 @@ def test_exact_quantiles(spark):
         assert got[group]["n"] == len(values_)
         for name, q in wanted.items():
             assert got[group][name] == pytest.approx(float(np.quantile(values_, q)))
+
+
+def test_source_size_counts_sources_once_and_columns_read(spark, tmp_path):
+    path = f"{tmp_path}/wide"
+    wide = spark.range(20_000).select("id", *[F.sha2(F.concat(F.col("id"), F.lit(i)), 256).alias(f"c{i}") for i in range(4)])
+    wide.write.parquet(path)
+    stored = spark.read.parquet(path)
+    whole = lookups.source_bytes(stored)
+    assert lookups.source_bytes(stored.select("id")) < whole / 3
+    joined = stored.join(spark.read.parquet(path).withColumnRenamed("c0", "d0"), "id")
+    assert lookups.source_bytes(joined) == 2 * whole
+    assert lookups.source_bytes(spark.createDataFrame([(1,)], "id int")) > 1 << 40
+    assert lookups.fits_broadcast(stored, whole) and not lookups.fits_broadcast(stored, whole - 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20m")
+    try:
+        assert lookups.broadcast_limit(stored) == 20 << 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
