@@ -14,7 +14,7 @@ USER_COLUMNS = (
     "register_channel",
 )
 
-# JSON key → output column, and how its text is read.
+# JSON key → output column, and how its text is read.
 ATTRIBUTES = {
     "priority": ("attr_priority", "text"),
     "due_date": ("attr_due_date", "text"),
@@ -33,6 +33,7 @@ READERS = {"text": lambda text: text, "boolean": soft_bool, "integer": soft_int}
 # Attributes that repeat what the task dimension says.
 REDUNDANT = ("attr_priority", "attr_due_date", "attr_has_reminder", "attr_has_subtask")
 
+# Column order of the fact table.
 FACT_ORDER = (
     "event_id", "user_id", "task_id", "list_id", "event_type", "event_time", "event_date",
     "session_id", "device_type", "os", "app_version", "network_type", "province", "city",

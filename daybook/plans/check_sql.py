@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from daybook.operators.detail import ATTRIBUTES, REDUNDANT, USER_COLUMNS
 from daybook.plans.registry import COHORT_DAYS, HOLIDAYS, SAMPLE_PRIORITY_SCORES
 from daybook.sources.sample_tables import SCHEMAS
 
@@ -30,51 +31,59 @@ def sessions_of(source: str, columns: str) -> str:
 
 
 def retention_of(source: str, by: str = "") -> str:
+    """Cohorts from each user's list of active days."""
     retained = ", ".join(
-        f"COUNT(DISTINCT CASE WHEN DATE_DIFF('day', f.first_active_date, d.active_date) = {n} "
-        f"THEN f.user_id END) AS day{n}_retained_users"
+        f"count(*) FILTER (list_contains(days, first_active_date + {n})) AS day{n}_retained_users"
         for n in (1, 7, 30)
     )
     return f"""
-  SELECT {by}f.first_active_date, COUNT(DISTINCT f.user_id) AS total_new_users, {retained}
-  FROM (SELECT user_id, MIN(active_date) AS first_active_date FROM {source} GROUP BY user_id) f
-  LEFT JOIN {source} d ON f.user_id = d.user_id GROUP BY {by}f.first_active_date"""
+  SELECT {by}first_active_date, count(*) AS total_new_users, {retained}
+  FROM (SELECT {by}user_id, min(active_date) AS first_active_date, list(active_date) AS days
+        FROM {source} GROUP BY ALL) GROUP BY ALL"""
 
 
 def active_days_of(source: str, session: str = "session_id") -> str:
     return f"""
-  SELECT user_id, CAST(event_time AS DATE) AS active_date, MIN(event_time) AS first_event_time,
-         MAX(event_time) AS last_event_time, COUNT(*) AS event_cnt,
-         COUNT(DISTINCT {session}) AS session_cnt
-  FROM {source} GROUP BY user_id, CAST(event_time AS DATE)"""
+  SELECT user_id, event_time::DATE AS active_date, min(event_time) AS first_event_time,
+         max(event_time) AS last_event_time, count(*) AS event_cnt,
+         count(DISTINCT {session}) AS session_cnt
+  FROM {source} GROUP BY ALL"""
 
 
 def usage_of(features: str) -> str:
+    """Shares over all pairs of an event and a row of its task."""
     return f"""
-  SELECT CAST(e.event_time AS DATE) AS stat_date,
-         AVG(CASE WHEN tl.has_reminder = TRUE THEN 1.0 ELSE 0.0 END) AS remind_feature_usage_rate,
-         AVG(CASE WHEN tl.task_id IS NOT NULL AND tl.has_subtask = TRUE THEN 1.0 ELSE 0.0 END) AS subtask_usage_rate,
-         AVG(CASE WHEN tl.due_date IS NOT NULL THEN 1.0 ELSE 0.0 END) AS due_date_setting_rate
-  FROM raw_event e LEFT JOIN {features} tl ON e.task_id = tl.task_id
-  GROUP BY CAST(e.event_time AS DATE)"""
+  SELECT e.event_time::DATE AS stat_date,
+         avg(coalesce(f.has_reminder, FALSE)::INT) AS remind_feature_usage_rate,
+         avg(coalesce(f.has_subtask, FALSE)::INT) AS subtask_usage_rate,
+         avg((f.due_date IS NOT NULL)::INT) AS due_date_setting_rate
+  FROM raw_event e LEFT JOIN {features} f ON f.task_id = e.task_id GROUP BY ALL"""
 
 
-def behavior_of(source: str) -> str:
-    def tasks(event_type: str, name: str) -> str:
-        return f"COUNT(DISTINCT CASE WHEN event_type = '{event_type}' THEN task_id END) AS {name}"
+TASK_STEPS = {"create_task": "create", "complete_task": "complete", "delete_task": "delete"}
+
 
+def behavior_of(source: str) -> str:
+    """Counts per user, joined to the user's lifecycle rows before averaging."""
+    tasks = ", ".join(
+        f"count(DISTINCT task_id) FILTER (event_type = '{event}') AS {step}_task_cnt"
+        for event, step in TASK_STEPS.items()
+    )
     return f"""
-  SELECT ue.*, CASE WHEN ue.create_task_cnt > 0
-                    THEN CAST(ue.complete_task_cnt AS DOUBLE) / ue.create_task_cnt ELSE 0 END AS completion_rate,
-         AVG(ul.complete_duration_seconds) AS avg_complete_duration_seconds
-  FROM (SELECT user_id, COUNT(*) AS total_event_cnt,
-               COUNT(DISTINCT CAST(event_time AS DATE)) AS active_day_cnt,
-               MAX(CAST(event_time AS DATE)) AS last_active_date,
-               {tasks('create_task', 'create_task_cnt')},
-               {tasks('complete_task', 'complete_task_cnt')},
-               {tasks('delete_task', 'delete_task_cnt')}
-        FROM {source} GROUP BY user_id) ue
-  LEFT JOIN lifecycle ul ON ue.user_id = ul.user_id GROUP BY ALL"""
+  SELECT c.*, coalesce(complete_task_cnt::DOUBLE / nullif(create_task_cnt, 0), 0) AS completion_rate,
+         avg(l.complete_duration_seconds) AS avg_complete_duration_seconds
+  FROM (SELECT user_id, count(*) AS total_event_cnt, count(DISTINCT event_time::DATE) AS active_day_cnt,
+               max(event_time)::DATE AS last_active_date, {tasks}
+        FROM {source} GROUP BY user_id) c
+  LEFT JOIN lifecycle l ON l.user_id = c.user_id GROUP BY ALL"""
+
+
+SQL_TYPES = {"text": "VARCHAR", "boolean": "BOOLEAN", "integer": "INTEGER"}
+EVENT_ATTRIBUTES = ", ".join(
+    f"TRY_CAST(e.attributes ->> '$.{key}' AS {SQL_TYPES[kind]}) AS {name}"
+    for key, (name, kind) in ATTRIBUTES.items()
+)
+EVENT_USER = ", ".join(f"u.{name}" for name in USER_COLUMNS)
 
 
 # Named intermediate results; each may use any other.
@@ -126,79 +135,50 @@ TABLES = {
         "(SELECT event_id, user_id, ts AS event_time, event_type FROM events)",
         "event_id, user_id, event_time, event_type",
     ),
-    "event_raw": """
-  SELECT e.log_id AS event_id, e.user_id, e.session_id, CAST(e.event_time AS TIMESTAMP) AS event_time,
-         CAST(e.event_time AS DATE) AS event_date, e.event_type, e.task_id, e.list_id,
-         e.device_type, e.os, e.app_version, e.network_type,
-         u.province, u.city, u.user_level, u.user_type, u.gender, u.age_group, u.is_active, u.register_channel,
-         t.priority AS task_priority, t.due_date, CAST(t.create_time AS TIMESTAMP) AS task_create_time,
-         CAST(t.complete_time AS TIMESTAMP) AS task_complete_time, t.is_completed AS task_is_completed,
-         t.has_subtask, t.has_reminder, t.task_status,
-         TRY_CAST(json_extract_string(e.attributes, '$.priority') AS VARCHAR) AS attr_priority,
-         TRY_CAST(json_extract_string(e.attributes, '$.due_date') AS VARCHAR) AS attr_due_date,
-         TRY_CAST(json_extract_string(e.attributes, '$.has_reminder') AS BOOLEAN) AS attr_has_reminder,
-         TRY_CAST(json_extract_string(e.attributes, '$.has_subtask') AS BOOLEAN) AS attr_has_subtask,
-         TRY_CAST(json_extract_string(e.attributes, '$.action_duration') AS INTEGER) AS action_duration,
-         TRY_CAST(json_extract_string(e.attributes, '$.new_priority') AS VARCHAR) AS attr_new_priority,
-         TRY_CAST(json_extract_string(e.attributes, '$.new_due_date') AS VARCHAR) AS attr_new_due_date,
-         TRY_CAST(json_extract_string(e.attributes, '$.query') AS VARCHAR) AS attr_query,
-         TRY_CAST(json_extract_string(e.attributes, '$.result_count') AS INTEGER) AS attr_result_count,
-         TRY_CAST(json_extract_string(e.attributes, '$.feature_name') AS VARCHAR) AS attr_feature_name,
-         TRY_CAST(json_extract_string(e.attributes, '$.close_reason') AS VARCHAR) AS attr_close_reason,
-         e.attributes
-  FROM todo_event e LEFT JOIN dim_user u ON e.user_id = u.user_id
-  LEFT JOIN dim_task t ON e.task_id = t.task_id""",
-    "event_clean": """
-  SELECT * EXCLUDE (attr_priority, attr_due_date, attr_has_reminder, attr_has_subtask) FROM event_raw""",
+    "event_raw": f"""
+  SELECT e.* EXCLUDE (log_id), e.log_id AS event_id, e.event_time::DATE AS event_date, {EVENT_USER},
+         t.priority AS task_priority, t.create_time AS task_create_time, t.complete_time AS task_complete_time,
+         t.is_completed AS task_is_completed, t.due_date, t.has_subtask, t.has_reminder, t.task_status,
+         {EVENT_ATTRIBUTES}
+  FROM todo_event e LEFT JOIN dim_user u ON u.user_id = e.user_id LEFT JOIN dim_task t ON t.task_id = e.task_id""",
+    "event_clean": f"""
+  SELECT * EXCLUDE ({', '.join(REDUNDANT)}) FROM event_raw""",
     "lifecycle": """
-  SELECT s.task_id, s.user_id, s.create_time, s.first_complete_time, s.last_update_time,
-         CASE WHEN s.first_complete_time IS NOT NULL AND s.create_time IS NOT NULL
-              THEN DATE_DIFF('second', s.create_time, s.first_complete_time) END AS complete_duration_seconds,
-         s.has_complete = 1 AS is_completed,
-         COALESCE(t.due_date IS NOT NULL AND CAST(s.last_update_time AS DATE) > CAST(t.due_date AS DATE), FALSE) AS is_overdue,
+  SELECT m.*, date_diff('second', create_time, first_complete_time) AS complete_duration_seconds,
+         coalesce(last_update_time::DATE > t.due_date::DATE, FALSE) AS is_overdue,
          t.priority, t.has_reminder, t.has_subtask, t.task_status, t.due_date
-  FROM (SELECT task_id, user_id,
-               MIN(CASE WHEN event_type = 'create_task' THEN event_time END) AS create_time,
-               MIN(CASE WHEN event_type = 'complete_task' THEN event_time END) AS first_complete_time,
-               MAX(event_time) AS last_update_time,
-               MAX(CASE WHEN event_type = 'complete_task' THEN 1 ELSE 0 END) AS has_complete
-        FROM raw_event GROUP BY task_id, user_id) s
-  LEFT JOIN dim_task t ON s.task_id = t.task_id""",
+  FROM (SELECT task_id, user_id, min(event_time) FILTER (event_type = 'create_task') AS create_time,
+               min(event_time) FILTER (event_type = 'complete_task') AS first_complete_time,
+               max(event_time) AS last_update_time, bool_or(event_type = 'complete_task') AS is_completed
+        FROM raw_event GROUP BY ALL) m
+  LEFT JOIN (SELECT * EXCLUDE (create_time, is_completed, user_id) FROM dim_task) t ON t.task_id = m.task_id""",
     "active_detail": active_days_of("todo_event"),
     "app_days": active_days_of("app_event", "task_id"),
-    "active_1d": """
-  SELECT u.user_id, CAST(e.event_time AS DATE) AS stat_date,
-         MIN(CAST(e.event_time AS DATE)) AS first_active_date, MAX(CAST(e.event_time AS DATE)) AS last_active_date,
-         COUNT(*) AS event_cnt, COUNT(DISTINCT e.session_id) AS session_cnt, COUNT(DISTINCT e.task_id) AS task_touch_cnt,
-         MAX(CASE WHEN e.event_type = 'create_task' THEN 1 ELSE 0 END) AS create_task_flag,
-         MAX(CASE WHEN e.event_type = 'complete_task' THEN 1 ELSE 0 END) AS complete_task_flag,
-         MAX(CASE WHEN e.event_type = 'delete_task' THEN 1 ELSE 0 END) AS delete_task_flag
-  FROM todo_event e LEFT JOIN dim_user u ON e.user_id = u.user_id
-  GROUP BY u.user_id, CAST(e.event_time AS DATE)""",
+    "active_1d": f"""
+  SELECT u.user_id, event_time::DATE AS stat_date, min(event_time)::DATE AS first_active_date,
+         max(event_time)::DATE AS last_active_date, count(*) AS event_cnt,
+         count(DISTINCT session_id) AS session_cnt, count(DISTINCT task_id) AS task_touch_cnt,
+         {', '.join(f"bool_or(event_type = '{event}')::INT AS {event}_flag" for event in TASK_STEPS)}
+  FROM todo_event e LEFT JOIN dim_user u ON u.user_id = e.user_id GROUP BY ALL""",
     "app_active": """
   SELECT DISTINCT u.user_id, CAST(e.event_time AS DATE) AS stat_date
   FROM app_event e LEFT JOIN dim_user u ON e.user_id = u.user_id""",
     "behavior": behavior_of("raw_event"),
     "app_behavior": behavior_of("app_event"),
     "task_summary": """
-  SELECT CAST(create_time AS DATE) AS stat_date, COUNT(*) AS task_created_cnt,
-         CAST(SUM(CASE WHEN is_completed = TRUE THEN 1 ELSE 0 END) AS BIGINT) AS task_completed_cnt,
-         CAST(SUM(CASE WHEN is_overdue = TRUE THEN 1 ELSE 0 END) AS BIGINT) AS overdue_cnt,
-         SUM(CASE WHEN is_completed = TRUE THEN 1 ELSE 0 END) * 1.0 / NULLIF(COUNT(*), 0) AS completion_rate,
-         AVG(CASE WHEN complete_duration_seconds IS NOT NULL THEN complete_duration_seconds END) AS avg_complete_duration_seconds
-  FROM lifecycle WHERE create_time IS NOT NULL GROUP BY CAST(create_time AS DATE)""",
+  SELECT create_time::DATE AS stat_date, count(*) AS task_created_cnt, count(*) FILTER (is_completed) AS task_completed_cnt,
+         count(*) FILTER (is_overdue) AS overdue_cnt, task_completed_cnt / task_created_cnt AS completion_rate,
+         avg(complete_duration_seconds) AS avg_complete_duration_seconds
+  FROM lifecycle WHERE create_time IS NOT NULL GROUP BY ALL""",
     "channel_region": """
-  SELECT CAST(e.event_time AS DATE) AS stat_date, u.register_channel, u.province, u.city,
-         COUNT(DISTINCT e.user_id) AS active_user_cnt, COUNT(*) AS event_cnt
-  FROM app_event e LEFT JOIN dim_user u ON e.user_id = u.user_id
-  GROUP BY CAST(e.event_time AS DATE), u.register_channel, u.province, u.city""",
+  SELECT event_time::DATE AS stat_date, register_channel, province, city,
+         count(DISTINCT e.user_id) AS active_user_cnt, count(*) AS event_cnt
+  FROM app_event e LEFT JOIN dim_user u ON u.user_id = e.user_id GROUP BY ALL""",
     "new_old": """
-  SELECT d.active_date AS stat_date,
-         CAST(SUM(CASE WHEN f.first_active_date = d.active_date THEN 1 ELSE 0 END) AS BIGINT) AS new_user_cnt,
-         CAST(SUM(CASE WHEN f.first_active_date <> d.active_date THEN 1 ELSE 0 END) AS BIGINT) AS old_user_cnt
-  FROM app_days d
-  LEFT JOIN (SELECT user_id, MIN(CAST(event_time AS DATE)) AS first_active_date FROM app_event GROUP BY user_id) f
-    ON d.user_id = f.user_id GROUP BY d.active_date""",
+  SELECT active_date AS stat_date, count(*) FILTER (active_date = first_day) AS new_user_cnt,
+         count(*) FILTER (active_date > first_day) AS old_user_cnt
+  FROM (SELECT active_date, min(active_date) OVER (PARTITION BY user_id) AS first_day FROM app_days)
+  GROUP BY ALL""",
     "retain": retention_of("app_days"),
     "retain_rate": """
   SELECT *, first_active_date AS date, day1_retained_users / NULLIF(total_new_users, 0) AS retain_1d,
@@ -332,14 +312,14 @@ STATEMENTS = {
     "dws_user_behavior_summary": "SELECT * FROM behavior",
     "dws_task_summary_1d": "SELECT * FROM task_summary",
     "dws_event_type_summary_1d": """
-      SELECT CAST(event_time AS DATE) AS stat_date, event_type, COUNT(*) AS event_cnt,
-             ROUND(COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY CAST(event_time AS DATE)), 4) AS event_ratio,
-             ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY CAST(event_time AS DATE)), 2) AS event_ratio_pct
-      FROM app_event GROUP BY CAST(event_time AS DATE), event_type""",
+      SELECT stat_date, event_type, event_cnt, round(event_cnt / of_day, 4) AS event_ratio,
+             round(event_cnt * 100 / of_day, 2) AS event_ratio_pct
+      FROM (SELECT event_time::DATE AS stat_date, event_type, count(*) AS event_cnt FROM app_event GROUP BY ALL)
+      JOIN (SELECT event_time::DATE AS stat_date, count(*)::DOUBLE AS of_day FROM app_event GROUP BY ALL) USING (stat_date)""",
     "dws_hour_active_summary": """
-      SELECT CAST(event_time AS DATE) AS stat_date, EXTRACT(HOUR FROM event_time) AS active_hour,
-             COUNT(*) AS event_cnt, COUNT(DISTINCT user_id) AS active_user_cnt
-      FROM app_event GROUP BY CAST(event_time AS DATE), EXTRACT(HOUR FROM event_time)""",
+      SELECT event_time::DATE AS stat_date, hour(event_time) AS active_hour, count(*) AS event_cnt,
+             count(DISTINCT user_id) AS active_user_cnt
+      FROM app_event GROUP BY ALL""",
     "dws_channel_region_summary": "SELECT * FROM channel_region",
     "dws_new_old_user_summary": "SELECT * FROM new_old",
     "dws_user_retain_summary": "SELECT * FROM retain",
