@@ -1,11 +1,13 @@
 """Quality classifier by importance resampling of hashed n-grams.
 
 Three generative models are counted over hashed n-grams of labelled documents:
-good ones (the target), junk and toxic ones. Raw text is a mixture of the three in
+good ones (the target), junk and toxic ones. Words count once in a document, pairs
+of words and pairs of word shapes each time. Raw text is a mixture of the three in
 the labels' proportions. The importance of a document is the ratio of its
 probability as target text to its probability as raw text; the sample is the top k
 of log importance plus Gumbel noise, which draws without replacement in proportion
-to importance. By default k is the number of target documents expected among all.
+to importance. By default k is the number of documents that are target text more
+likely than not.
 """
 
 from __future__ import annotations
@@ -22,11 +24,18 @@ from daybook.llm.common import pick_rows, row_digest, store
 
 CLASSES = ("good", "junk", "toxic")
 # Buckets of words, of pairs of words, and of pairs of word shapes.
-WORDS, PAIRS, SHAPES = 1 << 14, 1 << 12, 1 << 12
+WORDS, PAIRS, SHAPES = 1 << 18, 1 << 12, 1 << 12
+FAMILIES = (slice(0, WORDS), slice(WORDS, WORDS + PAIRS), slice(WORDS + PAIRS, WORDS + PAIRS + SHAPES))
 BUCKETS = WORDS + PAIRS + SHAPES
 # Labelled documents that the models are counted over at most.
 MAX_LABELLED = 20_000
-SMOOTHING = 0.5
+# Added to counts and expected counts. A class differs from the mixture in a bucket
+# only where its count is this many standard deviations off.
+SMOOTHING = 5.0
+DEVIATIONS = 7.0
+# Log importance is divided by this before noise is added: at 1 the sample draws in
+# proportion to importance, below it prefers the important more.
+TEMPERATURE = 0.1
 SEED = 0
 # Words hashed at a time; words remembered by a worker.
 CHUNK = 500_000
@@ -71,12 +80,13 @@ def _features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     # A word said again is one n-gram, whichever the word.
     pair = np.where(first == second, np.uint64(1), _mix(first * np.uint64(31) + second))
     kinds = _mix(shape[inner] * np.uint64(31) + shape[inner + 1])
+    once = np.unique(doc * WORDS + (_mix(word) % np.uint64(WORDS)).astype(np.int64))
     found = np.concatenate([
-        _mix(word) % np.uint64(WORDS),
-        np.uint64(WORDS) + pair % np.uint64(PAIRS),
-        np.uint64(WORDS + PAIRS) + kinds % np.uint64(SHAPES),
+        once % WORDS,
+        WORDS + (pair % np.uint64(PAIRS)).astype(np.int64),
+        WORDS + PAIRS + (kinds % np.uint64(SHAPES)).astype(np.int64),
     ])
-    return found.astype(np.int64), np.concatenate([doc, doc[inner], doc[inner]])
+    return found, np.concatenate([once // WORDS, doc[inner], doc[inner]])
 
 
 def _chunks(texts):
@@ -106,6 +116,34 @@ def label_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     return drawn.limit(limit)
 
 
+def first_copies(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The sample with one document of most groups of near copies: in a class, those
+    with the same least hash of a pair of words. Copies of one document would make
+    its chance words look telling."""
+
+    def work(batches):
+        for batch in batches:
+            least = []
+            for codes, starts in _chunks(batch.column(2)):
+                doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                word = codes & np.uint64(0xFFFFFFFF)
+                inner = np.flatnonzero(doc[1:] == doc[:-1])
+                pair = _mix(_mix(word[inner] * np.uint64(31) + word[inner + 1]) + np.uint64(5))
+                keys = np.zeros(len(starts) - 1, np.uint64)
+                new = np.flatnonzero(np.r_[True, doc[inner][1:] != doc[inner][:-1]]) if len(inner) else inner
+                if len(new):
+                    keys[doc[inner][new]] = np.minimum.reduceat(pair, new)
+                least.append(keys)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.concatenate(least).view(np.int64))],
+                names=["doc_id", "class", "key"],
+            )
+
+    labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "class", "text")
+    keyed = labelled.mapInArrow(work, "doc_id bigint, class int, key bigint")
+    return keyed.groupBy("class", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "class")
+
+
 def count_ngrams(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """``class, bucket, n`` over the texts of the sampled documents, and in bucket -1
     the number of documents."""
@@ -137,23 +175,27 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each bucket, and log share, of the classes.
+    """Log ratio of each bucket to the mixture, and log share, of the classes.
 
-    The model has ``len(CLASSES) * BUCKETS`` numbers whatever the input.
+    The model has ``len(CLASSES) * BUCKETS`` numbers whatever the input, and so have
+    the counts that the driver gets.
     """
     counts = np.zeros((len(CLASSES), BUCKETS))
     documents = np.zeros(len(CLASSES))
-    for row in count_ngrams(docs, label_sample(labels, limit)).toLocalIterator():
-        if row["bucket"] < 0:
-            documents[row["class"]] = row["n"]
-        else:
-            counts[row["class"], row["bucket"]] = row["n"]
-    counts += SMOOTHING
-    for part in (slice(0, WORDS), slice(WORDS, WORDS + PAIRS), slice(WORDS + PAIRS, BUCKETS)):
-        counts[:, part] /= counts[:, part].sum(1, keepdims=True)
+    sample = store(first_copies(docs, label_sample(labels, limit)), "sample")
+    found = count_ngrams(docs, sample).toArrow()
+    kind, bucket, n = (found.column(c).to_numpy() for c in ("class", "bucket", "n"))
+    documents[kind[bucket < 0]] = n[bucket < 0]
+    counts[kind[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
+    logs = np.zeros_like(counts)
+    for part in FAMILIES:
+        mine = counts[:, part]
+        expected = mine.sum(1, keepdims=True) * (mine.sum(0) / max(mine.sum(), 1))
+        telling = np.abs(mine - expected) > DEVIATIONS * np.sqrt(expected + 1)
+        logs[:, part] = np.where(telling, np.log((mine + SMOOTHING) / (expected + SMOOTHING)), 0)
     with np.errstate(divide="ignore"):
         shares = np.log(documents / max(documents.sum(), 1))
-    return np.log(counts), shares
+    return logs, shares
 
 
 def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], seed: int = SEED) -> DataFrame:
@@ -186,7 +228,7 @@ def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], seed: int = SEE
     scored = rows.mapInArrow(work, "doc_id bigint, digest bigint, log_weight double, p_good double")
     # Uniform in (0, 1) from the row itself, so that a rerun draws alike.
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "digest", "doc_id"), 12) + 0.5) / float(1 << 52)
-    return scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(draw)))
+    return scored.withColumn("sample_key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(draw)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1000, few: int = 10_000) -> float | None:
@@ -224,8 +266,8 @@ def resample(
     """``doc_id, log_weight, p_good, sample_key, kept, digest`` for every row of ``docs``.
 
     * ``kept`` marks the ``k`` rows with the largest ``sample_key``, and any that tie
-      with the last of them; rows that repeat tie. ``k`` is by default the sum of
-      ``p_good``, the probability that a document is target text.
+      with the last of them; rows that repeat tie. ``k`` is by default the number of
+      rows whose probability of being target text, ``p_good``, is above one half.
     * Models are counted over whole texts of at most ``limit`` labelled documents;
       all documents are weighed by their whole texts. NULL texts have no n-grams.
     * Without labels of good documents every weight is 0 and every row is kept.
@@ -233,8 +275,7 @@ def resample(
     """
     scored = store(weigh(docs, fit(docs, labels, limit), seed), "weights")
     if k is None:
-        expected = scored.agg(F.sum("p_good")).first()[0]
-        k = round(expected or 0)
+        k = scored.filter("p_good > 0.5").count()
     cut = kth_largest(scored, "sample_key", k)
     kept = F.lit(False) if cut is None else F.col("sample_key") >= F.lit(cut)
     return scored.select("doc_id", "log_weight", "p_good", "sample_key", kept.alias("kept"), "digest")
