@@ -95,23 +95,30 @@ def row_digest(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def numbered_rows(docs: DataFrame, *by: str) -> DataFrame:
-    """``docs`` with ``_digest`` and ``_copy``, which numbers rows of one id, text and
-    ``by`` from 1 in the order of their other columns."""
-    order = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text", *by)]
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_digest", *by).orderBy(*order, "text"))
-    return docs.withColumn("_digest", row_digest(docs)).withColumn("_copy", copy)
+def packed_rows(docs: DataFrame, *by: str) -> DataFrame:
+    """``row, doc_id, digest, copy`` and the ``by`` columns: whole rows packed, so that no
+    name of theirs can clash. ``copy`` numbers rows of one id, text and ``by`` from 1
+    in the order of their other columns."""
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rest = [docs[c].cast("string") for c in docs.columns if c not in ("doc_id", "text", *by)]
+    rows = docs.select(
+        row, "doc_id", row_digest(docs).alias("digest"), *by, F.array(F.lit(None).cast("string"), *rest).alias("rest")
+    )
+    copy = F.row_number().over(Window.partitionBy("doc_id", "digest", *by).orderBy("rest"))
+    return rows.withColumn("copy", copy).drop("rest")
 
 
 def pick_rows(docs: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
     """The rows of ``docs`` with a (``doc_id``, ``digest``) of ``chosen``, all columns;
     of rows that repeat both one, or with ``copies`` all."""
     keys = chosen.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"))
-    rows = docs.withColumn("_digest", row_digest(docs)) if copies else numbered_rows(docs).filter("_copy = 1")
+    rows = packed_rows(docs)
+    if not copies:
+        rows = rows.filter("copy = 1")
     found = rows.join(
-        keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_digest"] == keys["_key"]), "left_semi"
+        keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["digest"] == keys["_key"]), "left_semi"
     )
-    return found.select(*docs.columns)
+    return found.select("row.*")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -238,9 +238,11 @@ class Trie:
         self.successors = EliasFano(offset + word, max(1, len(self.own)) * self.span, levels)
         chance = (count - discount) / total
         logs = np.log10(chance)
-        edges = np.unique(np.quantile(logs, np.linspace(0, 1, CODES + 1))) if len(logs) else np.zeros(1)
-        code = np.clip(np.searchsorted(edges, logs, "right") - 1, 0, max(len(edges) - 2, 0))
-        means = np.bincount(code, logs, len(edges)) / np.maximum(np.bincount(code, minlength=len(edges)), 1)
+        # Equal steps of the logarithm bound the error of every pair; a code stands for
+        # the mean of its pairs.
+        low, high = (logs.min(), logs.max()) if len(logs) else (0.0, 0.0)
+        code = np.minimum((logs - low) / max(high - low, 1e-9) * CODES, CODES - 1).astype(np.int64)
+        means = np.bincount(code, logs, CODES) / np.maximum(np.bincount(code, minlength=CODES), 1)
         # Code 0 is for pairs that training does not have.
         self.book = np.r_[0.0, 10.0 ** means]
         self.codes = levels.map((code + 1).astype(np.uint8))

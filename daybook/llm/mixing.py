@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import numbered_rows, row_digest, running_total, shuffle_partitions, store, word_count
+from daybook.llm.common import packed_rows, row_digest, running_total, shuffle_partitions, store, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -169,10 +169,10 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), F.col("source").alias("_from"),
         F.col("copy").alias("_nth"), "finish_time", "epoch",
     )
-    rows = numbered_rows(docs, "source")
+    rows = packed_rows(docs, "source")
     found = rows.join(
         taken,
-        rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_digest"] == taken["_key"])
-        & rows["source"].eqNullSafe(taken["_from"]) & (rows["_copy"] == taken["_nth"]),
+        rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["digest"] == taken["_key"])
+        & rows["source"].eqNullSafe(taken["_from"]) & (rows["copy"] == taken["_nth"]),
     )
-    return found.orderBy("finish_time", "_digest", "epoch").select(*docs.columns)
+    return found.orderBy("finish_time", "digest", "epoch").select("row.*")
