@@ -118,6 +118,13 @@ def gather(answers: DataFrame, *columns: str, name: str = "answers") -> DataFram
     return answers.groupBy("block_id").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
+def column(answers: pa.ListScalar, name: str) -> np.ndarray:
+    """A number column of a gathered answer."""
+    if answers.values is None:
+        return np.zeros(0, np.int64)
+    return answers.values.field(name).to_numpy(zero_copy_only=False)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of numbers, all first bytes, then all second ones: compresses well."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()

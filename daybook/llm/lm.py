@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.blocks import NO_ID, Block, answered, from_planes, gather, id_array, pack, planes, unpack
+from daybook.llm.blocks import NO_ID, Block, answered, column, from_planes, gather, id_array, pack, planes, unpack
 from daybook.llm.common import Shelf, shuffle_partitions, store
 from daybook.llm.elias_fano import EliasFano, Levels
 
@@ -114,11 +114,11 @@ class Pairs:
     """The pairs of a block: tokens with ends as vocabulary ids, contexts, and what is
     asked of each shard. Built alike when asking and when reading the answers."""
 
-    def __init__(self, block: Block, found: list, sizes: Sizes):
+    def __init__(self, block: Block, found: pa.ListScalar, sizes: Sizes):
         n = len(block.words)
         ids, counts = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
-        for x in found or ():
-            ids[x["number"]], counts[x["number"]] = x["id"], x["c"]
+        number = column(found, "number")
+        ids[number], counts[number] = column(found, "id"), column(found, "c")
         # Every document is its words and one end, found under the last number.
         self.lengths = np.diff(np.r_[0, block.ends]) + 1
         stops = np.cumsum(self.lengths)
@@ -209,7 +209,7 @@ def _ask(sizes: Sizes):
         for batch in batches:
             for row in range(batch.num_rows):
                 block = unpack(batch, row)
-                pairs = Pairs(block, batch.column(5)[row].as_py(), sizes)
+                pairs = Pairs(block, batch.column(5)[row], sizes)
                 for shard, contexts, totals, held, words, train in pairs.requests():
                     yield pa.RecordBatch.from_arrays([
                         pa.array([shard], pa.int32()), pa.array([block.block_id], pa.int64()),
@@ -301,7 +301,7 @@ def _score(sizes: Sizes, discount: float):
         for batch in batches:
             for row in range(batch.num_rows):
                 block = unpack(batch, row)
-                pairs = Pairs(block, batch.column(5)[row].as_py(), sizes)
+                pairs = Pairs(block, batch.column(5)[row], sizes)
                 seen, after = pairs.read(batch.column(6)[row].as_py())
                 base = sizes.base(pairs.count)
                 chance = base.copy()
