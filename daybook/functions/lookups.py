@@ -7,15 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A fact side below this many source bytes fits a few tasks even on one key.
-SMALL_FACT_BYTES = 256 * 1024 * 1024
 # Rows of one key that a single join task should see at most.
 ROWS_PER_SPLIT = 1_000_000
-# Keys salted at most. Any further key holds under 1/1000 of all rows.
-MAX_HOT_KEYS = 1000
-# Slots over which rows without a key are spread.
-NULL_SLOTS = 4096
-
 
 # Size of a source that does not tell it.
 UNKNOWN_BYTES = 1 << 62
@@ -48,9 +41,10 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def fits_broadcast(dim: DataFrame, limit: int | None = None) -> bool:
-    """Whether the sources of ``dim`` are within the broadcast limit."""
+    """Whether the sources of ``dim`` are within the broadcast limit, by the whole
+    files and by the plan's own estimate."""
     limit = broadcast_limit(dim) if limit is None else limit
-    return any(source_bytes(dim, pruned) <= limit for pruned in (False, True))
+    return all(source_bytes(dim, pruned) <= limit for pruned in (False, True))
 
 
 def key_counts(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -67,13 +61,12 @@ def lookup_join(
     counts: DataFrame | None = None,
     split_nulls: bool = False,
     broadcast_bytes: int | None = None,
-    small_fact_bytes: int = SMALL_FACT_BYTES,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """``fact LEFT JOIN dim USING (on)``, planned by the measured input sizes.
 
     * dimension within the broadcast limit: broadcast it, no shuffle;
-    * fact side small: plain shuffled join;
+    * no ``spread``: plain shuffled join;
     * otherwise: shuffled join in which the heaviest keys are salted over
       several tasks, their dimension rows being copied once per salt.
 
@@ -89,7 +82,7 @@ def lookup_join(
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim, broadcast_bytes):
         return fact.join(F.broadcast(dim), keys, "left")
-    if spread is None or source_bytes(fact) <= small_fact_bytes:
+    if spread is None:
         return fact.join(dim, keys, "left")
     spread = [spread] if isinstance(spread, str) else list(spread)
     if counts is None:
@@ -106,14 +99,11 @@ def lookup_join(
 
 
 def _hot_keys(counts: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
-    """The heaviest keys and the number of tasks each is dealt to; bounded rows.
-
-    The order is total: both sides of the join, and any retry, get the same keys.
-    """
+    """Every key of more rows than one task should see, and the number of tasks it is
+    dealt to. There are at most (all rows / ``rows_per_split``) of them; they are
+    joined without a hint, so their measured size decides how."""
     return (
         counts.filter(F.col("n") > rows_per_split)
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("n") / rows_per_split).cast("bigint").alias("_splits"))
     )
 
@@ -123,13 +113,13 @@ def _salted_left_join(
 ) -> DataFrame:
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     dealt_to = F.xxhash64(*spread)
-    dealt = fact.join(F.broadcast(hot), keys, "left").withColumn(
+    dealt = fact.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(keyless, F.pmod(dealt_to, F.lit(NULL_SLOTS)))
+        F.when(keyless, dealt_to)
         .when(F.col("_splits").isNotNull(), F.pmod(dealt_to, F.col("_splits")))
         .otherwise(zero),
     )
-    copies = dim.join(F.broadcast(hot), keys, "left").withColumn(
+    copies = dim.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(zero, F.coalesce("_splits", one) - one))
     )
     joined = dealt.drop("_splits").join(copies.drop("_splits"), [*keys, "_salt"], "left")

@@ -48,12 +48,10 @@ def activity_trend(
     ends per day: one shuffle by user, then at most two rows per calendar day.
     """
     windows = {"wau": WEEK_DAYS, "mau": MONTH_DAYS} if windows is None else windows
-    days = (
-        _dated(active, "stat_date")
-        .filter(F.col("user_id").isNotNull())
-        .select("user_id", "date")
-        .distinct()
-    )
+    dated = _dated(active, "stat_date")
+    days = dated.filter(F.col("user_id").isNotNull()).select("user_id", "date").distinct()
+    # Days on which only unknown users were active belong to the calendar as well.
+    unknown = dated.filter(F.col("user_id").isNull() & F.col("date").isNotNull()).select("date").distinct()
     following = F.lead("date").over(Window.partitionBy("user_id").orderBy("date"))
     names = ["dau", *windows]
 
@@ -72,6 +70,7 @@ def activity_trend(
     changes = (
         days.withColumn("following", following)
         .select(F.inline(F.array(starts, *ends)))
+        .unionByName(unknown.select(F.inline(F.array(change(F.col("date"))))))
         .groupBy("date")
         .agg(F.max("active").alias("active"), *[F.sum(n).alias(n) for n in names])
     )
@@ -237,8 +236,12 @@ def retention_curve(active: DataFrame) -> DataFrame:
     )
 
 
-def cohort_matrix(curve: DataFrame, day_indexes: Sequence[int]) -> DataFrame:
-    """Cohort day × day index (columns ``day_<n>``) → mean retention."""
+def cohort_matrix(curve: DataFrame, day_indexes: Sequence[int] | None = None) -> DataFrame:
+    """Cohort day × day index (columns ``day_<n>``) → mean retention; by default every
+    index up to the last of the curve."""
+    if day_indexes is None:
+        last = curve.agg(F.max("day_index")).first()[0]
+        day_indexes = range(0 if last is None else last + 1)
     wide = curve.groupBy("cohort_date").pivot("day_index", list(day_indexes))
     matrix = wide.agg(F.avg("retain_rate"))
     return matrix.select(

@@ -15,10 +15,6 @@ from daybook.sources import catalog, files
 
 Frames = dict[str, DataFrame]
 
-# Cohort days shown in the retention matrix.
-MATRIX_DAYS = range(31)
-
-
 def read_raw(spark: SparkSession, folder: str) -> Frames:
     """The raw tables of ``folder``, one directory per table, log by day."""
     base = folder.rstrip("/")
@@ -99,7 +95,7 @@ def metric_layer(
         "retention_rates", activity.retention_rates(summaries["dws_user_retain_summary"])
     )
     add("retention_long", activity.retention_long(rates))
-    add("cohort_matrix", activity.cohort_matrix(activity.retention_curve(active), MATRIX_DAYS))
+    add("cohort_matrix", activity.cohort_matrix(activity.retention_curve(active)))
     add("channel_totals", activity.channel_totals(channels))
     add("channel_region_totals", activity.channel_region_totals(channels))
     users = user.select("user_id", F.col("register_channel").alias("channel"))
@@ -128,6 +124,33 @@ def metric_layer(
     return metrics
 
 
+def _event_day():
+    """The day of a raw event, by its time and not by its directory."""
+    return F.col("event_time").cast("timestamp_ntz").cast("date")
+
+
+def _day_counts(df: DataFrame, day) -> dict:
+    """Events by day; one row for each calendar day."""
+    counts = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return {r["day"]: r["n"] for r in counts.collect()}
+
+
+def _touched_days(
+    log: DataFrame, recent: DataFrame, before: DataFrame, days: tuple[str, str]
+) -> set | None:
+    """Event days to build again: the days asked for, those of events in their
+    directories (late ones too), and those whose number of events changed. None if a
+    stored day has no events left, so that the whole table has to be replaced."""
+    now, had = _day_counts(log, _event_day()), _day_counts(before, F.col("event_date").cast("date"))
+    named = set(_day_counts(recent, _event_day()))
+    touched = {
+        d
+        for d in now.keys() | had.keys()
+        if d in named or now.get(d) != had.get(d) or d is not None and days[0] <= str(d) <= days[1]
+    }
+    return None if touched - now.keys() else touched
+
+
 def run(
     spark: SparkSession,
     raw_folder: str,
@@ -139,24 +162,36 @@ def run(
 
     The joined events are the one wide table. They are stored once, by day, and
     the clean and fact-ordered tables are views of them; with ``copies`` these
-    two are stored as well. With ``days`` (first, last) only those days of the
-    joined events are built and replaced, the others staying as stored; the
-    remaining tables are always built from all days.
+    two are stored as well. With ``days`` (first, last) the directories of
+    those days are taken as new: the joined events of all event days that they
+    touch are built again from the whole log, the others staying as stored; the
+    remaining tables are always built from all days. The result is that of a run
+    without ``days``.
     """
     out = out_folder.rstrip("/")
     raw = read_raw(spark, raw_folder)
     size_shuffles(spark, raw["ods_todo_event_log"], raw["dim_task"], raw["dim_user"])
     lazy = detail_layer(raw)
+    touched = None
     if days is not None:
-        log = files.read_event_log(spark, f"{raw_folder.rstrip('/')}/ods_todo_event_log", *days)
-        lazy["event_raw"] = detail.event_raw(log, raw["dim_user"], raw["dim_task"])
+        recent = files.read_event_log(spark, f"{raw_folder.rstrip('/')}/ods_todo_event_log", *days)
+        before = files.read_or_empty(spark, f"{out}/detail/event_raw", lazy["event_raw"].schema)
+        touched = _touched_days(raw["ods_todo_event_log"], recent, before, days)
+    if touched is not None:
+        day = _event_day()
+        changed = day.isin([d for d in touched if d is not None])
+        if None in touched:
+            changed |= day.isNull()
+        lazy["event_raw"] = detail.event_raw(
+            raw["ods_todo_event_log"].filter(changed), raw["dim_user"], raw["dim_task"]
+        )
 
     # Where both dimensions are broadcast, tasks keep the days of the raw log.
     shuffled = not (fits_broadcast(raw["dim_user"]) and fits_broadcast(raw["dim_task"]))
     stored: Frames = {
         "event_raw": files.publish(
             lazy["event_raw"], f"{out}/detail", "event_raw", "event_date",
-            rebalance=shuffled, keep_others=days is not None,
+            rebalance=shuffled, keep_others=touched is not None,
         )
     }
     clean = detail.event_clean(stored["event_raw"])

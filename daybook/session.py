@@ -8,12 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.functions.lookups import source_bytes
+from daybook.functions.lookups import UNKNOWN_BYTES, source_bytes
 
 # Input bytes per shuffle partition before adaptive execution merges small ones.
 PARTITION_BYTES = 128 * 1024 * 1024
-# Most shuffle partitions set; sources of unknown size would ask for more.
-MAX_PARTITIONS = 100_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,10 +42,14 @@ def build_session(name: str = "daybook", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a bare local session, as in tests) is a
-    local folder used.
+    Only where that setting is absent and the session is local (as in tests) is a
+    folder of this machine used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/daybook-{uuid.uuid4().hex}/{name}"
 
 
@@ -57,8 +59,10 @@ def size_shuffles(spark: SparkSession, *sources: DataFrame) -> int:
     Adaptive execution joins partitions that turn out small but splits only
     skewed joins, so the number has to be large enough from the start.
     """
-    needed = math.ceil(sum(source_bytes(df) for df in sources) / PARTITION_BYTES)
     present = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(min(needed, MAX_PARTITIONS), present)
+    sizes = [source_bytes(df) for df in sources]
+    # Sources of unknown size say nothing about the number.
+    known = [size for size in sizes if size < UNKNOWN_BYTES]
+    partitions = max(math.ceil(sum(known) / PARTITION_BYTES), present)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return partitions

@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType, StructType
 
 from daybook import schemas
 
+# Stands for NULL; the empty text is an empty field.
+CSV_NULL = "\\N"
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
@@ -96,10 +98,13 @@ def publish(
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; NULL as an empty field, timestamps to the microsecond."""
+    """CSV with header; all fields quoted, NULL as ``CSV_NULL``, timestamps to the
+    microsecond. Texts come back as they are: spaces at the ends, line breaks, quotes
+    and backslashes too."""
     (
         df.write.mode("overwrite")
-        .options(header=True, nullValue="", emptyValue='""')
+        .options(header=True, quoteAll=True, nullValue=CSV_NULL, emptyValue="", escape='"')
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
         .options(timestampFormat=CSV_TIME, timestampNTZFormat=CSV_TIME)
         .csv(path)
     )
@@ -114,7 +119,8 @@ def export_tables_csv(tables: dict[str, DataFrame], folder: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return (
         spark.read.schema(schema)
-        .options(header=True, nullValue="", emptyValue="")
+        .options(header=True, nullValue=CSV_NULL, emptyValue="", escape='"', multiLine=True)
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .options(timestampFormat=CSV_TIME, timestampNTZFormat=CSV_TIME)
         .csv(path)
     )

@@ -58,7 +58,7 @@ def test_sessions_follow_the_definition(spark, minutes, salted):
     rng.shuffle(events)
     df = spark.createDataFrame(events, "user_id string, event_time timestamp_ntz, event_id int")
     options = (
-        {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 50} if salted else {}
+        {"broadcast_bytes": -1, "rows_per_split": 50} if salted else {}
     )
     expected = plain_sessions(events, dt.timedelta(minutes=minutes))
     assert sessions(df, max_gap_minutes=minutes, **options) == expected

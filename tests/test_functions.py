@@ -82,8 +82,8 @@ DIM = [("hot", 1), ("k1", 2), ("k2", 3), ("unused", 4)]
     "options",
     [
         {"broadcast_bytes": 1 << 62},
-        {"broadcast_bytes": -1, "small_fact_bytes": 1 << 70},
-        {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 20},
+        {"broadcast_bytes": -1},
+        {"broadcast_bytes": -1, "rows_per_split": 20},
     ],
     ids=["broadcast", "plain", "salted"],
 )
@@ -108,7 +108,7 @@ def test_lookup_join_splits_a_hot_key(spark):
         )
         dim = spark.createDataFrame(DIM, "k string, v int")
         joined = lookups.lookup_join(
-            fact, dim, "k", spread="id", broadcast_bytes=-1, small_fact_bytes=0, rows_per_split=100
+            fact, dim, "k", spread="id", broadcast_bytes=-1, rows_per_split=100
         )
         sizes = [
             r["n"]

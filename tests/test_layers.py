@@ -48,7 +48,7 @@ def user(spark):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 1}]
+    "options", [{}, {"broadcast_bytes": -1, "rows_per_split": 1}]
 )
 def test_event_raw_keeps_every_event(log, user, task, options):
     raw = detail.event_raw(log, user, task, **options)
@@ -90,7 +90,7 @@ def test_attributes(log, user, task):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 1}]
+    "options", [{}, {"broadcast_bytes": -1, "rows_per_split": 1}]
 )
 def test_lifecycle(events, task, options):
     out = detail.task_lifecycle(events, task, with_delete_flag=True, **options)
@@ -129,7 +129,7 @@ def test_active_detail(events):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 1}]
+    "options", [{}, {"broadcast_bytes": -1, "rows_per_split": 1}]
 )
 def test_active_1d_puts_unknown_users_together(events, user, options):
     out = summary.user_active_1d(events, user, **options)

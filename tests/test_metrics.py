@@ -24,6 +24,23 @@ def test_trailing_window_edges(spark):
     assert trend[6][2] == 1 and trend[7][2] == 1
 
 
+def test_days_of_unknown_users_are_in_the_calendar(rows):
+    active = rows(
+        "user_id bigint, stat_date date", (1, day(2)), (None, day(1)), (1, day(3)), (None, day(5))
+    )
+    trend = collect(activity.activity_trend(active))
+    assert [(r[0], r[1], r[2]) for r in trend] == [
+        (day(1), 0, 0), (day(2), 1, 1), (day(3), 1, 1), (day(4), 0, 1), (day(5), 0, 1)
+    ]
+
+
+def test_matrix_has_every_day_of_the_data(spark):
+    curve = spark.range(60).selectExpr(
+        "date'2026-07-01' AS cohort_date", "CAST(id AS INT) AS day_index", "1 AS users", "1.0D AS retain_rate"
+    )
+    assert activity.cohort_matrix(curve).columns[-1] == "day_59"
+
+
 def test_spine_gap(spark):
     trend = collect(activity.activity_trend(active(spark, ("u", day(1)), ("u", day(12)))), "date")
     assert [r[1] for r in trend] == [1] + [0] * 10 + [1]

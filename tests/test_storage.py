@@ -92,6 +92,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert collect(files.read_csv(spark, f"{tmp_path}/t", df.schema)) == collect(df)
 
 
+def test_csv_keeps_text(spark, tmp_path):
+    values = [" lead", "trail ", "", None, "line1\nline2", "cr\rx", "a\r\nb", '"', 'q"q', "back\\slash", "\\", "a,b", " "]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, text string")
+    files.export_csv(df, f"{tmp_path}/t")
+    got = files.read_csv(spark, f"{tmp_path}/t", df.schema)
+    assert [r["text"] for r in got.orderBy("id").collect()] == values
+
+
 def test_catalog(spark, log, tmp_path):
     current = spark.catalog.currentDatabase()
     for name, df in {
@@ -160,6 +168,25 @@ def test_new_days_are_added(spark, log, tmp_path):
         assert collect(tables[name]) == collect(full[name])
 
 
+def test_late_events_and_emptied_days(spark, log, tmp_path):
+    """A run of some days equals a full run where a directory holds events of other
+    days, and where a day has no events left."""
+    folder, out = raw_folder(spark, log, f"{tmp_path}/raw"), f"{tmp_path}/out"
+    layers.run(spark, folder, out)
+    # The directory of the second day now holds a copy of the first day's events too.
+    late = log.filter("event_date <= '2026-07-02'").withColumn("event_date", F.lit("2026-07-02"))
+    files.write_partitioned(late, f"{folder}/ods_todo_event_log")
+    tables = layers.run(spark, folder, out, days=("2026-07-02", "2026-07-02"))
+    full = layers.detail_layer(layers.read_raw(spark, folder))["event_raw"]
+    assert collect(tables["event_raw"]) == collect(full)
+    # The last day's events are gone.
+    rest = f"{tmp_path}/rest"
+    raw_folder(spark, log.filter("event_date < '2026-07-03'"), rest)
+    tables = layers.run(spark, rest, out, days=("2026-07-03", "2026-07-03"))
+    full = layers.detail_layer(layers.read_raw(spark, rest))["event_raw"]
+    assert collect(tables["event_raw"]) == collect(full)
+
+
 def test_checks(spark, log, tmp_path):
     raw = layers.read_raw(spark, raw_folder(spark, log, f"{tmp_path}/raw"))
     reports = layers.check(raw)
@@ -186,7 +213,7 @@ def test_schema_report_names_differences(rows):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"broadcast_bytes": -1, "small_fact_bytes": 0, "rows_per_split": 1}]
+    "options", [{}, {"broadcast_bytes": -1, "rows_per_split": 1}]
 )
 def test_duplicates(rows, options):
     frame = rows("k string, t int", ("a", 2), ("b", 1), ("a", 1), (None, 4), (None, 3), ("", 5))
