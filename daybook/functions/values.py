@@ -74,14 +74,6 @@ def round_scaled(value: Column, digits: int) -> Column:
     return F.round(value * scale) / scale
 
 
-def percent_text(rate: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", rate * 100)
-
-
-def thousands_text(number: Column, digits: int = 0) -> Column:
-    return F.format_number(number, digits)
-
-
 def first_present(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
     """First of ``candidates`` that is a column of ``df``."""
     return next((c for c in candidates if c in df.columns), None)

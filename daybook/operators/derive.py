@@ -185,60 +185,6 @@ def pack_attributes(
     return events.withColumn("attributes", text.otherwise(packed(OTHER_KEYS)))
 
 
-# Contributions to the completion score.
-BASE_SCORE = 0.25
-PRIORITY_SCORES = {"high": 0.18, "medium": 0.05, "low": -0.10}
-DUE_SOON_DAYS = 7
-DUE_SOON_SCORE, DUE_LATER_SCORE, NO_DUE_SCORE = 0.18, 0.08, -0.05
-REMINDER_SCORE, NO_REMINDER_SCORE = 0.08, -0.03
-LOWEST_SCORE, HIGHEST_SCORE = 0.05, 0.92
-
-
-def completion_score(
-    task: DataFrame, priority_scores: Mapping[str, float] | None = None
-) -> DataFrame:
-    """Add ``completion_score``: clipped sum of rule contributions."""
-    priority = F.lit(0.0)
-    for name, score in (PRIORITY_SCORES if priority_scores is None else priority_scores).items():
-        priority = F.when(F.col("priority") == name, F.lit(score)).otherwise(priority)
-    due_days = F.datediff(F.col("due_date").cast("date"), F.to_date("create_time"))
-    due = (
-        F.when(F.col("due_date").isNull(), F.lit(NO_DUE_SCORE))
-        .when(due_days <= DUE_SOON_DAYS, F.lit(DUE_SOON_SCORE))
-        .otherwise(F.lit(DUE_LATER_SCORE))
-    )
-    reminder = F.when(F.col("has_reminder"), F.lit(REMINDER_SCORE)).otherwise(
-        F.lit(NO_REMINDER_SCORE)
-    )
-    total = F.lit(BASE_SCORE) + priority + due + reminder
-    clipped = F.least(F.greatest(total, F.lit(LOWEST_SCORE)), F.lit(HIGHEST_SCORE))
-    return task.withColumn("completion_score", clipped)
-
-
-DUE_HORIZON_DAYS = 30
-
-
-def due_window(task: DataFrame, period_end: Column) -> DataFrame:
-    """Add the days a due date may lie in: start, end and span in days."""
-    start = F.to_date("create_time")
-    end = F.least(F.date_add(start, DUE_HORIZON_DAYS), period_end)
-    return task.withColumns(
-        {"due_start": start, "due_end": end, "span_days": F.datediff(end, start)}
-    )
-
-
-def user_key(number: Column) -> Column:
-    return F.concat(F.lit("user_"), padded(number, 6))
-
-
-def task_key(number: Column) -> Column:
-    return F.concat(F.lit("task_"), padded(number, 8))
-
-
-def log_key(number: Column) -> Column:
-    return F.concat(F.lit("log_"), padded(number, 10))
-
-
 def postponed_tasks(events: DataFrame) -> DataFrame:
     """Tasks moved to a later due date, with the latest one and the moves made."""
     moved_to = date_from_text(F.col("attr_new_due_date"))

@@ -9,14 +9,10 @@ from __future__ import annotations
 
 import re
 
-from daybook.operators.detail import ATTRIBUTES, REDUNDANT, USER_COLUMNS
-from daybook.plans.registry import COHORT_DAYS, HOLIDAYS, SAMPLE_PRIORITY_SCORES
-from daybook.sources.sample_tables import SCHEMAS
+HOLIDAYS = ("1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01")
 
-CLIENT = """(['mobile','tablet','desktop'])[{n} % 3 + 1] AS device_type,
-    (['android','ios','windows','macos'])[{n} % 4 + 1] AS os,
-    (['3.0.1','3.1.0','3.1.2','3.2.0','3.2.1'])[{n} % 5 + 1] AS app_version,
-    (['wifi','4g','5g'])[{n} % 3 + 1] AS network_type"""
+CLIENT = """'device_' || CAST({n} % 3 AS VARCHAR) AS device_type, 'os_' || CAST({n} % 4 AS VARCHAR) AS os,
+    'version_' || CAST({n} % 5 AS VARCHAR) AS app_version, 'network_' || CAST({n} % 2 AS VARCHAR) AS network_type"""
 
 
 def sessions_of(source: str, columns: str) -> str:
@@ -42,11 +38,11 @@ def retention_of(source: str, by: str = "") -> str:
         FROM {source} GROUP BY ALL) GROUP BY ALL"""
 
 
-def active_days_of(source: str, session: str = "session_id") -> str:
+def active_days_of(source: str) -> str:
     return f"""
   SELECT user_id, event_time::DATE AS active_date, min(event_time) AS first_event_time,
          max(event_time) AS last_event_time, count(*) AS event_cnt,
-         count(DISTINCT {session}) AS session_cnt
+         count(DISTINCT session_id) AS session_cnt
   FROM {source} GROUP BY ALL"""
 
 
@@ -78,45 +74,50 @@ def behavior_of(source: str) -> str:
   LEFT JOIN lifecycle l ON l.user_id = c.user_id GROUP BY ALL"""
 
 
-SQL_TYPES = {"text": "VARCHAR", "boolean": "BOOLEAN", "integer": "INTEGER"}
 EVENT_ATTRIBUTES = ", ".join(
-    f"TRY_CAST(e.attributes ->> '$.{key}' AS {SQL_TYPES[kind]}) AS {name}"
-    for key, (name, kind) in ATTRIBUTES.items()
+    f"TRY_CAST(e.attributes ->> '$.{key}' AS {kind}) AS {name}"
+    for key, name, kind in (
+        ("priority", "attr_priority", "VARCHAR"),
+        ("due_date", "attr_due_date", "VARCHAR"),
+        ("has_reminder", "attr_has_reminder", "BOOLEAN"),
+        ("has_subtask", "attr_has_subtask", "BOOLEAN"),
+        ("action_duration", "action_duration", "INTEGER"),
+        ("new_priority", "attr_new_priority", "VARCHAR"),
+        ("new_due_date", "attr_new_due_date", "VARCHAR"),
+        ("query", "attr_query", "VARCHAR"),
+        ("result_count", "attr_result_count", "INTEGER"),
+        ("feature_name", "attr_feature_name", "VARCHAR"),
+        ("close_reason", "attr_close_reason", "VARCHAR"),
+    )
 )
-EVENT_USER = ", ".join(f"u.{name}" for name in USER_COLUMNS)
 
 
 # Named intermediate results; each may use any other.
 TABLES = {
     "dim_user": """
   SELECT c_custkey AS user_id, CAST(NULL AS VARCHAR) AS register_time,
-         CASE WHEN c_custkey % 20 < 13 THEN 'old_user' ELSE 'new_user' END AS user_group,
-         CASE WHEN c_acctbal < 3000 THEN 'free' WHEN c_acctbal < 7000 THEN 'standard' ELSE 'vip' END AS user_level,
-         CASE c_custkey % 4 WHEN 0 THEN 'low_frequency' WHEN 3 THEN 'high_frequency' ELSE 'normal' END AS user_type,
-         CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-         CASE c_custkey % 5 WHEN 0 THEN '18-24' WHEN 1 THEN '25-34' WHEN 2 THEN '35-44' WHEN 3 THEN '45-54' ELSE '55+' END AS age_group,
-         r_name AS province, n_name AS city, c_custkey % 25 < 17 AS is_active,
+         CASE WHEN c_acctbal < 5000 THEN 'lower' ELSE 'upper' END AS user_group,
+         CASE WHEN c_acctbal < 2500 THEN 'level_1' WHEN c_acctbal < 7500 THEN 'level_2' ELSE 'level_3' END AS user_level,
+         lower(c_mktsegment) AS user_type,
+         'gender_' || CAST(c_custkey % 2 AS VARCHAR) AS gender,
+         'ages_' || CAST(c_custkey % 3 AS VARCHAR) AS age_group,
+         r_name AS province, n_name AS city, c_acctbal >= 0 AS is_active,
          c_mktsegment AS register_channel
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "dim_task": """
   SELECT o_orderkey AS task_id, o_custkey AS user_id, o_custkey * 10 + o_orderkey % 5 AS list_id,
          CAST(NULL AS VARCHAR) AS task_title, o_orderpriority AS priority,
-         CASE WHEN o_orderkey % 100 < 68 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 31 AS INT) AS VARCHAR) END AS due_date,
+         CASE WHEN o_totalprice < 200000 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 31 AS INT) AS VARCHAR) END AS due_date,
          o_orderdate AS create_time,
          CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_hours(o_orderkey % 72) END AS complete_time,
          o_orderstatus = 'F' AS is_completed,
-         o_orderkey % 25 < 9 AS has_subtask, o_orderkey % 50 < 21 AS has_reminder,
+         o_orderkey % 3 = 0 AS has_subtask, o_orderkey % 2 = 0 AS has_reminder,
          CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'deleted' END AS task_status
   FROM orders""",
-    "app_event": f"""
-  SELECT 'e' || CAST(event_id AS VARCHAR) AS log_id, user_id, ts AS event_time, event_type,
-         CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS BIGINT) AS list_id, props AS attributes,
-         {CLIENT.format(n='event_id')}
-  FROM events""",
     "raw_event": f"""
   SELECT 'c' || CAST(o_orderkey AS VARCHAR) AS log_id, o_custkey AS user_id, o_orderdate AS event_time,
          'create_task' AS event_type, o_orderkey AS task_id, o_custkey * 10 + o_orderkey % 5 AS list_id,
-         '{{"action_duration": ' || CAST(o_orderkey % 118 + 3 AS VARCHAR) || ', "due_date": null, "has_reminder": true}}' AS attributes,
+         '{{"action_duration": ' || CAST(o_orderkey % 60 AS VARCHAR) || ', "due_date": null, "has_reminder": true}}' AS attributes,
          {CLIENT.format(n='o_orderkey')}
   FROM orders
   UNION ALL
@@ -129,20 +130,20 @@ TABLES = {
          {CLIENT.format(n='l_partkey')}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL
-  SELECT * FROM app_event""",
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS log_id, user_id, ts AS event_time, event_type,
+         CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS BIGINT) AS list_id, props AS attributes,
+         {CLIENT.format(n='event_id')}
+  FROM events""",
     "todo_event": sessions_of("raw_event", "* EXCLUDE (starts)"),
-    "app_session": sessions_of(
-        "(SELECT event_id, user_id, ts AS event_time, event_type FROM events)",
-        "event_id, user_id, event_time, event_type",
-    ),
     "event_raw": f"""
-  SELECT e.* EXCLUDE (log_id), e.log_id AS event_id, e.event_time::DATE AS event_date, {EVENT_USER},
+  SELECT e.* EXCLUDE (log_id), e.log_id AS event_id, e.event_time::DATE AS event_date, u.province, u.city, u.user_level, u.user_type,
+         u.gender, u.age_group, u.is_active, u.register_channel,
          t.priority AS task_priority, t.create_time AS task_create_time, t.complete_time AS task_complete_time,
          t.is_completed AS task_is_completed, t.due_date, t.has_subtask, t.has_reminder, t.task_status,
          {EVENT_ATTRIBUTES}
   FROM todo_event e LEFT JOIN dim_user u ON u.user_id = e.user_id LEFT JOIN dim_task t ON t.task_id = e.task_id""",
     "event_clean": f"""
-  SELECT * EXCLUDE ({', '.join(REDUNDANT)}) FROM event_raw""",
+  SELECT * EXCLUDE (attr_priority, attr_due_date, attr_has_reminder, attr_has_subtask) FROM event_raw""",
     "lifecycle": """
   SELECT m.*, date_diff('second', create_time, first_complete_time) AS complete_duration_seconds,
          coalesce(last_update_time::DATE > t.due_date::DATE, FALSE) AS is_overdue,
@@ -153,18 +154,16 @@ TABLES = {
         FROM raw_event GROUP BY ALL) m
   LEFT JOIN (SELECT * EXCLUDE (create_time, is_completed, user_id) FROM dim_task) t ON t.task_id = m.task_id""",
     "active_detail": active_days_of("todo_event"),
-    "app_days": active_days_of("app_event", "task_id"),
     "active_1d": f"""
   SELECT u.user_id, event_time::DATE AS stat_date, min(event_time)::DATE AS first_active_date,
          max(event_time)::DATE AS last_active_date, count(*) AS event_cnt,
          count(DISTINCT session_id) AS session_cnt, count(DISTINCT task_id) AS task_touch_cnt,
          {', '.join(f"bool_or(event_type = '{event}')::INT AS {event}_flag" for event in TASK_STEPS)}
   FROM todo_event e LEFT JOIN dim_user u ON u.user_id = e.user_id GROUP BY ALL""",
-    "app_active": """
+    "known_days": """
   SELECT DISTINCT u.user_id, CAST(e.event_time AS DATE) AS stat_date
-  FROM app_event e LEFT JOIN dim_user u ON e.user_id = u.user_id""",
+  FROM raw_event e LEFT JOIN dim_user u ON e.user_id = u.user_id""",
     "behavior": behavior_of("raw_event"),
-    "app_behavior": behavior_of("app_event"),
     "task_summary": """
   SELECT create_time::DATE AS stat_date, count(*) AS task_created_cnt, count(*) FILTER (is_completed) AS task_completed_cnt,
          count(*) FILTER (is_overdue) AS overdue_cnt, task_completed_cnt / task_created_cnt AS completion_rate,
@@ -173,29 +172,36 @@ TABLES = {
     "channel_region": """
   SELECT event_time::DATE AS stat_date, register_channel, province, city,
          count(DISTINCT e.user_id) AS active_user_cnt, count(*) AS event_cnt
-  FROM app_event e LEFT JOIN dim_user u ON u.user_id = e.user_id GROUP BY ALL""",
+  FROM raw_event e LEFT JOIN dim_user u ON u.user_id = e.user_id GROUP BY ALL""",
     "new_old": """
   SELECT active_date AS stat_date, count(*) FILTER (active_date = first_day) AS new_user_cnt,
          count(*) FILTER (active_date > first_day) AS old_user_cnt
-  FROM (SELECT active_date, min(active_date) OVER (PARTITION BY user_id) AS first_day FROM app_days)
+  FROM (SELECT active_date, min(active_date) OVER (PARTITION BY user_id) AS first_day FROM active_detail)
   GROUP BY ALL""",
-    "retain": retention_of("app_days"),
+    "retain": retention_of("active_detail"),
     "retain_rate": """
   SELECT *, first_active_date AS date, day1_retained_users / NULLIF(total_new_users, 0) AS retain_1d,
          day7_retained_users / NULLIF(total_new_users, 0) AS retain_7d,
          day30_retained_users / NULLIF(total_new_users, 0) AS retain_30d
   FROM retain""",
     "usage": usage_of("lifecycle"),
+    "curve": """
+  SELECT first_day AS cohort_date, CAST(active_date - first_day AS INT) AS day_index, count(*) AS users,
+         count(*)::DOUBLE / any_value(size) AS retain_rate
+  FROM (SELECT user_id, active_date, min(active_date) OVER (PARTITION BY user_id) AS first_day FROM active_detail)
+  JOIN (SELECT first_day, count(*) AS size FROM (SELECT min(active_date) AS first_day FROM active_detail GROUP BY user_id)
+        GROUP BY ALL) USING (first_day)
+  GROUP BY ALL""",
     "spine": """
-  SELECT CAST(UNNEST(generate_series(MIN(stat_date), MAX(stat_date), INTERVAL '1' DAY)) AS DATE) AS date FROM app_active""",
+  SELECT CAST(UNNEST(generate_series(MIN(stat_date), MAX(stat_date), INTERVAL '1' DAY)) AS DATE) AS date FROM known_days""",
     "daily": """
-  SELECT stat_date AS date, COUNT(DISTINCT user_id) AS dau FROM app_active GROUP BY 1""",
+  SELECT stat_date AS date, COUNT(DISTINCT user_id) AS dau FROM known_days GROUP BY 1""",
     "trend": """
   SELECT s.date, COALESCE(MAX(d.dau), 0) AS dau,
          COUNT(DISTINCT CASE WHEN a.stat_date > s.date - 7 THEN a.user_id END) AS wau,
          COUNT(DISTINCT a.user_id) AS mau
   FROM spine s LEFT JOIN daily d ON s.date = d.date
-  LEFT JOIN app_active a ON a.stat_date BETWEEN s.date - 29 AND s.date GROUP BY s.date""",
+  LEFT JOIN known_days a ON a.stat_date BETWEEN s.date - 29 AND s.date GROUP BY s.date""",
     "flags": """
   SELECT task_id, user_id, is_completed, CASE WHEN has_reminder THEN 1 ELSE 0 END AS has_reminder,
          CASE WHEN has_subtask THEN 1 ELSE 0 END AS has_subtask,
@@ -270,34 +276,56 @@ def melt(source: str, key: str, names: dict[str, str] | tuple[str, ...], label:
     )
 
 
-COHORTS = "SELECT c.first_active_date AS cohort_date, " + ", ".join(
-    f"CASE WHEN COUNT(DISTINCT CASE WHEN DATE_DIFF('day', c.first_active_date, d.active_date) = {n} THEN d.user_id END) > 0 "
-    f"THEN COUNT(DISTINCT CASE WHEN DATE_DIFF('day', c.first_active_date, d.active_date) = {n} THEN d.user_id END)::DOUBLE "
-    f"/ COUNT(DISTINCT d.user_id) END AS day_{n}"
-    for n in COHORT_DAYS
-) + (
-    " FROM (SELECT user_id, MIN(active_date) AS first_active_date FROM app_days GROUP BY user_id) c "
-    "JOIN app_days d ON c.user_id = d.user_id GROUP BY c.first_active_date"
-)
+COHORTS = "SELECT cohort_date, " + ", ".join(
+    f"MAX(retain_rate) FILTER (day_index = {n}) AS day_{n}" for n in range(31)
+) + " FROM curve GROUP BY cohort_date"
+
+# Table, then column, declared type and type of DuckDB.
+STORED_TYPES = """
+events event_id bigint BIGINT, ts timestamp_ntz TIMESTAMP, user_id bigint BIGINT, event_type string VARCHAR,
+  value double DOUBLE, props string VARCHAR
+customer c_custkey bigint BIGINT, c_name string VARCHAR, c_nationkey int INTEGER, c_acctbal double DOUBLE,
+  c_mktsegment string VARCHAR
+orders o_orderkey bigint BIGINT, o_custkey bigint BIGINT, o_orderstatus string VARCHAR, o_totalprice double DOUBLE,
+  o_orderdate timestamp_ntz TIMESTAMP, o_orderpriority string VARCHAR
+lineitem l_orderkey bigint BIGINT, l_partkey bigint BIGINT, l_suppkey bigint BIGINT, l_linenumber int INTEGER,
+  l_quantity double DOUBLE, l_extendedprice double DOUBLE, l_discount double DOUBLE, l_tax double DOUBLE,
+  l_returnflag string VARCHAR, l_linestatus string VARCHAR, l_shipdate timestamp_ntz TIMESTAMP
+nation n_nationkey int INTEGER, n_name string VARCHAR, n_regionkey int INTEGER
+region r_regionkey int INTEGER, r_name string VARCHAR"""
+
+
+def schema_report() -> str:
+    """Whether the type that DuckDB finds stored is the one meant by the declared type."""
+    parts = []
+    for line in STORED_TYPES.replace(",\n ", ",").strip().splitlines():
+        table, rest = line.split(" ", 1)
+        for name, declared, stored in (column.split() for column in rest.split(",")):
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{name}' AS column_name, '{declared}' AS data_type, "
+                f"'{declared}' AS expected_type, coalesce(min(typeof({name})), '{stored}') = '{stored}' AS matches, "
+                f"count(*) - count({name}) AS null_cnt FROM {table}"
+            )
+    return " UNION ALL ".join(parts)
 
-SCHEMA_REPORT = " UNION ALL ".join(
-    f"SELECT '{table}' AS table_name, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
-    f"'{f.dataType.simpleString()}' AS expected_type, TRUE AS matches, COUNT(*) - COUNT({f.name}) AS null_cnt FROM {table}"
-    for table, schema in SCHEMAS.items()
-    for f in schema
-)
-
-SCORE = " ".join(
-    f"WHEN '{name}' THEN {score}::DOUBLE" for name, score in SAMPLE_PRIORITY_SCORES.items()
-)
 
 NULL_COLUMNS = ("task_id", "create_time", "first_complete_time", "complete_duration_seconds", "due_date")
 
 STATEMENTS = {
     "scan_events": "SELECT * FROM events",
     "read_or_empty": "SELECT * FROM events",
-    "scan_events_partitioned": PARTITIONED,
-    "csv_round_trip": "SELECT * FROM events",
+    "scan_events_partitioned": PARTITIONED + " WHERE ts >= DATE '2024-01-08' AND ts < DATE '2024-01-15'",
+    "read_flat_log": """
+      SELECT * EXCLUDE (ts), ts AS event_time, strftime(ts, '%Y-%m-%d') AS event_date FROM events
+      WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "write_table": "SELECT * FROM orders",
+    "publish_table": "SELECT * FROM task_summary",
+    "csv_round_trip": """
+      SELECT * EXCLUDE (props, mark), CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '' ELSE mark || props || mark END AS props
+      FROM (SELECT *, ([' ', '', chr(10), chr(13), '"', chr(92), ',', chr(92) || 'N'])[event_id % 8 + 1] AS mark FROM events)""",
+    "catalog_external": "SELECT * FROM orders",
+    "catalog_partitions": "SELECT DISTINCT 'event_date=' || strftime(ts, '%Y-%m-%d') AS partition FROM events",
+    "publish_views": "SELECT o_orderpriority, COUNT(*) AS cnt FROM orders GROUP BY 1",
     "catalog_partitioned": PARTITIONED,
     "catalog_repair": "SELECT strftime(ts, '%Y-%m-%d') AS event_date, COUNT(*) AS row_count FROM events GROUP BY 1",
     "preview_limit": "SELECT * FROM events ORDER BY ts, event_id LIMIT 10",
@@ -314,12 +342,12 @@ STATEMENTS = {
     "dws_event_type_summary_1d": """
       SELECT stat_date, event_type, event_cnt, round(event_cnt / of_day, 4) AS event_ratio,
              round(event_cnt * 100 / of_day, 2) AS event_ratio_pct
-      FROM (SELECT event_time::DATE AS stat_date, event_type, count(*) AS event_cnt FROM app_event GROUP BY ALL)
-      JOIN (SELECT event_time::DATE AS stat_date, count(*)::DOUBLE AS of_day FROM app_event GROUP BY ALL) USING (stat_date)""",
+      FROM (SELECT event_time::DATE AS stat_date, event_type, count(*) AS event_cnt FROM raw_event GROUP BY ALL)
+      JOIN (SELECT event_time::DATE AS stat_date, count(*)::DOUBLE AS of_day FROM raw_event GROUP BY ALL) USING (stat_date)""",
     "dws_hour_active_summary": """
       SELECT event_time::DATE AS stat_date, hour(event_time) AS active_hour, count(*) AS event_cnt,
              count(DISTINCT user_id) AS active_user_cnt
-      FROM app_event GROUP BY ALL""",
+      FROM raw_event GROUP BY ALL""",
     "dws_channel_region_summary": "SELECT * FROM channel_region",
     "dws_new_old_user_summary": "SELECT * FROM new_old",
     "dws_user_retain_summary": "SELECT * FROM retain",
@@ -343,15 +371,16 @@ STATEMENTS = {
       SELECT 'active' AS label, COUNT(DISTINCT CASE WHEN active_day_cnt > 0 THEN user_id END) AS cnt FROM behavior
       UNION ALL SELECT 'inactive', COUNT(DISTINCT user_id) - COUNT(DISTINCT CASE WHEN active_day_cnt > 0 THEN user_id END) FROM behavior""",
     "active_share_of_all": """
-      SELECT 'active' AS label, COUNT(DISTINCT user_id) AS cnt FROM events
-      UNION ALL SELECT 'inactive', COUNT(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
+      SELECT 'active' AS label, COUNT(DISTINCT user_id) AS cnt FROM raw_event
+      UNION ALL SELECT 'inactive', COUNT(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM raw_event WHERE user_id IS NOT NULL)""",
     "retention_rates": "SELECT * FROM retain_rate",
     "retention_long": melt("retain_rate", "date", ("retain_1d", "retain_7d", "retain_30d"), "period", "rate"),
     "retention_censored": "SELECT first_active_date, total_new_users, " + ", ".join(
-        f"CASE WHEN first_active_date + {n} <= (SELECT MAX(active_date) FROM app_days) "
+        f"CASE WHEN first_active_date + {n} <= (SELECT MAX(active_date) FROM active_detail) "
         f"THEN day{n}_retained_users END AS day{n}_retained_users"
         for n in (1, 7, 30)
     ) + " FROM retain",
+    "retention_curve": "SELECT * FROM curve",
     "cohort_retention_matrix": COHORTS,
     "channel_totals": "SELECT COALESCE(register_channel, 'None') AS channel, CAST(SUM(active_user_cnt) AS BIGINT) AS new_user_cnt FROM channel_region GROUP BY 1",
     "channel_region_totals": """
@@ -359,9 +388,9 @@ STATEMENTS = {
       FROM channel_region WHERE province IS NOT NULL GROUP BY 1, 2""",
     "channel_quality": f"""
       SELECT c.channel, c.new_user_cnt, r.retain_7d FROM
-        (SELECT register_channel AS channel, CAST(SUM(active_user_cnt) AS BIGINT) AS new_user_cnt FROM channel_region GROUP BY 1) c
+        (SELECT COALESCE(register_channel, 'None') AS channel, CAST(SUM(active_user_cnt) AS BIGINT) AS new_user_cnt FROM channel_region GROUP BY 1) c
       LEFT JOIN (SELECT channel, ROUND(AVG(day7_retained_users / NULLIF(total_new_users, 0)), 6) AS retain_7d
-                 FROM ({retention_of('(SELECT a.*, u.register_channel AS channel FROM app_days a JOIN dim_user u ON a.user_id = u.user_id)', 'channel, ')})
+                 FROM ({retention_of('(SELECT a.*, u.register_channel AS channel FROM active_detail a JOIN dim_user u ON a.user_id = u.user_id)', 'channel, ')})
                  GROUP BY channel) r ON c.channel = r.channel""",
     "completion_kpis": """
       SELECT CAST(SUM(task_created_cnt) AS BIGINT) AS total_created, CAST(SUM(task_completed_cnt) AS BIGINT) AS total_completed,
@@ -403,7 +432,7 @@ STATEMENTS = {
         "segments", "user_group", ("remind_rate", "subtask_rate", "due_rate"), "feature", "rate"
     ),
     "segment_feature_matrix": "SELECT user_group, remind_rate, subtask_rate, due_rate FROM segments",
-    "sessionize": "SELECT event_id, user_id, event_time, session_id, strftime(event_time, '%Y-%m-%d') AS event_date FROM app_session",
+    "sessionize": "SELECT log_id AS event_id, user_id, event_time, session_id, strftime(event_time, '%Y-%m-%d') AS event_date FROM todo_event",
     "dim_date": f"""
       SELECT strftime(d, '%Y%m%d') AS date_key, strftime(d, '%Y-%m-%d') AS date_str,
              CAST(EXTRACT(YEAR FROM d) AS INT) AS year, CAST(EXTRACT(MONTH FROM d) AS INT) AS month,
@@ -416,31 +445,17 @@ STATEMENTS = {
     "pack_attributes": """
       SELECT task_id, event_type, CAST(CASE WHEN event_type = 'create_task'
         THEN json_object('priority', priority, 'due_date', due_date, 'has_reminder', has_reminder,
-                         'has_subtask', has_subtask, 'action_duration', task_id % 118 + 3)
-        ELSE json_object('priority', priority, 'due_date', due_date, 'action_duration', task_id % 118 + 3) END AS VARCHAR) AS attributes
+                         'has_subtask', has_subtask, 'action_duration', task_id % 60)
+        ELSE json_object('priority', priority, 'due_date', due_date, 'action_duration', task_id % 60) END AS VARCHAR) AS attributes
       FROM milestone""",
-    "task_completion_score": f"""
-      SELECT task_id, ROUND(LEAST(GREATEST(0.25::DOUBLE + CASE priority {SCORE} ELSE 0::DOUBLE END
-        + CASE WHEN due_date IS NULL THEN -0.05::DOUBLE
-               WHEN DATE_DIFF('day', CAST(create_time AS DATE), CAST(due_date AS DATE)) <= 7 THEN 0.18::DOUBLE ELSE 0.08::DOUBLE END
-        + CASE WHEN has_reminder THEN 0.08::DOUBLE ELSE -0.03::DOUBLE END, 0.05), 0.92), 6) AS completion_score
-      FROM dim_task""",
-    "due_window": """
-      SELECT task_id, due_start, due_end, CAST(DATE_DIFF('day', due_start, due_end) AS INT) AS span_days
-      FROM (SELECT task_id, CAST(create_time AS DATE) AS due_start,
-                   LEAST(CAST(create_time AS DATE) + 30, (SELECT MAX(CAST(create_time AS DATE)) FROM dim_task)) AS due_end
-            FROM dim_task)""",
-    "format_ids": """
-      SELECT printf('user_%06d', user_id) AS user_key, printf('task_%08d', task_id) AS task_key,
-             printf('log_%010d', list_id) AS log_key FROM dim_task""",
     "postponed_tasks": """
       SELECT task_id, due_date, MAX(CAST(attr_new_due_date AS DATE)) AS latest_due_date, COUNT(*) AS postpone_cnt
       FROM event_raw WHERE task_id IS NOT NULL AND CAST(attr_new_due_date AS DATE) > CAST(due_date AS DATE)
       GROUP BY task_id, due_date""",
     "event_transitions": """
       SELECT event_type AS from_event, to_event, COUNT(*) AS transition_cnt
-      FROM (SELECT event_type, LEAD(event_type) OVER (PARTITION BY session_id ORDER BY event_time, event_id) AS to_event
-            FROM app_session)
+      FROM (SELECT event_type, LEAD(event_type) OVER (PARTITION BY session_id ORDER BY event_time, log_id) AS to_event
+            FROM todo_event)
       WHERE to_event IS NOT NULL GROUP BY 1, 2""",
     "parse_dates": """
       SELECT CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day, COUNT(*) AS cnt
@@ -450,11 +465,14 @@ STATEMENTS = {
       UNION ALL SELECT 'dim_date', DATE_DIFF('day', MIN(o_orderdate), MAX(o_orderdate)) + 1 FROM orders
       UNION ALL SELECT 'dim_task', COUNT(*) FROM dim_task
       UNION ALL SELECT 'ods_todo_event_log', COUNT(*) FROM raw_event""",
+    "require_row_count": "SELECT COUNT(*) AS order_cnt, (SELECT COUNT(*) FROM lineitem) AS line_cnt FROM orders",
+    "require_parts_within": """
+      SELECT COUNT(*) AS total, COUNT(*) FILTER (event_type NOT IN ('create_task', 'delete_task')) AS left_cnt FROM raw_event""",
     "top_event_types": "SELECT event_type, COUNT(*) AS cnt FROM raw_event GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "duplicate_sessions": """
-      SELECT event_id, user_id, session_id, event_time, event_type
-      FROM (SELECT *, COUNT(*) OVER (PARTITION BY session_id) AS n FROM app_session) WHERE n > 1""",
-    "schema_report": SCHEMA_REPORT,
+      SELECT log_id AS event_id, user_id, session_id, event_time, event_type
+      FROM (SELECT *, COUNT(*) OVER (PARTITION BY session_id) AS n FROM todo_event) WHERE n > 1""",
+    "schema_report": schema_report(),
     "run_metrics": """
       SELECT user_cnt, day_cnt, (SELECT COUNT(*) FROM dim_task) / user_cnt AS tasks_per_user,
              (SELECT AVG(CASE WHEN is_completed THEN 1 ELSE 0 END) FROM dim_task) AS completion_rate,
@@ -470,7 +488,7 @@ STATEMENTS = {
     "value_counts": "SELECT CAST(has_reminder AS VARCHAR) AS value, COUNT(*) AS cnt FROM lifecycle GROUP BY 1",
     "orphan_events": """
       SELECT 'unknown_user' AS "check", COUNT(*) AS event_cnt FROM raw_event
-      WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM dim_user WHERE is_active)
+      WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM dim_user)
       UNION ALL SELECT 'unknown_task', COUNT(*) FROM raw_event
       WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM dim_task)
       UNION ALL SELECT 'outside_period', COUNT(*) FROM raw_event

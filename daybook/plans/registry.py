@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from daybook.functions.lookups import lookup_join
 from daybook.functions.values import lenient_date
 from daybook.operators import activity, derive, detail, features, lifecycle, quality, summary
 from daybook.session import scratch_path
@@ -20,11 +21,8 @@ QUERIES: dict[str, Query] = {}
 
 # Days that are holidays in the sample calendar.
 HOLIDAYS = ("1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01")
-# The sample tasks' priorities on the three-step scale of the completion score.
-SAMPLE_PRIORITY_SCORES = {
-    "1-URGENT": 0.18, "2-HIGH": 0.18, "3-MEDIUM": 0.05, "4-NOT SPECIFIED": 0.0, "5-LOW": -0.10,
-}
-COHORT_DAYS = range(30)
+# Columns of the registered wide matrix; ``retention_curve`` has every day.
+MATRIX_DAYS = range(31)
 
 
 def query(function: Query) -> Query:
@@ -40,11 +38,6 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 # --- inputs -------------------------------------------------------------------
 
 
-def _events(spark, folder):
-    """``events`` alone, without sessions or tasks."""
-    return st.sample(spark, folder, "events").withColumnRenamed("ts", "event_time")
-
-
 def _log(spark, folder):
     """Combined log, typed, without sessions."""
     return detail.typed_events(st.event_log(spark, folder))
@@ -65,18 +58,17 @@ def _lifecycle(spark, folder):
     return detail.task_lifecycle(_log(spark, folder), st.dim_task(spark, folder))
 
 
-def _active_detail(spark, folder):
-    """Active days of ``events``; only the sessions' count needs the sessions."""
-    return detail.user_active_detail(
-        _events(spark, folder).withColumn("session_id", F.lit(None).cast("string"))
-    )
+def _active_days(spark, folder):
+    """User and day of the whole log, without the counts that need sessions."""
+    day = F.to_date("event_time").alias("active_date")
+    return _log(spark, folder).select("user_id", day).distinct()
 
 
 def _active_1d(spark, folder):
-    events = detail.typed_events(st.app_events(spark, folder))
-    return summary.user_active_1d(
-        events.withColumn("session_id", F.lit(None).cast("string")), st.dim_user(spark, folder)
-    )
+    """Day and known user (NULL for all others) of the whole log."""
+    known = st.dim_user(spark, folder).select("user_id", F.col("user_id").alias("known_user"))
+    joined = lookup_join(_active_days(spark, folder), known, "user_id", spread=None)
+    return joined.select(F.col("known_user").alias("user_id"), F.col("active_date").alias("stat_date"))
 
 
 def _behavior(spark, folder):
@@ -89,7 +81,7 @@ def _task_summary(spark, folder):
 
 
 def _channels(spark, folder):
-    return summary.channel_region_summary(_events(spark, folder), st.dim_user(spark, folder))
+    return summary.channel_region_summary(_log(spark, folder), st.dim_user(spark, folder))
 
 
 def _usage(spark, folder):
@@ -100,7 +92,7 @@ def _usage(spark, folder):
 
 
 def _retain(spark, folder):
-    return summary.user_retain_summary(_active_detail(spark, folder))
+    return summary.user_retain_summary(_active_days(spark, folder))
 
 
 # --- sources, sinks, catalog --------------------------------------------------
@@ -130,14 +122,47 @@ def read_or_empty(spark, folder):
 @query
 def scan_events_partitioned(spark, folder):
     path, schema = _partitioned_copy(spark, folder)
-    return files.read_event_log(spark, path, "2024-01-01", "2024-12-31", schema)
+    return files.read_event_log(spark, path, "2024-01-08", "2024-01-14", schema)
+
+
+@query
+def read_flat_log(spark, folder):
+    """A log stored without its day: the bounds work on the day of the event time."""
+    path = scratch_path(spark, "flat_log")
+    files.write_table(st.sample(spark, folder, "events").withColumnRenamed("ts", "event_time"), path)
+    return files.read_event_log(spark, path, "2024-01-08", "2024-01-14", None)
+
+
+@query
+def write_table(spark, folder):
+    path = scratch_path(spark, "orders")
+    files.write_table(st.sample(spark, folder, "orders"), path)
+    return files.read_table(spark, path, st.SCHEMAS["orders"])
+
+
+@query
+def publish_table(spark, folder):
+    return files.publish(_task_summary(spark, folder), scratch_path(spark, "published"), "task_summary")
+
+
+# Text that a CSV writer has to protect, put before and after a table's own text.
+AWKWARD = (" ", "", "\n", "\r", '"', "\\", ",", "\\N")
 
 
 @query
 def csv_round_trip(spark, folder):
+    """``events`` with awkward text around, or in place of, its own."""
+    texts = F.array(*[F.lit(text) for text in AWKWARD])
+    chosen = texts[(F.col("event_id") % len(AWKWARD)).cast("int")]
+    events = st.sample(spark, folder, "events").withColumn(
+        "props",
+        F.when(F.col("event_id") % 5 == 0, F.lit(None))
+        .when(F.col("event_id") % 7 == 0, F.lit(""))
+        .otherwise(F.concat(chosen, "props", chosen)),
+    )
     path = scratch_path(spark, "events_csv")
-    files.export_csv(st.sample(spark, folder, "events"), path)
-    return files.read_csv(spark, path, st.SCHEMAS["events"])
+    files.export_csv(events, path)
+    return files.read_csv(spark, path, events.schema)
 
 
 def _partitioned_table(spark, folder) -> str:
@@ -159,6 +184,32 @@ def catalog_partitioned(spark, folder):
     return spark.table(_partitioned_table(spark, folder))
 
 
+@query
+def catalog_external(spark, folder):
+    """``orders`` stored, and read as an external table."""
+    path = scratch_path(spark, "orders")
+    files.write_table(st.sample(spark, folder, "orders"), path)
+    database, current = f"daybook_{uuid.uuid4().hex[:12]}", spark.catalog.currentDatabase()
+    catalog.ensure_database(spark, database, scratch_path(spark, database))
+    try:
+        catalog.create_external_table(spark, "orders", st.SCHEMAS["orders"], path)
+    finally:
+        spark.catalog.setCurrentDatabase(current)
+    return spark.table(f"{database}.orders")
+
+
+@query
+def catalog_partitions(spark, folder):
+    return catalog.list_partitions(spark, _partitioned_table(spark, folder))
+
+
+@query
+def publish_views(spark, folder):
+    name = f"orders_{uuid.uuid4().hex[:12]}"
+    catalog.publish_views({name: st.sample(spark, folder, "orders")})
+    return spark.sql(f"SELECT o_orderpriority, count(*) AS cnt FROM {name} GROUP BY o_orderpriority")
+
+
 @query
 def catalog_repair(spark, folder):
     table = spark.table(_partitioned_table(spark, folder))
@@ -228,12 +279,12 @@ def dws_task_summary_1d(spark, folder):
 
 @query
 def dws_event_type_summary_1d(spark, folder):
-    return summary.event_type_summary_1d(_events(spark, folder))
+    return summary.event_type_summary_1d(_log(spark, folder))
 
 
 @query
 def dws_hour_active_summary(spark, folder):
-    return summary.hour_active_summary(_events(spark, folder))
+    return summary.hour_active_summary(_log(spark, folder))
 
 
 @query
@@ -243,7 +294,7 @@ def dws_channel_region_summary(spark, folder):
 
 @query
 def dws_new_old_user_summary(spark, folder):
-    return summary.new_old_user_summary(_active_detail(spark, folder))
+    return summary.new_old_user_summary(_active_days(spark, folder))
 
 
 @query
@@ -309,10 +360,8 @@ def active_share(spark, folder):
 
 @query
 def active_share_of_all(spark, folder):
-    """Users with an event in ``events`` against all users."""
-    events = _events(spark, folder).withColumn("task_id", F.lit(None).cast("bigint"))
-    behavior = summary.user_behavior_summary(events, _lifecycle(spark, folder))
-    return activity.active_share(behavior, st.dim_user(spark, folder))
+    """Users with an event in the log against all users."""
+    return activity.active_share(_behavior(spark, folder), st.dim_user(spark, folder))
 
 
 @query
@@ -328,13 +377,19 @@ def retention_long(spark, folder):
 @query
 def retention_censored(spark, folder):
     """Retention counts, unknown (NULL) where the day lies after the data."""
-    return summary.user_retain_summary(_active_detail(spark, folder), censor=True)
+    return summary.user_retain_summary(_active_days(spark, folder), censor=True)
+
+
+@query
+def retention_curve(spark, folder):
+    """Every day index of every cohort, as the long table a wide matrix is cut from."""
+    return activity.retention_curve(_active_days(spark, folder))
 
 
 @query
 def cohort_retention_matrix(spark, folder):
-    curve = activity.retention_curve(_active_detail(spark, folder))
-    return activity.cohort_matrix(curve, COHORT_DAYS)
+    curve = activity.retention_curve(_active_days(spark, folder))
+    return activity.cohort_matrix(curve, MATRIX_DAYS)
 
 
 @query
@@ -350,7 +405,7 @@ def channel_region_totals(spark, folder):
 @query
 def channel_quality(spark, folder):
     users = st.dim_user(spark, folder).select("user_id", F.col("register_channel").alias("channel"))
-    active = _active_detail(spark, folder).join(users, "user_id")
+    active = _active_days(spark, folder).join(users, "user_id")
     cohorts = activity.retention_rates(summary.user_retain_summary(active, by=["channel"]))
     return rounded(activity.channel_quality(_channels(spark, folder), cohorts), "retain_7d")
 
@@ -473,7 +528,7 @@ def segment_feature_matrix(spark, folder):
 
 @query
 def sessionize(spark, folder):
-    events = st.app_sessions(spark, folder)
+    events = _session_log(spark, folder)
     return events.select(
         "event_id", "user_id", "event_time", "session_id",
         derive.event_date(F.col("event_time")).alias("event_date"),
@@ -501,34 +556,10 @@ def milestone_events(spark, folder):
 
 @query
 def pack_attributes(spark, folder):
-    events = _milestones(spark, folder).withColumn("action_duration", F.col("task_id") % 118 + 3)
+    events = _milestones(spark, folder).withColumn("action_duration", F.col("task_id") % 60)
     return derive.pack_attributes(events).select("task_id", "event_type", "attributes")
 
 
-@query
-def task_completion_score(spark, folder):
-    scored = derive.completion_score(st.dim_task(spark, folder), SAMPLE_PRIORITY_SCORES)
-    return rounded(scored.select("task_id", "completion_score"), "completion_score")
-
-
-@query
-def due_window(spark, folder):
-    task = st.dim_task(spark, folder)
-    period_end = task.agg(F.max(F.to_date("create_time")).alias("d")).scalar()
-    return derive.due_window(task, period_end).select(
-        "task_id", "due_start", "due_end", "span_days"
-    )
-
-
-@query
-def format_ids(spark, folder):
-    return st.dim_task(spark, folder).select(
-        derive.user_key(F.col("user_id")).alias("user_key"),
-        derive.task_key(F.col("task_id")).alias("task_key"),
-        derive.log_key(F.col("list_id")).alias("log_key"),
-    )
-
-
 @query
 def postponed_tasks(spark, folder):
     return derive.postponed_tasks(_event_raw(spark, folder))
@@ -536,7 +567,7 @@ def postponed_tasks(spark, folder):
 
 @query
 def event_transitions(spark, folder):
-    return derive.event_transitions(st.app_sessions(spark, folder))
+    return derive.event_transitions(_session_log(spark, folder))
 
 
 @query
@@ -571,6 +602,25 @@ def row_counts(spark, folder):
     )
 
 
+@query
+def require_row_count(spark, folder):
+    """Lines, once they are found to be one to seven for each order."""
+    orders, lines = st.sample(spark, folder, "orders"), st.sample(spark, folder, "lineitem")
+    number = orders.count()
+    checked = quality.require_row_count(lines, number, 7 * number, "lineitem")
+    return orders.agg(F.count(F.lit(1)).alias("order_cnt"), F.lit(checked).cast("bigint").alias("line_cnt"))
+
+
+@query
+def require_parts_within(spark, folder):
+    """Events of the log left after tasks created and deleted."""
+    log = st.event_log(spark, folder)
+    left = quality.require_parts_within(
+        log.count(), {"create": log.filter("event_type = 'create_task'"), "delete": log.filter("event_type = 'delete_task'")}
+    )
+    return log.agg(F.count(F.lit(1)).alias("total"), F.lit(left).cast("bigint").alias("left_cnt"))
+
+
 @query
 def top_event_types(spark, folder):
     return quality.top_event_types(st.event_log(spark, folder))
@@ -578,7 +628,7 @@ def top_event_types(spark, folder):
 
 @query
 def duplicate_sessions(spark, folder):
-    events = st.app_sessions(spark, folder).select(
+    events = _session_log(spark, folder).select(
         "event_id", "user_id", "session_id", "event_time", "event_type"
     )
     return quality.duplicates(events, "session_id", ["event_time"], spread="event_id")
@@ -615,11 +665,10 @@ def value_counts(spark, folder):
 
 @query
 def orphan_events(spark, folder):
-    """Events of users not marked active, and events outside a period."""
-    users = st.dim_user(spark, folder).filter("is_active")
+    """Events of users and tasks not in the dimensions, and events outside a period."""
     return quality.orphan_events(
         _log(spark, folder),
-        users,
+        st.dim_user(spark, folder),
         st.dim_task(spark, folder),
         F.lit("1995-06-01").cast("date"),
         F.lit("2001-06-30").cast("date"),

@@ -41,15 +41,30 @@ def read_event_log(
     path: str,
     date_from: str | None = None,
     date_to: str | None = None,
-    schema: StructType = schemas.EVENT_LOG,
+    schema: StructType | None = schemas.EVENT_LOG,
     partition: str = schemas.EVENT_PARTITION,
+    time: str = "event_time",
 ) -> DataFrame:
-    """Day-partitioned log; the bounds (inclusive) prune whole partitions.
+    """Event log of some days (bounds inclusive), with its day as text.
 
-    The partition key is declared, so it stays text as in the catalog table.
+    In a day-partitioned log the bounds prune whole partitions; the key is declared,
+    so it stays text as in the catalog table. A flat log gets the day of its event
+    time, and the bounds become time bounds that reach the scan. Without ``schema``
+    the stored one is taken.
     """
-    full = StructType(list(schema.fields)).add(partition, StringType())
-    log = spark.read.schema(full).parquet(path)
+    stored = spark.read.parquet(path)
+    low, high = (None if d is None else F.lit(d).cast("date") for d in (date_from, date_to))
+    if partition not in stored.columns:
+        log = stored if schema is None else spark.read.schema(schema).parquet(path)
+        moment = F.col(time).cast("timestamp_ntz")
+        if low is not None:
+            log = log.filter(moment >= low.cast("timestamp_ntz"))
+        if high is not None:
+            log = log.filter(moment < F.date_add(high, 1).cast("timestamp_ntz"))
+        return log.withColumn(partition, F.date_format(moment, "yyyy-MM-dd"))
+    if schema is None:
+        schema = StructType([f for f in stored.schema if f.name != partition])
+    log = spark.read.schema(StructType([*schema.fields]).add(partition, StringType())).parquet(path)
     if date_from is not None:
         log = log.filter(F.col(partition) >= date_from)
     if date_to is not None:

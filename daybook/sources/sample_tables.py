@@ -36,12 +36,6 @@ def sample(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder.rstrip('/')}/{name}.parquet", SCHEMAS[name])
 
 
-def _pick(number: str, *values: str) -> str:
-    """SQL for one of ``values`` by ``number`` modulo their count."""
-    texts = ", ".join(f"'{v}'" for v in values)
-    return f"element_at(array({texts}), CAST({number} % {len(values)} + 1 AS INT))"
-
-
 def dim_user(spark: SparkSession, folder: str) -> DataFrame:
     # nation and region have 25 and 5 rows at every scale.
     places = sample(spark, folder, "nation").join(
@@ -51,15 +45,15 @@ def dim_user(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(F.broadcast(places), F.expr("c_nationkey = n_nationkey")).selectExpr(
         "c_custkey AS user_id",
         "CAST(NULL AS STRING) AS register_time",
-        "CASE WHEN c_custkey % 20 < 13 THEN 'old_user' ELSE 'new_user' END AS user_group",
-        "CASE WHEN c_acctbal < 3000 THEN 'free' WHEN c_acctbal < 7000 THEN 'standard' ELSE 'vip' END"
+        "CASE WHEN c_acctbal < 5000 THEN 'lower' ELSE 'upper' END AS user_group",
+        "CASE WHEN c_acctbal < 2500 THEN 'level_1' WHEN c_acctbal < 7500 THEN 'level_2' ELSE 'level_3' END"
         " AS user_level",
-        _pick("c_custkey", "low_frequency", "normal", "normal", "high_frequency") + " AS user_type",
-        _pick("c_custkey", "male", "female") + " AS gender",
-        _pick("c_custkey", "18-24", "25-34", "35-44", "45-54", "55+") + " AS age_group",
+        "lower(c_mktsegment) AS user_type",
+        "concat('gender_', c_custkey % 2) AS gender",
+        "concat('ages_', c_custkey % 3) AS age_group",
         "r_name AS province",
         "n_name AS city",
-        "c_custkey % 25 < 17 AS is_active",
+        "c_acctbal >= 0 AS is_active",
         "c_mktsegment AS register_channel",
     )
 
@@ -74,15 +68,15 @@ def dim_task(spark: SparkSession, folder: str) -> DataFrame:
         LIST_ID,
         "CAST(NULL AS STRING) AS task_title",
         "o_orderpriority AS priority",
-        "CASE WHEN o_orderkey % 100 < 68"
+        "CASE WHEN o_totalprice < 200000"
         " THEN CAST(date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 31 AS INT)) AS STRING)"
         " END AS due_date",
         "o_orderdate AS create_time",
         "CASE WHEN o_orderstatus = 'F'"
         " THEN o_orderdate + make_dt_interval(0, CAST(o_orderkey % 72 AS INT)) END AS complete_time",
         "o_orderstatus = 'F' AS is_completed",
-        "o_orderkey % 25 < 9 AS has_subtask",
-        "o_orderkey % 50 < 21 AS has_reminder",
+        "o_orderkey % 3 = 0 AS has_subtask",
+        "o_orderkey % 2 = 0 AS has_reminder",
         "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'deleted' END"
         " AS task_status",
     )
@@ -90,10 +84,10 @@ def dim_task(spark: SparkSession, folder: str) -> DataFrame:
 
 def _client(number: str) -> list[str]:
     return [
-        _pick(number, "mobile", "tablet", "desktop") + " AS device_type",
-        _pick(number, "android", "ios", "windows", "macos") + " AS os",
-        _pick(number, "3.0.1", "3.1.0", "3.1.2", "3.2.0", "3.2.1") + " AS app_version",
-        _pick(number, "wifi", "4g", "5g") + " AS network_type",
+        f"concat('device_', {number} % 3) AS device_type",
+        f"concat('os_', {number} % 4) AS os",
+        f"concat('version_', {number} % 5) AS app_version",
+        f"concat('network_', {number} % 2) AS network_type",
     ]
 
 
@@ -107,7 +101,7 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
         "'create_task' AS event_type",
         "o_orderkey AS task_id",
         LIST_ID,
-        """concat('{"action_duration": ', o_orderkey % 118 + 3,"""
+        """concat('{"action_duration": ', o_orderkey % 60,"""
         """ ', "due_date": null, "has_reminder": true}') AS attributes""",
         *_client("o_orderkey"),
     )
@@ -148,9 +142,3 @@ def app_events(spark: SparkSession, folder: str) -> DataFrame:
 def todo_events(spark: SparkSession, folder: str) -> DataFrame:
     """The combined log with sessions."""
     return assign_sessions(event_log(spark, folder), spread="log_id")
-
-
-def app_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """``events`` with ``event_time`` and sessions."""
-    events = sample(spark, folder, "events").withColumnRenamed("ts", "event_time")
-    return assign_sessions(events, spread="event_id")

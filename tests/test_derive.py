@@ -70,15 +70,6 @@ def test_long_session_numbers_are_not_cut(spark):
     assert out == ["u_sess_9999", "u_sess_10000", "u_sess_0007"]
 
 
-def test_ids(spark):
-    df = spark.createDataFrame([(7,), (12345678,)], "n bigint")
-    out = df.select(
-        derive.user_key(F.col("n")), derive.task_key(F.col("n")), derive.log_key(F.col("n"))
-    ).collect()
-    assert tuple(out[0]) == ("user_000007", "task_00000007", "log_0000000007")
-    assert tuple(out[1]) == ("user_12345678", "task_12345678", "log_0012345678")
-
-
 def test_calendar(spark):
     bounds = spark.sql("SELECT date'2026-07-01' AS start, date'2026-08-29' AS end")
     days = collect(derive.date_dim(bounds, ["2026-07-09"]), "date_key")
@@ -120,30 +111,6 @@ def test_packed_attributes_keep_nulls_and_only_their_keys(rows):
     }
 
 
-def test_completion_score(spark):
-    day = "2026-07-01 08:00:00"
-    task = tasks(
-        spark,
-        {"task_id": "a", "priority": "high", "due_date": "2026-07-08", "create_time": day, "has_reminder": True},
-        {"task_id": "b", "priority": "low", "create_time": day, "has_reminder": False},
-        {"task_id": "c", "priority": "other", "due_date": "2026-07-09", "create_time": day, "has_reminder": None},
-    )
-    out = {r["task_id"]: r["completion_score"] for r in derive.completion_score(task).collect()}
-    assert out == {"a": pytest.approx(0.69), "b": pytest.approx(0.07), "c": pytest.approx(0.30)}
-
-
-def test_due_window(spark):
-    task = tasks(
-        spark,
-        {"task_id": "a", "create_time": "2026-07-01 08:00:00"},
-        {"task_id": "b", "create_time": "2026-08-20 08:00:00"},
-    )
-    out = derive.due_window(task, F.lit("2026-08-29").cast("date"))
-    assert collect(out.select("task_id", F.col("due_end").cast("string"), "span_days")) == [
-        ("a", "2026-07-31", 30), ("b", "2026-08-29", 9),
-    ]
-
-
 def test_postponed_tasks(rows):
     df = rows(
         "task_id string, due_date string, attr_new_due_date string",

@@ -48,12 +48,6 @@ def test_flags(rows):
     assert column(numbers, values.flag(numbers, "t")) == [0, 1, 0]
 
 
-def test_display_text(rows):
-    df = rows("x double", (0.1234,), (1.0,))
-    assert column(df, values.percent_text(F.col("x"))) == ["12.3%", "100.0%"]
-    assert column(rows("n bigint", (1234567,)), values.thousands_text(F.col("n"))) == ["1,234,567"]
-
-
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_time_arithmetic_ignores_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")

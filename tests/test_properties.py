@@ -39,7 +39,12 @@ def test_totals_agree(table):
 
     assert total("dws_hour_active_summary") == total("dws_event_type_summary_1d")
     assert total("dws_channel_region_summary") == total("dws_event_type_summary_1d")
-    assert total("dws_user_active_1d") == total("dwd_user_active_detail")
+    assert total("dws_user_active_1d") == total("dwd_user_active_detail") == total("dws_hour_active_summary")
+
+
+def test_retention_reaches_day_30_in_many_cohorts(table):
+    cohorts = table("dws_user_retain_summary")
+    assert cohorts.count() > 2 and cohorts.filter("day30_retained_users > 0").count() > 0
 
 
 def test_joins_keep_one_row_per_event(spark, table):
