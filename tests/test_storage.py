@@ -36,6 +36,16 @@ def test_date_bounds_prune_partitions(spark, log, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan
 
 
+def test_bounds_of_a_flat_log(spark, log, tmp_path):
+    files.write_table(log.drop("event_date"), f"{tmp_path}/flat")
+    every = files.read_event_log(spark, f"{tmp_path}/flat")
+    assert every.count() == log.count()
+    days = [r[0] for r in every.select("event_date").distinct().collect()]
+    for day in days:
+        some = files.read_event_log(spark, f"{tmp_path}/flat", day, day)
+        assert some.count() == every.filter(F.col("event_date") == day).count() > 0
+
+
 def test_rerun_replaces_only_its_days(spark, log, tmp_path):
     path = f"{tmp_path}/days"
     files.write_partitioned(log, path)
