@@ -300,6 +300,7 @@ def _index_partition(batches, distance: int):
         elif rows >= CHUNK:  # one bucket fills the chunk: its whole pages are open
             start = rows // PAGE * PAGE
             yield finish(t[:start], key[:start], fps[:start], True, True)
+            first = True  # what follows may be the rest of this bucket
         held = [(t[start:], key[start:], fps[start:].view(np.int64))]
         rows -= start
     if rows:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -322,6 +323,34 @@ def test_near_links_in_small_pages(spark, monkeypatch):
                 assert find(signed[i]) == find(signed[j])
 
 
+def test_rest_of_a_bucket_wider_than_a_chunk(monkeypatch):
+    """In a single table ``t``, the few rows of a bucket left after its chunk still meet its other pages."""
+    monkeypatch.setattr(simhash, "PAGE", 8)
+    monkeypatch.setattr(simhash, "CHUNK", 40)
+    flips = [1 << i | 1 << j for i in range(12) for j in range(i)]
+    sizes = {0: 10, 1: 43, 2: 60}
+    rows = [(key, (key << 40) ^ flips[n]) for key, size in sizes.items() for n in range(size)]
+    for batch_size in (1, 7, 10, 17):
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([0] * len(x), pa.int32()), pa.array([k for k, _ in x]), pa.array([f for _, f in x])],
+                names=["t", "key", "fp"],
+            )
+            for x in (rows[i : i + batch_size] for i in range(0, len(rows), batch_size))
+        ]
+        label = {f: f for _, f in rows}
+
+        def find(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in _pairs_of_pages(list(simhash._index_partition(iter(batches), 4))):
+            label[find(a)] = find(b)
+        for key in sizes:
+            assert len({find(f) for k, f in rows if k == key}) == 1, (batch_size, key)
+
+
 def _sorted_rows(spark, signed):
     frame = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     rows = simhash.bucketed(frame, 4).withColumn("rank", simhash.gray_rank(F.col("fp")))
