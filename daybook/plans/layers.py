@@ -129,20 +129,27 @@ def _event_day():
     return F.col("event_time").cast("timestamp_ntz").cast("date")
 
 
-def _day_counts(df: DataFrame, day) -> dict:
-    """Events by day; one row for each calendar day."""
-    counts = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return {r["day"]: r["n"] for r in counts.collect()}
+def _day_digests(df: DataFrame) -> dict:
+    """Rows of each event day and the sum of their hashes; one row for each calendar day.
+
+    Hashes skip NULLs, so the hash also covers which columns are NULL.
+    """
+    row = F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    digests = df.groupBy(F.col("event_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(20,0)")).alias("digest")
+    )
+    return {r["day"]: (r["n"], r["digest"]) for r in digests.collect()}
 
 
 def _touched_days(
-    log: DataFrame, recent: DataFrame, before: DataFrame, days: tuple[str, str]
+    joined: DataFrame, recent: DataFrame, before: DataFrame, days: tuple[str, str]
 ) -> set | None:
     """Event days to build again: the days asked for, those of events in their
-    directories (late ones too), and those whose number of events changed. None if a
-    stored day has no events left, so that the whole table has to be replaced."""
-    now, had = _day_counts(log, _event_day()), _day_counts(before, F.col("event_date").cast("date"))
-    named = set(_day_counts(recent, _event_day()))
+    directories (late ones too), and those whose joined events differ from the stored
+    ones, be it by an event or by a row of a dimension. None if a stored day has no
+    events left, so that the whole table has to be replaced."""
+    now, had = _day_digests(joined), _day_digests(before)
+    named = {r["day"] for r in recent.select(_event_day().alias("day")).distinct().collect()}
     touched = {
         d
         for d in now.keys() | had.keys()
@@ -164,8 +171,10 @@ def run(
     the clean and fact-ordered tables are views of them; with ``copies`` these
     two are stored as well. With ``days`` (first, last) the directories of
     those days are taken as new: the joined events of all event days that they
-    touch are built again from the whole log, the others staying as stored; the
-    remaining tables are always built from all days. The result is that of a run
+    touch are stored again from the whole log, and so are all other days whose
+    events or their users and tasks have changed; to find these, the whole log is
+    joined and compared with the stored days by hash. The other days stay as stored;
+    the remaining tables are always built from all days. The result is that of a run
     without ``days``.
     """
     out = out_folder.rstrip("/")
@@ -176,7 +185,7 @@ def run(
     if days is not None:
         recent = files.read_event_log(spark, f"{raw_folder.rstrip('/')}/ods_todo_event_log", *days)
         before = files.read_or_empty(spark, f"{out}/detail/event_raw", lazy["event_raw"].schema)
-        touched = _touched_days(raw["ods_todo_event_log"], recent, before, days)
+        touched = _touched_days(lazy["event_raw"], recent, before, days)
     if touched is not None:
         day = _event_day()
         changed = day.isin([d for d in touched if d is not None])

@@ -197,6 +197,33 @@ def test_late_events_and_emptied_days(spark, log, tmp_path):
     assert collect(tables["event_raw"]) == collect(full)
 
 
+def test_changed_rows_of_other_days(spark, log, tmp_path, monkeypatch):
+    """A run of one day equals a full run where, of other days, a task or a user has
+    changed since, or an event was corrected."""
+    for later in ("summary_layer", "metric_layer"):  # only the detail layer is stored by day
+        monkeypatch.setattr(layers, later, lambda *args: {})
+    folder, out = raw_folder(spark, log, f"{tmp_path}/raw"), f"{tmp_path}/out"
+    layers.run(spark, folder, out)
+
+    def check():
+        tables = layers.run(spark, folder, out, days=("2026-07-03", "2026-07-03"))
+        full = layers.detail_layer(layers.read_raw(spark, folder))["event_raw"]
+        assert collect(tables["event_raw"]) == collect(full)
+
+    changed = [t | {"task_status": "open", "is_completed": False} if t["task_id"] == "t1" else t for t in TASKS]
+    files.write_table(tasks(spark, *changed), f"{folder}/dim_task")
+    check()
+    # A value goes from one column to another that was NULL.
+    for column in ("province", "city"):
+        files.write_table(users(spark, "u1", "u2", **{column: "X"}), f"{folder}/dim_user")
+        check()
+    kind = F.when(F.col("log_id") == "e2", "edit_task").otherwise(F.col("event_type"))
+    files.write_partitioned(
+        log.filter("event_date = '2026-07-01'").withColumn("event_type", kind), f"{folder}/ods_todo_event_log"
+    )
+    check()
+
+
 def test_checks(spark, log, tmp_path):
     raw = layers.read_raw(spark, raw_folder(spark, log, f"{tmp_path}/raw"))
     reports = layers.check(raw)
