@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,27 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Digits, a-z and all bytes of characters beyond ASCII stand for themselves, A-Z for
+# a-z, every other byte for a blank. Bytes of longer characters are all above 127, so
+# UTF-8 text stays whole.
+WORD_TABLE = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
+)
+# Bytes of a text that are split at once.
+TEXT_PIECE = 1 << 20
+
+
+def word_lists(raw: bytes, piece: int = TEXT_PIECE) -> Iterator[list[bytes]]:
+    """The words of ``WORD_TABLE`` in a text, in order; a long text gives several lists,
+    so that its words need not all be in memory."""
+    blank = raw.translate(WORD_TABLE)
+    start = 0
+    while start < len(blank):
+        end = blank.find(b" ", start + piece) if start + piece < len(blank) else -1
+        end = len(blank) if end < 0 else end
+        yield blank[start:end].split()
+        start = end
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a folder of this machine only where

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from daybook.llm import chat, exact_dedup, line_dedup, lm, mixing, quality, search, sentencepiece
-from daybook.llm import simhash, substring
+from daybook.llm import chat, exact_dedup, importance, lexical, line_dedup, lm, mixing, quality, search
+from daybook.llm import sentencepiece, simhash, substring
 from daybook.llm.common import documents
 
 # Vocabulary of op3 and of the pipeline.
@@ -67,17 +67,29 @@ def op10_quality_resampling(spark, folder):
     return quality.resample(documents(spark, folder), _table(spark, folder, "labels")).drop("digest")
 
 
+def op12_target_resampling(spark, folder):
+    """Documents drawn towards the texts of ``benchmark``."""
+    return importance.resample(documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
+def op13_lexical_search(spark, folder):
+    """Every benchmark item against all documents."""
+    return lexical.search(documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_chat_formatting, op3_sentencepiece, op4_lm_scoring, op5_simhash,
         op6_substring_dedup, op7_exact_dedup, op8_topk_search, op9_source_mixing, op10_quality_resampling,
+        op12_target_resampling, op13_lexical_search,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
     "op1_line_dedup": f"""
@@ -168,4 +180,23 @@ WITH split AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
        doc_id, score
 FROM scored QUALIFY rank <= 10""",
+    "op13_lexical_search": f"""
+WITH split AS (
+  SELECT doc_id, {_TERMS.format(_LOWER.format("coalesce(text, '')"))} AS terms FROM documents
+), sizes AS (
+  SELECT doc_id, len(terms) AS n FROM split WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sizes
+), tf AS (
+  SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(terms) AS term FROM split) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, nn
+), asked AS (
+  SELECT DISTINCT item_id, unnest({_TERMS.format(_LOWER.format("coalesce(text, '')"))}) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * f) // (1000 * f + 8 * (100 - 90 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN weighed USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }
