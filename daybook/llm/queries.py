@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from daybook.llm import chat, exact_dedup, importance, lexical, line_dedup, lm, mixing, quality, search
-from daybook.llm import sentencepiece, simhash, substring
+from daybook.llm import sentencepiece, simhash, substring, suffix_dedup
 from daybook.llm.common import documents
 
 # Vocabulary of op3 and of the pipeline.
@@ -67,6 +67,10 @@ def op10_quality_resampling(spark, folder):
     return quality.resample(documents(spark, folder), _table(spark, folder, "labels")).drop("digest")
 
 
+def op11_suffix_array_dedup(spark, folder):
+    return suffix_dedup.dedup_bytes(documents(spark, folder))
+
+
 def op12_target_resampling(spark, folder):
     """Documents drawn towards the texts of ``benchmark``."""
     return importance.resample(documents(spark, folder), _table(spark, folder, "benchmark"))
@@ -82,7 +86,7 @@ QUERIES = {
     for f in (
         op1_line_dedup, op2_chat_formatting, op3_sentencepiece, op4_lm_scoring, op5_simhash,
         op6_substring_dedup, op7_exact_dedup, op8_topk_search, op9_source_mixing, op10_quality_resampling,
-        op12_target_resampling, op13_lexical_search,
+        op11_suffix_array_dedup, op12_target_resampling, op13_lexical_search,
     )
 }
 
@@ -180,6 +184,31 @@ WITH split AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
        doc_id, score
 FROM scored QUALIFY rank <= 10""",
+    "op11_suffix_array_dedup": """
+WITH bodies AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM bodies)
+), firsts AS (
+  SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM windows JOIN firsts USING (win) WHERE first_doc < doc_id
+), numbered AS (
+  SELECT *, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM gone
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span
+), parted AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS stop,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front
+  FROM parted JOIN bodies USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM bodies LEFT JOIN kept USING (doc_id)""",
     "op13_lexical_search": f"""
 WITH split AS (
   SELECT doc_id, {_TERMS.format(_LOWER.format("coalesce(text, '')"))} AS terms FROM documents
