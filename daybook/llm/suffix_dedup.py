@@ -37,9 +37,10 @@ GRAM = 24
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 # Inside a shard: bytes of a trigger, and one place in so many is one.
-TRIGGER, SPACING = 4, 8
+TRIGGER, SPACING = 4, 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _EVEN = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B1
 
 
 # --- blocks -----------------------------------------------------------------------
@@ -91,20 +92,63 @@ def rolling(body: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hash of every ``n`` bytes in a row, joined from hashes of halves."""
     size = len(body) - n + 1
     if size <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     done, length = None, 0
-    power, half = int(_PRIME), body.astype(np.uint64) + np.uint64(1)
+    power, half = _BASE, body.astype(np.uint32) + np.uint32(1)
     step = 1
     while True:
         if n & step:
             # half[i] covers step bytes from i; done[i] the ``length`` bytes before them.
-            done = half if done is None else done[: len(half) - length] * np.uint64(power) + half[length:]
+            done = half if done is None else done[: len(half) - length] * np.uint32(power) + half[length:]
             length += step
         step *= 2
         if step > n:
             return done[:size]
-        half = half[: len(half) - step // 2] * np.uint64(power) + half[step // 2 :]
-        power = power * power % (1 << 64)
+        half = half[: len(half) - step // 2] * np.uint32(power) + half[step // 2 :]
+        power = power * power % (1 << 32)
+
+
+def _content_hash(body: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` bytes, 8 at least, from each place on."""
+    out = np.zeros(len(places), np.uint64)
+    if len(places):
+        # The 8 bytes from any place on, read in steps that cover n.
+        words = np.ndarray(len(body) - 7, np.uint64, body, strides=(1,))
+        for at in [*range(0, n - 8, 8), n - 8]:
+            out ^= words[places + at]
+            out *= _PRIME
+            out ^= out >> np.uint64(29)
+    out *= _EVEN
+    return (out ^ (out >> np.uint64(32))) * _PRIME
+
+
+def window_anchors(body: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First windows of the runs that share an anchor, and the anchors, for all windows of
+    ``body``. Slices that fit the processor's cache are worked on in turn."""
+    gram = min(GRAM, window)
+    wide = window - gram + 1
+    # 16 bits of hash before 16 bits of place: the leftmost of the smallest comes first.
+    slice_ = (1 << 16) - wide
+    place = np.arange(1 << 16, dtype=np.uint32)
+    firsts, anchors = [], []
+    for at in range(0, len(body) - window + 1, slice_):
+        least = rolling(body[at : at + slice_ + window - 1], gram)
+        least = least * np.uint32(_BASE) & np.uint32(0xFFFF0000) | place[: len(least)]
+        step = 1
+        while step * 2 <= wide:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if wide > step:
+            least = np.minimum(least[: step - wide], least[wide - step :])
+        least &= np.uint32(0xFFFF)
+        new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        firsts.append(new + at)
+        anchors.append(least[new].astype(np.int64) + at)
+    if not firsts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, anchor = np.concatenate(firsts), np.concatenate(anchors)
+    new = np.r_[True, anchor[1:] != anchor[:-1]]
+    return first[new], anchor[new]
 
 
 class Anchors:
@@ -113,33 +157,21 @@ class Anchors:
 
     def __init__(self, block: Block, window: int):
         body = np.frombuffer(block.body, np.uint8)
-        gram = min(GRAM, window)
-        hashes = rolling(body, gram)
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= _PRIME
-        hashes ^= hashes >> np.uint64(29)
-        least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        wide, step = window - gram + 1, 1
-        while step * 2 <= wide:
-            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
-            step *= 2
-        if wide > step:
-            least = np.minimum(least[: step - wide], least[wide - step :]) if len(least) > wide - step else least[:0]
-        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # Only windows inside one document.
+        first, anchor = window_anchors(body, window)
+        total = len(block.body) - window + 1
+        # Cut where documents begin and where their last windows end.
         begins = np.r_[0, block.ends[:-1]]
-        inside = np.zeros(len(anchor) + 1, np.int8)
         long = block.ends - begins >= window
-        np.add.at(inside, begins[long], 1)
-        np.add.at(inside, block.ends[long] - window + 1, -1)
-        start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-        new = np.flatnonzero(np.r_[True, np.diff(anchor[start]) != 0]) if len(start) else start
-        self.first = start[new]
-        self.last = start[np.r_[new[1:], len(start)] - 1] if len(start) else start
+        opens, shuts = begins[long], block.ends[long] - window + 1
+        cuts = np.sort(np.concatenate([first, opens, shuts[shuts < total]]))
+        cuts = cuts[np.r_[True, cuts[1:] != cuts[:-1]]] if len(cuts) else cuts
+        run = np.searchsorted(first, cuts, "right") - 1
+        last = np.r_[cuts[1:], max(total, 0)][: len(cuts)] - 1
+        inside = np.searchsorted(opens, cuts, "right") > np.searchsorted(shuts, cuts, "right")
+        self.first, self.last = cuts[inside], last[inside]
         self.doc = np.searchsorted(block.ends, self.first, "right")
-        # The order of hashes chose the anchors; dealt by other bits they spread evenly.
-        dealt = hashes[anchor[self.first]] * _EVEN
-        self.hash = (dealt ^ (dealt >> np.uint64(31))) * _PRIME
+        # The order of hashes chose the anchors; dealt by another hash they spread evenly.
+        self.hash = _content_hash(body, anchor, min(GRAM, window))[run[inside]]
 
 
 class Dealt:
@@ -265,29 +297,40 @@ SENT = "shard int, block_id bigint, sizes binary, low binary, above binary, size
 # --- step 3: corpus order of a shard ------------------------------------------------------
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``key`` and its sorted values. Where key and place fit one number, those
+    are sorted, which is faster than sorting places."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) < 1 << 62 - bits:
+        both = np.sort(key << bits | np.arange(len(key)))
+        return both & (1 << bits) - 1, both >> bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """For each of sorted ``values`` the place of the first equal one."""
+    new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
+    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+
+
 def _refine(rank: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
     """Ranks by twice the ``depth``. A rank is the number of suffixes in front of its class;
     ``left`` is the symbols before the end, and suffixes that end sooner are done."""
     open_ = np.flatnonzero(left >= depth)
     if not len(open_):
         return rank
-    key = rank[open_] * (len(rank) + 1) + rank[open_ + depth]
-    order = np.argsort(key)
-    key, old = key[order], rank[open_][order]
-    place = np.arange(len(order))
-    first_key = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], place, 0))
-    first_old = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], place, 0))
+    order, key = _sorted(rank[open_] * (len(rank) + 1) + rank[open_ + depth])
+    old = rank[open_][order]
     out = rank.copy()
-    out[open_[order]] = old + first_key - first_old
+    out[open_[order]] = old + _first_of(key) - _first_of(old)
     return out
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    sorted_ = key[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, sorted_[1:] != sorted_[:-1]], np.arange(len(key)), 0))
+    order, values = _sorted(key)
     out = np.empty(len(key), np.int64)
-    out[order] = first
+    out[order] = _first_of(values)
     return out
 
 
@@ -330,9 +373,9 @@ class Parse:
     def __init__(self, body: np.ndarray, ends: np.ndarray):
         begins = np.r_[0, ends[:-1]]
         grams = rolling(body, TRIGGER)
-        grams = (grams ^ (grams >> np.uint64(15))) * _PRIME >> np.uint64(40)
+        grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(_BASE) >> np.uint32(16)
         cut = np.zeros(len(body) + 1, bool)
-        cut[np.flatnonzero(grams % np.uint64(SPACING) == 0)] = True
+        cut[np.flatnonzero(grams % np.uint32(SPACING) == 0)] = True
         # A trigger lies in one stretch; every stretch begins a phrase.
         for back in range(1, TRIGGER):
             cut[np.maximum(ends - back, begins)] = False
