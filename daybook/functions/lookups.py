@@ -53,6 +53,31 @@ def key_counts(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT) -> dict[str, DataFrame]:
+    """For each of ``keys`` its values with more rows than ``rows_per_split``, as ``counts``
+    of ``lookup_join``. All are counted in one scan of ``df`` and stored."""
+    if not keys:
+        return {}
+    named = [F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("key")) for k in keys]
+    counted = (
+        df.select(F.inline(F.array(*named))).filter("key IS NOT NULL")
+        .groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_split)
+    )
+    heavy = _stored(counted)
+    return {
+        k: heavy.filter(F.col("name") == k).select(F.col("key").cast(df.schema[k].dataType).alias(k), "n")
+        for k in keys
+    }
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    from daybook.session import scratch_path
+
+    path = scratch_path(df.sparkSession, "keys")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -68,7 +93,9 @@ def lookup_join(
     * dimension within the broadcast limit: broadcast it, no shuffle;
     * no ``spread``: plain shuffled join;
     * otherwise: shuffled join in which the heaviest keys are salted over
-      several tasks, their dimension rows being copied once per salt.
+      several tasks, their dimension rows being copied once per salt. The keys are
+      counted and stored while the plan is made; their list is broadcast, so that the
+      fact is shuffled once, by key and salt.
 
     ``spread`` names fact columns that vary within a key; the salt is a hash of
     them, so a retried task deals its rows the same way. None means that a key
@@ -98,21 +125,31 @@ def lookup_join(
     return matched.unionByName(fact.filter(keyless).select("*", *added))
 
 
-def _hot_keys(counts: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
+def _hot_keys(counts: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame | None:
     """Every key of more rows than one task should see, and the number of tasks it is
-    dealt to. There are at most (all rows / ``rows_per_split``) of them; they are
-    joined without a hint, so their measured size decides how."""
-    return (
+    dealt to; None if there is none.
+
+    There are at most (all rows / ``rows_per_split``) of them, a million in 10^12 rows.
+    Their stored size is measured: within the broadcast limit the list is broadcast,
+    beyond it the join is left to Spark, which splits skewed partitions itself.
+    """
+    hot = _stored(
         counts.filter(F.col("n") > rows_per_split)
         .select(*keys, F.ceil(F.col("n") / rows_per_split).cast("bigint").alias("_splits"))
     )
+    if hot.isEmpty():
+        return None
+    return F.broadcast(hot) if source_bytes(hot) <= broadcast_limit(hot) else hot
 
 
 def _salted_left_join(
-    fact: DataFrame, dim: DataFrame, keys: list[str], spread: list[str], hot: DataFrame, keyless
+    fact: DataFrame, dim: DataFrame, keys: list[str], spread: list[str], hot: DataFrame | None, keyless
 ) -> DataFrame:
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     dealt_to = F.xxhash64(*spread)
+    if hot is None:
+        dealt = fact.withColumn("_salt", F.when(keyless, dealt_to).otherwise(zero))
+        return dealt.join(dim.withColumn("_salt", zero), [*keys, "_salt"], "left").drop("_salt")
     dealt = fact.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(keyless, dealt_to)

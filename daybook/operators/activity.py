@@ -237,18 +237,56 @@ def retention_curve(active: DataFrame) -> DataFrame:
 
 
 def cohort_matrix(curve: DataFrame, day_indexes: Sequence[int] | None = None) -> DataFrame:
-    """Cohort day × day index (columns ``day_<n>``) → mean retention; by default every
-    index up to the last of the curve."""
+    """Cohort day × day index → mean retention. Every cell of the curve as a row
+    ``cohort_date, day_index, retain_rate``; with ``day_indexes`` those days as columns
+    ``day_<n>``, for a page that shows a range of them."""
     if day_indexes is None:
-        last = curve.agg(F.max("day_index")).first()[0]
-        day_indexes = range(0 if last is None else last + 1)
-    wide = curve.groupBy("cohort_date").pivot("day_index", list(day_indexes))
-    matrix = wide.agg(F.avg("retain_rate"))
-    return matrix.select(
+        return curve.groupBy("cohort_date", "day_index").agg(F.avg("retain_rate").alias("retain_rate"))
+    wide = curve.filter(F.col("day_index").isin(list(day_indexes))).groupBy("cohort_date")
+    matrix = wide.pivot("day_index", list(day_indexes)).agg(F.avg("retain_rate"))
+    cohorts = curve.select("cohort_date").distinct()
+    return cohorts.join(matrix, "cohort_date", "left").select(
         "cohort_date", *[F.col(f"`{n}`").alias(f"day_{n}") for n in day_indexes]
     )
 
 
+# The same kinds as comparisons, which Catalyst takes as selective.
+KIND_FILTERS = {
+    "holiday": "is_holiday <=> 1",
+    "weekend": "NOT (is_holiday <=> 1) AND is_weekend <=> 1",
+    "workday": "NOT (is_holiday <=> 1) AND NOT (is_weekend <=> 1)",
+}
+
+
+def day_kind(calendar: DataFrame) -> DataFrame:
+    """``date, kind`` of a calendar's days: holiday, weekend or workday."""
+    kind = F.when(F.col("is_holiday") == 1, "holiday").when(F.col("is_weekend") == 1, "weekend").otherwise("workday")
+    return calendar.select(F.col("date_str").cast("date").alias("date"), kind.alias("kind"))
+
+
+def activity_by_day_kind(daily: DataFrame, calendar: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Days, total and mean per day of each of ``measures`` by kind of day.
+
+    ``daily`` has one row per ``date``; days of the calendar that it lacks count as 0.
+    """
+    days = day_kind(calendar).join(daily, "date", "left")
+    return days.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("day_cnt"),
+        *[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(f"{m}_total") for m in measures],
+        *[F.avg(F.coalesce(F.col(m), F.lit(0))).alias(f"{m}_per_day") for m in measures],
+    )
+
+
+def of_day_kind(events: DataFrame, calendar: DataFrame, kind: str, partition: str = "event_date") -> DataFrame:
+    """The events of a day-partitioned table on days of one kind. The days are looked up in
+    the calendar, of one row per day, while the query runs, and only their partitions
+    are read."""
+    days = calendar.filter(KIND_FILTERS[kind]).select(
+        F.col("date_str").cast("date").cast("string").alias("_day")
+    )
+    return events.join(F.broadcast(days), F.col(partition) == F.col("_day"), "left_semi")
+
+
 # Accepted column names, the first present is used.
 CHANNEL_NAMES = ("register_channel", "channel", "reg_channel")
 COUNT_NAMES = (

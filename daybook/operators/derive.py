@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.lookups import lookup_join
+from daybook.functions.lookups import fits_broadcast, lookup_join
 from daybook.functions.times import time_slot
 from daybook.functions.values import date_from_text
+from daybook.session import scratch_path
+from daybook.sources.files import publish
 
 
 def user_slots(events: DataFrame, user: str, time: str, max_gap_minutes: int) -> DataFrame:
@@ -71,27 +73,42 @@ def assign_sessions(
     time: str = "event_time",
     max_gap_minutes: int = 30,
     spread: str | Sequence[str] | None = None,
+    min_rows: int = 1,
     **join_options,
 ) -> DataFrame:
     """Add ``session_id``: a new session after a gap strictly over the limit.
 
     ``spread`` names columns that vary among the events of one user (default:
-    the event time), used where a slot is too large for one task.
+    the event time), used where a slot is too large for one task. With ``min_rows``
+    only events of sessions with at least so many rows are kept; the rows of a session
+    are the sum of those of its slots, so the events are not counted again. Events
+    without user or time have no session and count as one.
     """
     slots = user_slots(events, user, time, max_gap_minutes)
+    limit = join_options.get("broadcast_bytes")
+    if not fits_broadcast(slots, limit):
+        # Read for the numbers and for the heavy slots: one pass over the events.
+        slots = publish(slots, scratch_path(events.sparkSession, "sessions"), "slots")
     rows = events.withColumn("slot", time_slot(F.col(time), max_gap_minutes * 60))
-    joined = lookup_join(
-        rows,
-        session_numbers(slots, user, max_gap_minutes),
-        [user, "slot"],
-        spread or time,
-        counts=slots.select(user, "slot", "n"),
-        **join_options,
-    )
+    numbers = session_numbers(slots, user, max_gap_minutes)
     columns = [c for c in events.columns if c != "session_id"]
-    return joined.select(
-        *columns, session_id(F.col(user), F.col("session_idx")).alias("session_id")
+    identity = session_id(F.col(user), F.col("session_idx")).alias("session_id")
+    if min_rows > 1:
+        of_session = Window.partitionBy(user, "session_idx")
+        sized = numbers.join(slots.select(user, "slot", "n"), [user, "slot"]).withColumn(
+            "rows", F.sum("n").over(of_session)
+        )
+        numbers = sized.filter(F.col("rows") >= min_rows).select(user, "slot", "session_idx")
+    joined = lookup_join(
+        rows, numbers, [user, "slot"], spread or time, counts=slots.select(user, "slot", "n"), **join_options
     )
+    if min_rows > 1:
+        without = F.col(user).isNull() | F.col("slot").isNull()
+        lost = events.filter(F.col(user).isNull() | F.col(time).isNull()).agg(F.count(F.lit(1)).alias("n"))
+        joined = joined.filter(
+            F.col("session_idx").isNotNull() | (without & (lost.scalar() >= min_rows))
+        )
+    return joined.select(*columns, identity)
 
 
 def event_date(time: Column) -> Column:
@@ -209,41 +226,35 @@ def event_transitions(
 ) -> DataFrame:
     """Counts of consecutive event types (from, to) within a session.
 
-    A session may hold any share of the log, so it is cut into chunks of time.
-    Pairs inside a chunk come from a window over the chunk. The pair across two
-    chunks joins the last event of one to the first of the next; only these
-    outer events of the chunks are ordered per session.
+    A session may hold any share of the log, so it is cut into chunks of time. The events
+    of a chunk are put in order once and stored as a list of types. Pairs inside a chunk
+    are neighbours in its list; the pair across two chunks joins the last type of one to
+    the first of the next, and only these are ordered per session.
     """
     rows = events.filter(F.col(session).isNotNull()).select(
         F.col(session).alias("session"),
         time_slot(F.col(time), chunk_seconds).alias("chunk"),
-        F.struct(F.col(time).alias("at"), F.col(tie).alias("tie")).alias("place"),
-        F.col("event_type").alias("from_event"),
+        F.struct(F.col(time).alias("at"), F.col(tie).alias("tie"), F.col("event_type").alias("type")).alias("event"),
     )
-    in_chunk = Window.partitionBy("session", "chunk").orderBy("place")
-    placed = rows.withColumns(
-        {
-            "to_event": F.lead("from_event").over(in_chunk),
-            "is_first": F.row_number().over(in_chunk) == 1,
-            "is_last": F.lead(F.lit(True), 1, False).over(in_chunk) == F.lit(False),
-        }
+    types = F.transform(F.sort_array(F.collect_list("event")), lambda e: e["type"])
+    chunks = rows.groupBy("session", "chunk").agg(types.alias("types"))
+    chunks = publish(
+        chunks.select(
+            "session", "chunk", F.try_element_at("types", F.lit(1)).alias("first"),
+            F.try_element_at("types", F.lit(-1)).alias("last"), "types",
+        ),
+        scratch_path(events.sparkSession, "transitions"), "chunks",
     )
-    across = Window.partitionBy("session").orderBy("chunk", "place")
-    outer = (
-        placed.filter("is_first OR is_last")
-        .withColumn("to_event", F.lead("from_event").over(across))
-        .filter("is_last")
+    after = F.slice("types", F.lit(2), F.size("types"))
+    pairs = F.zip_with("types", after, lambda a, b: F.struct(a.alias("from_event"), b.alias("to_event")))
+    inner = chunks.select(F.inline(pairs))
+    across = Window.partitionBy("session").orderBy("chunk")
+    outer = chunks.select(
+        F.col("last").alias("from_event"), F.lead("first").over(across).alias("to_event")
     )
-    inner = placed.filter("NOT is_last")
-    pairs = [
-        part.filter("to_event IS NOT NULL")
-        .groupBy("from_event", "to_event")
-        .agg(F.count(F.lit(1)).alias("n"))
-        for part in (inner, outer)
-    ]
-    inner, outer = pairs
     return (
         inner.unionByName(outer)
+        .filter("to_event IS NOT NULL")
         .groupBy("from_event", "to_event")
-        .agg(F.sum("n").alias("transition_cnt"))
+        .agg(F.count(F.lit(1)).alias("transition_cnt"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.lookups import key_counts, lookup_join
+from daybook.functions.lookups import ROWS_PER_SPLIT, fits_broadcast, heavy_keys, key_counts, lookup_join
 from daybook.functions.times import second_diff
 from daybook.functions.values import soft_bool, soft_int
 
@@ -77,14 +77,19 @@ def event_raw(log: DataFrame, user: DataFrame, task: DataFrame, **join_options)
         "task_status",
     )
     events = typed_events(log)
+    # Keys of the joins that have to shuffle are counted in one scan.
+    shuffled = [
+        key for key, dim in (("task_id", tasks), ("user_id", users))
+        if not fits_broadcast(dim, join_options.get("broadcast_bytes"))
+    ]
+    counts = heavy_keys(log, shuffled, join_options.get("rows_per_split", ROWS_PER_SPLIT))
     # Most events have no task; where the task join has to shuffle, they stay out.
     events = lookup_join(
-        events, tasks, "task_id", spread="event_id", counts=key_counts(log, "task_id"),
+        events, tasks, "task_id", spread="event_id", counts=counts.get("task_id"),
         split_nulls=True, **join_options,
     )
     events = lookup_join(
-        events, users, "user_id", spread="event_id", counts=key_counts(log, "user_id"),
-        **join_options,
+        events, users, "user_id", spread="event_id", counts=counts.get("user_id"), **join_options
     )
     events = events.withColumn("attribute", attribute_columns(F.col("attributes")))
     read = [
@@ -108,14 +113,8 @@ def event_detail(clean: DataFrame) -> DataFrame:
     return clean.select(*FACT_ORDER)
 
 
-def task_lifecycle(
-    events: DataFrame, task: DataFrame, with_delete_flag: bool = False, **join_options
-) -> DataFrame:
-    """One row per task and acting user: milestones, duration, completion, overdue.
-
-    Events without a task form one row per user with a NULL task, as an event
-    of another user on the task forms a row of its own.
-    """
+def lifecycle_stats(events: DataFrame, with_delete_flag: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Earliest and latest times per task and acting user, and per ``by``."""
     def when_type(name: str) -> Column:
         return F.when(F.col("event_type") == name, F.col("event_time"))
 
@@ -128,15 +127,26 @@ def task_lifecycle(
     if with_delete_flag:
         deleted = F.max(F.col("event_type") == "delete_task")
         measures.append(F.coalesce(deleted, F.lit(False)).alias("has_delete_event"))
-    stats = events.groupBy("task_id", "user_id").agg(*measures)
+    return events.groupBy("task_id", "user_id", *by).agg(*measures)
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """``lifecycle_stats`` from those of parts of the events, such as days."""
+    measures = {
+        "create_time": F.min, "first_complete_time": F.min, "last_update_time": F.max,
+        "saw_complete": F.max, "has_delete_event": F.max,
+    }
+    return parts.groupBy("task_id", "user_id").agg(
+        *[fold(name).alias(name) for name, fold in measures.items() if name in parts.columns]
+    )
+
+
+def lifecycle_of(stats: DataFrame, task: DataFrame, counts: DataFrame, **join_options) -> DataFrame:
+    """Lifecycle rows from ``lifecycle_stats``; ``counts`` bounds the rows of each task."""
     tasks = task.select(
         "task_id", "priority", "has_reminder", "has_subtask", "task_status", "due_date"
     )
-    # The events of a task bound its rows here, and are cheaper to count.
-    joined = lookup_join(
-        stats, tasks, "task_id", spread="user_id", counts=key_counts(events, "task_id"),
-        **join_options,
-    )
+    joined = lookup_join(stats, tasks, "task_id", spread="user_id", counts=counts, **join_options)
     overdue = F.col("last_update_time").cast("date") > F.col("due_date").cast("date")
     return joined.select(
         "task_id",
@@ -154,7 +164,21 @@ def task_lifecycle(
         "has_subtask",
         "task_status",
         "due_date",
-        *(["has_delete_event"] if with_delete_flag else []),
+        *[c for c in stats.columns if c == "has_delete_event"],
+    )
+
+
+def task_lifecycle(
+    events: DataFrame, task: DataFrame, with_delete_flag: bool = False, **join_options
+) -> DataFrame:
+    """One row per task and acting user: milestones, duration, completion, overdue.
+
+    Events without a task form one row per user with a NULL task, as an event
+    of another user on the task forms a row of its own.
+    """
+    # The events of a task bound its rows here, and are cheaper to count.
+    return lifecycle_of(
+        lifecycle_stats(events, with_delete_flag), task, key_counts(events, "task_id"), **join_options
     )
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.functions.lookups import lookup_join
 from daybook.functions.quantiles import exact_quantiles
 from daybook.functions.values import first_present, lenient_date, lenient_number, ratio
+from daybook.session import scratch_path
+from daybook.sources.files import publish
 
 MISSING_PRIORITY = "None"
 
@@ -170,3 +174,102 @@ def task_funnel(events: DataFrame) -> DataFrame:
         for i, n in enumerate(FUNNEL_STEPS, start=1)
     ]
     return totals.select(F.inline(F.array(*rows)))
+
+
+def ordered_funnel(
+    events: DataFrame,
+    steps: Sequence[str] = ("create_task", "edit_task", "complete_task", "delete_task"),
+    within_days: int = 365,
+    time: str = "event_time",
+    **join_options,
+) -> DataFrame:
+    """``step_no, step, furthest_cnt, reached_cnt, pct_of_first``: tasks by the furthest of
+    ``steps`` that they reach in this order.
+
+    A task enters with its earliest first step. Each later step counts at its earliest time
+    that is not before the step it follows and at most ``within_days`` days after the
+    entry; a task without it goes no further. The steps are folded from the left: every
+    step reads its own events once, looks up how far their tasks have come, and stores
+    one row per task, whose size decides how the next step joins it. A task may have any
+    share of the events.
+    """
+    folder = scratch_path(events.sparkSession, "funnel")
+
+    def of(kind: str) -> DataFrame:
+        chosen = (F.col("event_type") == kind) & F.col("task_id").isNotNull() & F.col(time).isNotNull()
+        return events.filter(chosen).select("task_id", F.col(time).alias("at"), "event_id")
+
+    limit = F.expr(f"INTERVAL '{within_days}' DAY")
+    entered = of(steps[0]).groupBy("task_id").agg(F.min("at").alias("entry")).withColumn("since", F.col("entry"))
+    reached = [publish(entered, folder, "step_1")]
+    for n, kind in enumerate(steps[1:], 2):
+        came = lookup_join(of(kind), reached[-1], "task_id", spread="event_id", **join_options)
+        fits = (F.col("at") >= F.col("since")) & (F.col("at") <= F.col("entry") + limit)
+        came = came.filter(fits).groupBy("task_id").agg(F.min("entry").alias("entry"), F.min("at").alias("since"))
+        reached.append(publish(came, folder, f"step_{n}"))
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("reached_cnt")).select(
+            F.lit(n).alias("step_no"), F.lit(kind).alias("step"), "reached_cnt"
+        )
+        for n, (kind, df) in enumerate(zip(steps, reached), 1)
+    ]
+    # One row for each step.
+    by_step = Window.partitionBy(F.lit(1)).orderBy("step_no")
+    following = F.lead("reached_cnt", 1, 0).over(by_step)
+    first = F.first("reached_cnt").over(by_step)
+    return reduce(DataFrame.unionByName, counts).select(
+        "step_no", "step", (F.col("reached_cnt") - following).alias("furthest_cnt"), "reached_cnt",
+        (ratio(F.col("reached_cnt"), first) * 100).alias("pct_of_first"),
+    )
+
+
+def duration_sketches(lifecycle: DataFrame, k: int = 200) -> DataFrame:
+    """``priority, date, n, sketch``: completion times as quantile sketches of bounded size,
+    a row for each priority and day of completion. Stored, they merge over any days."""
+    return (
+        _durations(lifecycle).filter(F.col("priority").isNotNull())
+        .groupBy("priority", F.col("first_complete_time").cast("date").alias("date"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.kll_sketch_agg_bigint(F.col("complete_duration_seconds"), k).alias("sketch"),
+        )
+    )
+
+
+def sketched_box(sketches: DataFrame, k: int = 200) -> DataFrame:
+    """``duration_box_by_priority`` of the days in ``sketches``, from them alone. Every
+    quantile is a value whose rank is off by some 1.65 / ``k`` of the rows at most (99 % sure)."""
+    merged = sketches.groupBy("priority").agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint(F.col("sketch"), k).alias("sketch")
+    )
+    return merged.select(
+        "priority", "n",
+        *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias(name) for name, q in QUARTILES.items()],
+    )
+
+
+def rank_errors(box: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """``priority, quantile, n, rank_error``: how far, as a share of the rows, the ranks of
+    each approximate value in ``box`` lie from the quantile it stands for (0: within them)."""
+    wanted = F.create_map(*[x for name, q in QUARTILES.items() for x in (F.lit(name), F.lit(float(q)))])
+    asked = box.unpivot(["priority", "n"], list(QUARTILES), "quantile", "value").withColumn(
+        "wanted", wanted[F.col("quantile")]
+    )
+    # Values are counted per priority first; five limits per priority meet each count.
+    counted = (
+        _durations(lifecycle).filter(F.col("priority").isNotNull())
+        .groupBy("priority", "complete_duration_seconds").agg(F.count(F.lit(1)).alias("c"))
+    )
+    limits = asked.groupBy("priority").agg(F.collect_list(F.struct("quantile", "value", "wanted", "n")).alias("asked"))
+    limits = publish(limits, scratch_path(box.sparkSession, "limits"), "asked")
+    met = lookup_join(counted, limits, "priority", spread="complete_duration_seconds").select(
+        "complete_duration_seconds", "c", "priority", F.inline("asked")
+    )
+    x = F.col("complete_duration_seconds")
+    ranks = met.groupBy("priority", "quantile", "n", "wanted").agg(
+        F.sum(F.when(x < F.col("value"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(x <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"),
+    )
+    low, high = ratio(F.col("below"), F.col("n")), ratio(F.col("upto"), F.col("n"))
+    error = F.greatest(low - F.col("wanted"), F.col("wanted") - high, F.lit(0.0))
+    return ranks.select("priority", "quantile", "n", error.alias("rank_error"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from daybook.functions.lookups import lookup_join
+from daybook.functions.quantiles import exact_quantiles
 from daybook.functions.values import ratio, round_scaled
+from daybook.session import scratch_path
+from daybook.sources.files import publish
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -184,3 +187,94 @@ def orphan_events(
     return _union(
         [unknown("unknown_user", "user_id", user), unknown("unknown_task", "task_id", task), misdated]
     )
+
+
+def missing_days(
+    events: DataFrame, keys: Sequence[str], calendar: DataFrame, time: str = "event_time", day: str = "date"
+) -> DataFrame:
+    """Completeness: every run of days of the ``calendar`` on which a combination of ``keys``
+    has no event, as ``keys, gap_start, gap_end, missing_day_cnt``.
+
+    The calendar is the frame: its days are numbered, so a gap is a step of more than one
+    number between two present days, or a part left at either end. Days that it lacks
+    (such as weekends in one of working days) are in no gap. Events are reduced to one
+    row per combination and day first; a window holds the days of one combination.
+    Combinations are those that occur on some day of the calendar.
+    """
+    # One row for each calendar day, stored, so that its size decides the joins.
+    numbered = calendar.select(F.col(day).cast("date").alias("_day")).distinct().select(
+        "_day", F.row_number().over(Window.orderBy("_day")).alias("_no")
+    )
+    numbered = publish(numbered, scratch_path(events.sparkSession, "calendar"), "days")
+    last = numbered.agg(F.max("_no").alias("n")).scalar()
+    present = events.select(*keys, F.col(time).cast("date").alias("_day")).distinct()
+    placed = lookup_join(present, numbered, "_day", spread=None).filter("_no IS NOT NULL")
+    in_order = Window.partitionBy(*keys).orderBy("_no")
+    edges = placed.select(
+        *keys, "_no", F.lag("_no", 1, 0).over(in_order).alias("before"), F.lead("_no").over(in_order).alias("after"),
+        last.alias("last"),
+    )
+    gap = lambda a, b: F.struct(a.alias("_first"), b.alias("_last"))
+    gaps = F.array(
+        gap(F.col("before") + 1, F.col("_no") - 1),
+        gap(F.col("_no") + 1, F.when(F.col("after").isNull(), F.col("last"))),
+    )
+    found = edges.select(*keys, F.inline(F.filter(gaps, lambda g: g["_last"] >= g["_first"])))
+    first, final = (
+        numbered.select(F.col("_no").alias(no), F.col("_day").alias(name))
+        for no, name in (("_first", "gap_start"), ("_last", "gap_end"))
+    )
+    dated = lookup_join(lookup_join(found, first, "_first", spread=None), final, "_last", spread=None)
+    return dated.select(
+        *keys, "gap_start", "gap_end", (F.col("_last") - F.col("_first") + 1).cast("bigint").alias("missing_day_cnt")
+    )
+
+
+# Makes the median absolute deviation of normal values equal their standard deviation.
+MAD_SCALE = 1.4826
+MAD_BUCKETS = 4096
+
+
+def _buckets(df: DataFrame, value: str) -> float:
+    """Width that cuts the range of a column into ``MAD_BUCKETS``."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    return max((high - low) / MAD_BUCKETS, 1e-9) if low is not None else 1.0
+
+
+def value_limits(df: DataFrame, group: str, value: str, deviations: float = 3.5, digits: int = 6) -> DataFrame:
+    """``group, n, median, mad, low_limit, high_limit`` of a numeric column.
+
+    The median and the median absolute deviation from it are exact quantiles of counts
+    per value: one pass each, and no group is gathered. Limits are ``deviations`` scaled
+    deviations from the median.
+    """
+    folder = scratch_path(df.sparkSession, "limits")
+    rows = df.select(F.col(group), F.col(value).cast("double").alias("_value")).filter(
+        F.col("_value").isNotNull() & ~F.isnan("_value") & F.col(group).isNotNull()
+    )
+    middle = exact_quantiles(rows, group, "_value", {"median": 0.5}, _buckets(rows, "_value")).withColumn(
+        "median", F.round("median", digits)
+    )
+    middle = publish(middle, folder, "middle")
+    apart = lookup_join(rows, middle.select(group, "median"), group, spread="_value").select(
+        group, F.round(F.abs(F.col("_value") - F.col("median")), digits).alias("_apart")
+    )
+    spread = exact_quantiles(apart, group, "_apart", {"mad": 0.5}, _buckets(apart, "_apart")).select(
+        group, F.round("mad", digits).alias("mad")
+    )
+    reach = F.col("mad") * F.lit(MAD_SCALE * deviations)
+    limits = middle.join(spread, group).select(
+        group, "n", "median", "mad",
+        F.round(F.col("median") - reach, digits).alias("low_limit"),
+        F.round(F.col("median") + reach, digits).alias("high_limit"),
+    )
+    return publish(limits, folder, "limits")
+
+
+def beyond_limits(df: DataFrame, limits: DataFrame, group: str, value: str) -> DataFrame:
+    """Reasonableness: the rows of ``df`` whose ``value`` lies outside its group's limits."""
+    slim = limits.select(group, "low_limit", "high_limit")
+    spread = [c for c in df.columns if c != group]
+    return lookup_join(df, slim, group, spread=spread).filter(
+        (F.col(value) < F.col("low_limit")) | (F.col(value) > F.col("high_limit"))
+    )

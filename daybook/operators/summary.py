@@ -26,35 +26,26 @@ def _count_if(condition: Column) -> Column:
 def user_active_1d(events: DataFrame, user: DataFrame, **join_options) -> DataFrame:
     """Activity per known user and day; events of unknown users share a NULL user.
 
-    Events are reduced to one row per (user, day, session), which carries the
-    counts and flags, and one per (user, day, task). Both are then counted in
-    one aggregation, instead of copying every event once per distinct count.
+    Events are reduced to one row per (user, day, session, task) before the user is
+    looked up; both distinct counts are made of these rows, in one pass over the log.
     """
     known = user.select("user_id", F.col("user_id").alias("known_user"))
-    rows = events.select("user_id", "event_time", "event_type", "session_id", "task_id")
-    rows = lookup_join(
-        rows, known, "user_id", spread=["event_time", "session_id", "task_id"], **join_options
-    ).withColumns({"user_id": F.col("known_user"), "stat_date": _day()})
     flags = {
         "create_task_flag": _saw("create_task"),
         "complete_task_flag": _saw("complete_task"),
         "delete_task_flag": _saw("delete_task"),
     }
-    sessions = rows.groupBy("user_id", "stat_date", "session_id").agg(
+    reduced = events.groupBy("user_id", _day().alias("stat_date"), "session_id", "task_id").agg(
         F.count(F.lit(1)).alias("events"), *[saw.alias(name) for name, saw in flags.items()]
     )
-    tasks = (
-        rows.filter(F.col("task_id").isNotNull())
-        .select("user_id", "stat_date", "task_id")
-        .distinct()
-    )
     daily = (
-        sessions.unionByName(tasks, allowMissingColumns=True)
+        lookup_join(reduced, known, "user_id", spread=["stat_date", "session_id", "task_id"], **join_options)
+        .withColumn("user_id", F.col("known_user"))
         .groupBy("user_id", "stat_date")
         .agg(
             F.sum("events").alias("event_cnt"),
-            F.count("session_id").alias("session_cnt"),
-            F.count("task_id").alias("task_touch_cnt"),
+            F.count_distinct("session_id").alias("session_cnt"),
+            F.count_distinct("task_id").alias("task_touch_cnt"),
             *[F.max(name).alias(name) for name in flags],
         )
     )
@@ -288,3 +279,38 @@ def user_feature_usage_summary(
         rate("subtask").alias("subtask_usage_rate"),
         rate("due").alias("due_date_setting_rate"),
     )
+
+
+# Levels of the rollup, from a day's city up to all days; and the same without the day.
+PLACES = ("register_channel", "province", "city")
+
+
+def channel_region_rollup(events: DataFrame, user: DataFrame, **join_options) -> DataFrame:
+    """``channel_region_summary`` at every level of ``ROLLUP(stat_date, channel, province,
+    city)`` and of the places over all days, told apart by ``level`` (the bits of
+    ``grouping_id`` over these four columns).
+
+    Active users are exact at every level. A user has one channel, province and city, so
+    users of a day add up over its places; users of all days are counted from one row
+    per user. Events are reduced to these rows once and only the counts of places are
+    rolled up.
+    """
+    active = events.groupBy("user_id", _day().alias("stat_date")).agg(F.count(F.lit(1)).alias("events"))
+    places = user.select("user_id", *PLACES)
+    placed = lookup_join(active, places, "user_id", spread=None, **join_options)
+    daily = placed.groupBy("stat_date", *PLACES).agg(
+        F.count("user_id").alias("users"), F.sum("events").alias("events")
+    )
+    per_user = placed.groupBy("user_id", *PLACES).agg(F.sum("events").alias("events"))
+    overall = per_user.groupBy(*PLACES).agg(F.count("user_id").alias("users"), F.sum("events").alias("events"))
+    totals = [F.sum("users").alias("active_user_cnt"), F.sum("events").alias("event_cnt")]
+    by_day = (
+        daily.rollup("stat_date", *PLACES).agg(F.grouping_id().alias("level"), *totals)
+        # Without a day the users of different days would be added up.
+        .filter(F.col("level") < 8)
+    )
+    of_all = overall.rollup(*PLACES).agg((F.grouping_id() + 8).alias("level"), *totals)
+    columns = ["level", "stat_date", *PLACES, "active_user_cnt", "event_cnt"]
+    return by_day.select(columns).unionByName(
+        of_all.withColumn("stat_date", F.lit(None).cast("date")).select(columns)
+    )

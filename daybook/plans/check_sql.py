@@ -276,9 +276,57 @@ def melt(source: str, key: str, names: dict[str, str] | tuple[str, ...], label:
     )
 
 
-COHORTS = "SELECT cohort_date, " + ", ".join(
-    f"MAX(retain_rate) FILTER (day_index = {n}) AS day_{n}" for n in range(31)
-) + " FROM curve GROUP BY cohort_date"
+PLACES = ("register_channel", "province", "city")
+LEVELS = [("stat_date", *PLACES[:n]) for n in (3, 2, 1, 0)] + [PLACES[:n] for n in (3, 2, 1, 0)]
+
+FUNNEL_ORDER = ("create_task", "edit_task", "complete_task", "delete_task")
+
+
+def funnel_in_order(days: int) -> str:
+    """A join for every step: its earliest event after the step before, in time."""
+    steps = [
+        f"s1 AS (SELECT task_id, min(event_time) AS entry, min(event_time) AS since FROM raw_event "
+        f"WHERE event_type = '{FUNNEL_ORDER[0]}' AND task_id IS NOT NULL GROUP BY task_id)"
+    ]
+    for n, kind in enumerate(FUNNEL_ORDER[1:], 2):
+        steps.append(
+            f"s{n} AS (SELECT s.task_id, s.entry, min(e.event_time) AS since FROM s{n - 1} s JOIN raw_event e "
+            f"ON e.task_id = s.task_id AND e.event_type = '{kind}' AND e.event_time >= s.since "
+            f"AND e.event_time <= s.entry + INTERVAL {days} DAY GROUP BY s.task_id, s.entry)"
+        )
+    counts = " UNION ALL ".join(
+        f"SELECT {n} AS step_no, '{kind}' AS step, (SELECT count(*) FROM s{n}) AS reached_cnt"
+        for n, kind in enumerate(FUNNEL_ORDER, 1)
+    )
+    return f"""
+      WITH {", ".join(steps)}
+      SELECT *, reached_cnt - lead(reached_cnt, 1, 0) OVER (ORDER BY step_no) AS furthest_cnt,
+             reached_cnt / NULLIF(first(reached_cnt) OVER (ORDER BY step_no), 0) * 100 AS pct_of_first
+      FROM ({counts})"""
+
+
+def limits_of(table: str, value: str, group: str) -> str:
+    """Median and median absolute deviation by the aggregates of the name."""
+    return f"""
+      SELECT '{value}' AS column_name, {group} AS group_value, count(*) AS n, any_value(median) AS median,
+             round(median(apart), 6) AS mad,
+             round(any_value(median) - round(median(apart), 6) * (1.4826::DOUBLE * 3.5::DOUBLE), 6) AS low_limit,
+             round(any_value(median) + round(median(apart), 6) * (1.4826::DOUBLE * 3.5::DOUBLE), 6) AS high_limit
+      FROM (SELECT {group}, median, round(abs({value} - median), 6) AS apart
+            FROM {table} JOIN (SELECT {group}, round(median({value}), 6) AS median FROM {table} GROUP BY ALL) USING ({group})
+            WHERE {value} IS NOT NULL AND {group} IS NOT NULL) GROUP BY {group}"""
+
+
+MEASURED = (
+    ("orders", "o_totalprice", "o_orderpriority"), ("lineitem", "l_quantity", "l_returnflag"),
+    ("lineitem", "l_extendedprice", "l_returnflag"), ("lineitem", "l_discount", "l_linestatus"),
+    ("lineitem", "l_tax", "l_linestatus"), ("events", "value", "event_type"),
+)
+
+ROWS_OF = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
+    for t in ("events", "customer", "orders", "lineitem", "nation", "region")
+)
 
 # Table, then column, declared type and type of DuckDB.
 STORED_TYPES = """
@@ -381,7 +429,81 @@ STATEMENTS = {
         for n in (1, 7, 30)
     ) + " FROM retain",
     "retention_curve": "SELECT * FROM curve",
-    "cohort_retention_matrix": COHORTS,
+    "cohort_retention_matrix": "SELECT cohort_date, day_index, retain_rate FROM curve",
+    "catalog_tables": ROWS_OF,
+    "csv_all_tables": ROWS_OF,
+    "replace_table": """
+      SELECT *, CASE WHEN o_totalprice < 100000 THEN 'low' ELSE 'high' END AS price_class FROM orders""",
+    "table_versions": """
+      SELECT 1 AS version, FALSE AS is_current, count(*) AS row_cnt FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT 2, TRUE, count(*) FROM orders UNION ALL SELECT 3, FALSE, count(*) FROM orders""",
+    "ordered_table": """
+      SELECT event_time::DATE AS stat_date, hour(event_time) AS active_hour, count(*) AS event_cnt,
+             count(DISTINCT user_id) AS active_user_cnt
+      FROM raw_event GROUP BY ALL""",
+    "channel_region_rollup": f"""
+      SELECT GROUPING(stat_date, register_channel, province, city) AS level, stat_date, register_channel, province, city,
+             count(DISTINCT user_id) AS active_user_cnt, count(*) AS event_cnt
+      FROM (SELECT e.event_time::DATE AS stat_date, e.user_id, u.register_channel, u.province, u.city
+            FROM raw_event e LEFT JOIN dim_user u ON u.user_id = e.user_id)
+      GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(level) + ")" for level in LEVELS)})""",
+    "wau_mau_bitmaps": """
+      SELECT t.*, (SELECT count(DISTINCT a.user_id) FROM known_days a WHERE a.stat_date BETWEEN t.date - 89 AND t.date) AS qau
+      FROM trend t""",
+    "monthly_users": """
+      SELECT m.month_no, count(*) AS users, count(p.user_id) AS kept_users
+      FROM (SELECT DISTINCT user_id, year(stat_date) * 12 + month(stat_date) AS month_no FROM known_days WHERE user_id IS NOT NULL) m
+      LEFT JOIN (SELECT DISTINCT user_id, year(stat_date) * 12 + month(stat_date) + 1 AS month_no FROM known_days) p
+        ON p.user_id = m.user_id AND p.month_no = m.month_no
+      GROUP BY m.month_no""",
+    "activity_by_day_kind": f"""
+      SELECT CASE WHEN strftime(d, '%Y-%m-%d') IN {HOLIDAYS} THEN 'holiday'
+                  WHEN EXTRACT(ISODOW FROM d) >= 6 THEN 'weekend' ELSE 'workday' END AS kind, count(*) AS day_cnt,
+             coalesce(sum(users), 0)::BIGINT AS users_total, coalesce(sum(events), 0)::BIGINT AS events_total,
+             coalesce(sum(completed), 0)::BIGINT AS completed_total, round(avg(coalesce(users, 0)), 6) AS users_per_day,
+             round(avg(coalesce(events, 0)), 6) AS events_per_day, round(avg(coalesce(completed, 0)), 6) AS completed_per_day
+      FROM (SELECT UNNEST(generate_series(min(event_time::DATE), max(event_time::DATE), INTERVAL '1' DAY))::DATE AS d FROM raw_event)
+      LEFT JOIN (SELECT event_time::DATE AS d, count(DISTINCT user_id) AS users, count(*) AS events,
+                        count(*) FILTER (event_type = 'complete_task') AS completed FROM raw_event GROUP BY ALL) USING (d)
+      GROUP BY ALL""",
+    "weekend_events": PARTITIONED + """
+      WHERE EXTRACT(ISODOW FROM ts) >= 6 AND strftime(ts, '%Y-%m-%d') NOT IN ('2024-01-01', '2024-01-15', '2024-02-19')""",
+    "duration_box_sketch": """
+      SELECT priority, quantile, count(*) AS n, TRUE AS within FROM duration,
+             (VALUES ('min_seconds'), ('q1_seconds'), ('median_seconds'), ('q3_seconds'), ('max_seconds')) q(quantile)
+      WHERE priority IS NOT NULL GROUP BY ALL""",
+    "ordered_funnel": funnel_in_order(60),
+    "frequent_sequences": """
+      WITH RECURSIVE placed AS (
+        SELECT session_id, event_type, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY event_time, log_id) AS pos FROM todo_event
+      ), chains AS (
+        SELECT session_id, event_type AS sequence, 1 AS length, pos FROM placed
+        UNION ALL
+        SELECT c.session_id, c.sequence || ' > ' || p.event_type, c.length + 1, p.pos
+        FROM chains c JOIN placed p ON p.session_id = c.session_id AND p.pos > c.pos WHERE c.length < 4
+      )
+      SELECT sequence, length, count(DISTINCT session_id) AS session_cnt FROM chains
+      GROUP BY sequence, length HAVING count(DISTINCT session_id) >= 5""",
+    "missing_days": """
+      WITH days AS (
+        SELECT UNNEST(generate_series(min(event_time::DATE), max(event_time::DATE), INTERVAL '1' DAY))::DATE AS d FROM raw_event
+      ), kinds AS (
+        SELECT DISTINCT event_type, device_type FROM raw_event
+      ), absent AS (
+        SELECT event_type, device_type, d, d - ROW_NUMBER() OVER (PARTITION BY event_type, device_type ORDER BY d)::INT AS island
+        FROM kinds, days WHERE NOT EXISTS (
+          SELECT 1 FROM raw_event e WHERE e.event_type = kinds.event_type AND e.device_type = kinds.device_type
+            AND e.event_time::DATE = d)
+      )
+      SELECT event_type, device_type, min(d) AS gap_start, max(d) AS gap_end, count(*) AS missing_day_cnt
+      FROM absent GROUP BY event_type, device_type, island""",
+    "value_limits": " UNION ALL ".join(limits_of(*m) for m in MEASURED),
+    "unreasonable_events": f"""
+      SELECT e.*, low_limit, high_limit FROM events e JOIN ({limits_of("events", "value", "event_type")}) l
+      ON l.group_value = e.event_type WHERE e.value < low_limit OR e.value > high_limit""",
+    "duplicate_users": """
+      SELECT 'e' || event_id::VARCHAR AS log_id, user_id
+      FROM (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n > 1""",
     "channel_totals": "SELECT COALESCE(register_channel, 'None') AS channel, CAST(SUM(active_user_cnt) AS BIGINT) AS new_user_cnt FROM channel_region GROUP BY 1",
     "channel_region_totals": """
       SELECT COALESCE(register_channel, 'None') AS channel, province, CAST(SUM(active_user_cnt) AS BIGINT) AS new_user_cnt
@@ -514,7 +636,11 @@ def statement(key: str) -> str:
     parts = _ordered(_uses(body.replace(", (", " FROM (")), {})
     if not parts:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in parts) + "\n" + body
+    named = ",\n".join(f"{n} AS ({TABLES[n]})" for n in parts)
+    own = re.match(r"\s*WITH( RECURSIVE)?\b", body)
+    if own:  # the statement's own names follow the shared ones
+        return f"WITH{own[1] or ''} {named},\n{body[own.end():]}"
+    return f"WITH {named}\n{body}"
 
 
 def statements() -> dict[str, str]:

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook import schemas
-from daybook.functions.lookups import fits_broadcast
+from daybook.functions.lookups import fits_broadcast, key_counts
 from daybook.operators import activity, detail, features, lifecycle, quality, summary
+from daybook.plans.incremental import Manifest
 from daybook.session import size_shuffles
-from daybook.sources import catalog, files
+from daybook.sources import catalog, files, versions
 
 Frames = dict[str, DataFrame]
 
+# Summary tables that are read by ranges of days, and the order in which they are stored.
+ORDER = {
+    "dws_task_summary_1d": ("stat_date",),
+    "dws_event_type_summary_1d": ("stat_date", "event_type"),
+    "dws_hour_active_summary": ("stat_date", "active_hour"),
+    "dws_channel_region_summary": ("stat_date", "register_channel", "province", "city"),
+}
+
 def read_raw(spark: SparkSession, folder: str) -> Frames:
     """The raw tables of ``folder``, one directory per table, log by day."""
     base = folder.rstrip("/")
@@ -124,38 +133,24 @@ def metric_layer(
     return metrics
 
 
-def _event_day():
-    """The day of a raw event, by its time and not by its directory."""
-    return F.col("event_time").cast("timestamp_ntz").cast("date")
-
+def _lifecycle_days(events: DataFrame) -> DataFrame:
+    return detail.lifecycle_stats(events, by=("event_date",))
 
-def _day_digests(df: DataFrame) -> dict:
-    """Rows of each event day and the sum of their hashes; one row for each calendar day.
 
-    Hashes skip NULLs, so the hash also covers which columns are NULL.
-    """
-    row = F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
-    digests = df.groupBy(F.col("event_date").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(20,0)")).alias("digest")
+def _store_days(log: DataFrame, user: DataFrame, task: DataFrame, out: str, keep_others: bool) -> None:
+    """The tables that are stored by event day, from the raw events of the days to make."""
+    joined = detail.event_raw(log, user, task)
+    # Where both dimensions are broadcast, tasks keep the days of the raw log.
+    shuffled = not (fits_broadcast(user) and fits_broadcast(task))
+    files.publish(
+        joined, f"{out}/detail", "event_raw", "event_date", rebalance=shuffled, keep_others=keep_others
+    )
+    events = detail.typed_events(log)
+    files.publish(_lifecycle_days(events), f"{out}/detail", "lifecycle_days", "event_date", keep_others=keep_others)
+    files.publish(
+        detail.user_active_detail(events), f"{out}/detail", "dwd_user_active_detail", "active_date",
+        keep_others=keep_others, order=["user_id"],
     )
-    return {r["day"]: (r["n"], r["digest"]) for r in digests.collect()}
-
-
-def _touched_days(
-    joined: DataFrame, recent: DataFrame, before: DataFrame, days: tuple[str, str]
-) -> set | None:
-    """Event days to build again: the days asked for, those of events in their
-    directories (late ones too), and those whose joined events differ from the stored
-    ones, be it by an event or by a row of a dimension. None if a stored day has no
-    events left, so that the whole table has to be replaced."""
-    now, had = _day_digests(joined), _day_digests(before)
-    named = {r["day"] for r in recent.select(_event_day().alias("day")).distinct().collect()}
-    touched = {
-        d
-        for d in now.keys() | had.keys()
-        if d in named or now.get(d) != had.get(d) or d is not None and days[0] <= str(d) <= days[1]
-    }
-    return None if touched - now.keys() else touched
 
 
 def run(
@@ -169,40 +164,31 @@ def run(
 
     The joined events are the one wide table. They are stored once, by day, and
     the clean and fact-ordered tables are views of them; with ``copies`` these
-    two are stored as well. With ``days`` (first, last) the directories of
-    those days are taken as new: the joined events of all event days that they
-    touch are stored again from the whole log, and so are all other days whose
-    events or their users and tasks have changed; to find these, the whole log is
-    joined and compared with the stored days by hash. The other days stay as stored;
-    the remaining tables are always built from all days. The result is that of a run
-    without ``days``.
+    two are stored as well. Lifecycles are merged from stored parts by day.
+
+    With ``days`` (first, last) only what has changed is read: the directories of those
+    days, and others whose files differ from the manifest of the last build, are taken as
+    new, and all event days that they touch, or that have events of users or tasks whose
+    rows changed, are made again from the directories that hold them. The rest of the raw
+    log is not read. The tables made of all days are built again from the stored ones.
+    The result is that of a run without ``days``.
     """
     out = out_folder.rstrip("/")
     raw = read_raw(spark, raw_folder)
-    size_shuffles(spark, raw["ods_todo_event_log"], raw["dim_task"], raw["dim_user"])
-    lazy = detail_layer(raw)
-    touched = None
-    if days is not None:
-        recent = files.read_event_log(spark, f"{raw_folder.rstrip('/')}/ods_todo_event_log", *days)
-        before = files.read_or_empty(spark, f"{out}/detail/event_raw", lazy["event_raw"].schema)
-        touched = _touched_days(lazy["event_raw"], recent, before, days)
-    if touched is not None:
-        day = _event_day()
-        changed = day.isin([d for d in touched if d is not None])
-        if None in touched:
-            changed |= day.isNull()
-        lazy["event_raw"] = detail.event_raw(
-            raw["ods_todo_event_log"].filter(changed), raw["dim_user"], raw["dim_task"]
-        )
+    log, user, task = raw["ods_todo_event_log"], raw["dim_user"], raw["dim_task"]
+    size_shuffles(spark, log, task, user)
+    log_path = f"{raw_folder.rstrip('/')}/ods_todo_event_log"
+    # A log without directories by day has no parts to leave unread.
+    by_day = schemas.EVENT_PARTITION in spark.read.parquet(log_path).columns
+    manifest = Manifest(spark, f"{out}/manifest", raw, log_path) if by_day else None
+    changes = manifest.changes(days) if days is not None and by_day else None
+    if changes is not None:
+        log = changes.filter(log)
+    if changes is None or changes.days:
+        _store_days(log, user, task, out, changes is not None)
 
-    # Where both dimensions are broadcast, tasks keep the days of the raw log.
-    shuffled = not (fits_broadcast(raw["dim_user"]) and fits_broadcast(raw["dim_task"]))
-    stored: Frames = {
-        "event_raw": files.publish(
-            lazy["event_raw"], f"{out}/detail", "event_raw", "event_date",
-            rebalance=shuffled, keep_others=touched is not None,
-        )
-    }
+    joined = detail.event_raw(log, user, task)
+    stored: Frames = {"event_raw": files.read_published(joined, f"{out}/detail", "event_raw", "event_date")}
     clean = detail.event_clean(stored["event_raw"])
     views = {"event_clean": clean, "dwd_todo_event_detail": detail.event_detail(clean)}
     for name, view in views.items():
@@ -213,21 +199,36 @@ def run(
             if copies
             else view
         )
-    for name in ("dwd_task_lifecycle", "dwd_user_active_detail"):
-        stored[name] = files.publish(lazy[name], f"{out}/detail", name)
+    events = detail.typed_events(log)
+    parts = files.read_published(_lifecycle_days(events), f"{out}/detail", "lifecycle_days", "event_date")
+    cycle = detail.lifecycle_of(detail.merged_stats(parts), task, key_counts(parts, "task_id"))
+    stored["dwd_task_lifecycle"] = files.publish(cycle, f"{out}/detail", "dwd_task_lifecycle")
+    stored["dwd_user_active_detail"] = files.read_published(
+        detail.user_active_detail(events), f"{out}/detail", "dwd_user_active_detail", "active_date"
+    )
 
     summaries = {
-        name: files.publish(df, f"{out}/summary", name)
+        name: files.publish_ordered(df, f"{out}/summary", name, ORDER[name])
+        if name in ORDER
+        else files.publish(df, f"{out}/summary", name)
         for name, df in summary_layer(raw, stored).items()
     }
     metrics = metric_layer(
         raw, stored, summaries, lambda df, name: files.publish(df, f"{out}/metrics", name)
     )
     tables = stored | summaries | metrics
+    if manifest is not None:
+        manifest.store(changes)
     catalog.publish_views(tables)
     return tables
 
 
+def publish_database(tables: Mapping[str, DataFrame], database: str, keep: int = 2) -> dict[str, int]:
+    """Every stored table as a named table of ``database``, replaced whole; the number of
+    each new version. A reader of the database never meets a half-written table."""
+    return {name: versions.replace_table(df, f"{database}.{name}", keep=keep) for name, df in tables.items()}
+
+
 def check(raw: Mapping[str, DataFrame]) -> Frames:
     """Data-quality reports on the raw tables."""
     log = raw["ods_todo_event_log"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from pyspark.sql.types import StructType
 
 from daybook.functions.lookups import lookup_join
 from daybook.functions.values import lenient_date
-from daybook.operators import activity, derive, detail, features, lifecycle, quality, summary
+from daybook.operators import activity, bitmaps, derive, detail, features, lifecycle, quality, sequences, summary
 from daybook.session import scratch_path
-from daybook.sources import catalog, files
+from daybook.sources import catalog, files, versions
 from daybook.sources import sample_tables as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +22,10 @@ QUERIES: dict[str, Query] = {}
 
 # Days that are holidays in the sample calendar.
 HOLIDAYS = ("1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01")
-# Columns of the registered wide matrix; ``retention_curve`` has every day.
-MATRIX_DAYS = range(31)
+# Days that are holidays where the ``events`` table alone is read.
+EVENT_HOLIDAYS = ("2024-01-01", "2024-01-15", "2024-02-19")
+# Sessions that a frequent sequence occurs in, and event types in it.
+SEQUENCE_SESSIONS, SEQUENCE_LENGTH = 5, 4
 
 
 def query(function: Query) -> Query:
@@ -198,6 +201,63 @@ def catalog_external(spark, folder):
     return spark.table(f"{database}.orders")
 
 
+@query
+def catalog_tables(spark, folder):
+    """The tables of a database, listed by the catalog, and their rows."""
+    database, current = f"daybook_{uuid.uuid4().hex[:12]}", spark.catalog.currentDatabase()
+    catalog.ensure_database(spark, database, scratch_path(spark, database))
+    try:
+        for name, schema in st.SCHEMAS.items():
+            catalog.create_external_table(spark, name, schema, f"{folder.rstrip('/')}/{name}.parquet")
+    finally:
+        spark.catalog.setCurrentDatabase(current)
+    names = [r.tableName for r in catalog.list_tables(spark, database).filter("NOT isTemporary").collect()]
+    return quality.row_counts({name: spark.table(f"{database}.{name}") for name in names})
+
+
+@query
+def csv_all_tables(spark, folder):
+    """All sample tables written as CSV and read back: rows, and columns with a value."""
+    tables = {name: st.sample(spark, folder, name) for name in st.SCHEMAS}
+    path = scratch_path(spark, "csv")
+    files.export_tables_csv(tables, path)
+    back = {name: files.read_csv(spark, f"{path}/{name}", schema) for name, schema in st.SCHEMAS.items()}
+    return quality.row_counts(back)
+
+
+def _replaced(spark, folder) -> str:
+    """A table of orders that was replaced twice, with other rows, columns and partitions."""
+    database, current = f"daybook_{uuid.uuid4().hex[:12]}", spark.catalog.currentDatabase()
+    catalog.ensure_database(spark, database, scratch_path(spark, database))
+    spark.catalog.setCurrentDatabase(current)
+    name, orders = f"{database}.orders_now", st.sample(spark, folder, "orders")
+    versions.replace_table(orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), name, keep=3)
+    versions.replace_table(orders, name, partition=["o_orderstatus"], keep=3)
+    price = F.when(F.col("o_totalprice") < 100000, "low").otherwise("high")
+    versions.replace_table(spark.table(name).withColumn("price_class", price), name, keep=3)
+    return name
+
+
+@query
+def replace_table(spark, folder):
+    return spark.table(_replaced(spark, folder))
+
+
+@query
+def table_versions(spark, folder):
+    """The versions behind the name after going back to the second one."""
+    name = _replaced(spark, folder)
+    versions.restore_version(spark, name, 2)
+    return versions.list_versions(spark, name)
+
+
+@query
+def ordered_table(spark, folder):
+    """Hourly activity, stored in the order of day and hour."""
+    hours = summary.hour_active_summary(_log(spark, folder))
+    return files.publish_ordered(hours, scratch_path(spark, "ordered"), "hours", ["stat_date", "active_hour"])
+
+
 @query
 def catalog_partitions(spark, folder):
     return catalog.list_partitions(spark, _partitioned_table(spark, folder))
@@ -292,6 +352,11 @@ def dws_channel_region_summary(spark, folder):
     return _channels(spark, folder)
 
 
+@query
+def channel_region_rollup(spark, folder):
+    return summary.channel_region_rollup(_log(spark, folder), st.dim_user(spark, folder))
+
+
 @query
 def dws_new_old_user_summary(spark, folder):
     return summary.new_old_user_summary(_active_days(spark, folder))
@@ -333,6 +398,51 @@ def wau_mau(spark, folder):
     return activity.activity_trend(_active_1d(spark, folder))
 
 
+def _bitmaps(spark, folder) -> DataFrame:
+    """Stored bitmaps of the active users of each day."""
+    active, path = _active_1d(spark, folder), scratch_path(spark, "bitmaps")
+    numbers = files.publish(bitmaps.number_users(active), path, "numbers")
+    numbered = lookup_join(active, numbers, "user_id", spread="stat_date")
+    return files.publish(bitmaps.daily_bitmaps(numbered), path, "daily")
+
+
+@query
+def wau_mau_bitmaps(spark, folder):
+    """The trend from stored bitmaps alone, with a window of 90 days more."""
+    return bitmaps.trailing_users(_bitmaps(spark, folder), {"wau": 7, "mau": 30, "qau": 90})
+
+
+@query
+def monthly_users(spark, folder):
+    """Users of each month, and those of the month before among them."""
+    month = (F.year("date") * 12 + F.month("date")).cast("bigint")
+    return bitmaps.kept_users(_bitmaps(spark, folder), month, "month_no")
+
+
+def _log_calendar(spark, folder, holidays=HOLIDAYS):
+    return derive.date_dim(derive.day_bounds(_log(spark, folder), "event_time"), holidays)
+
+
+@query
+def activity_by_day_kind(spark, folder):
+    """Users, events and completions on workdays, weekends and holidays."""
+    completed = F.count(F.when(F.col("event_type") == "complete_task", F.lit(1)))
+    daily = _log(spark, folder).groupBy(F.to_date("event_time").alias("date")).agg(
+        F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("events"), completed.alias("completed")
+    )
+    measures = ("users", "events", "completed")
+    kinds = activity.activity_by_day_kind(daily, _log_calendar(spark, folder), measures)
+    return rounded(kinds, *[f"{m}_per_day" for m in measures])
+
+
+@query
+def weekend_events(spark, folder):
+    """Weekend events of a day-partitioned log; the calendar prunes the scan."""
+    path, schema = _partitioned_copy(spark, folder)
+    calendar = derive.date_dim(derive.day_bounds(st.sample(spark, folder, "events"), "ts"), EVENT_HOLIDAYS)
+    return activity.of_day_kind(files.read_event_log(spark, path, schema=schema), calendar, "weekend")
+
+
 @query
 def activity_kpis(spark, folder):
     return activity.activity_kpis(activity.activity_trend(_active_1d(spark, folder)))
@@ -388,8 +498,8 @@ def retention_curve(spark, folder):
 
 @query
 def cohort_retention_matrix(spark, folder):
-    curve = activity.retention_curve(_active_days(spark, folder))
-    return activity.cohort_matrix(curve, MATRIX_DAYS)
+    """Every cell of the matrix; a page pivots the days that it shows."""
+    return activity.cohort_matrix(activity.retention_curve(_active_days(spark, folder)))
 
 
 @query
@@ -438,6 +548,20 @@ def priority_long(spark, folder):
     return lifecycle.priority_long(lifecycle.priority_stats(_lifecycle(spark, folder)))
 
 
+@query
+def duration_box_sketch(spark, folder):
+    """Quartiles from stored sketches of each day: whether their ranks are within 3 %."""
+    cycle = _lifecycle(spark, folder)
+    sketches = files.publish(lifecycle.duration_sketches(cycle), scratch_path(spark, "sketches"), "daily")
+    errors = lifecycle.rank_errors(lifecycle.sketched_box(sketches), cycle)
+    return errors.select("priority", "quantile", "n", (F.col("rank_error") <= 0.03).alias("within"))
+
+
+@query
+def ordered_funnel(spark, folder):
+    return lifecycle.ordered_funnel(_log(spark, folder), within_days=60)
+
+
 @query
 def duration_histogram(spark, folder):
     return lifecycle.duration_histogram(_lifecycle(spark, folder))
@@ -570,6 +694,13 @@ def event_transitions(spark, folder):
     return derive.event_transitions(_session_log(spark, folder))
 
 
+@query
+def frequent_sequences(spark, folder):
+    """Event types that follow each other in many sessions."""
+    events = _session_log(spark, folder)
+    return sequences.frequent_sequences(events, SEQUENCE_SESSIONS, SEQUENCE_LENGTH)
+
+
 @query
 def parse_dates(spark, folder):
     """Order days written as ISO text, compact text and junk, read back."""
@@ -628,10 +759,18 @@ def top_event_types(spark, folder):
 
 @query
 def duplicate_sessions(spark, folder):
-    events = _session_log(spark, folder).select(
-        "event_id", "user_id", "session_id", "event_time", "event_type"
-    )
-    return quality.duplicates(events, "session_id", ["event_time"], spread="event_id")
+    """Events of sessions with several rows, in one sessionization."""
+    log = st.event_log(spark, folder).select("log_id", "user_id", "event_time", "event_type")
+    repeated = derive.assign_sessions(log, spread="log_id", min_rows=2)
+    return repeated.select(
+        F.col("log_id").alias("event_id"), "user_id", "session_id", "event_time", "event_type"
+    ).orderBy("session_id", "event_time")
+
+
+@query
+def duplicate_users(spark, folder):
+    """Events of the app log whose user occurs more than once."""
+    return quality.duplicates(st.app_events(spark, folder).select("log_id", "user_id"), "user_id", ["log_id"], spread="log_id")
 
 
 @query
@@ -673,3 +812,43 @@ def orphan_events(spark, folder):
         F.lit("1995-06-01").cast("date"),
         F.lit("2001-06-30").cast("date"),
     )
+
+
+@query
+def missing_days(spark, folder):
+    """Runs of days without an event, by event type and device."""
+    return quality.missing_days(
+        _log(spark, folder), ["event_type", "device_type"], _log_calendar(spark, folder), day="date_str"
+    )
+
+
+# Numeric columns, each with the column that groups it.
+MEASURED = {
+    "orders": {"o_totalprice": "o_orderpriority"},
+    "lineitem": {
+        "l_quantity": "l_returnflag", "l_extendedprice": "l_returnflag", "l_discount": "l_linestatus",
+        "l_tax": "l_linestatus",
+    },
+    "events": {"value": "event_type"},
+}
+
+
+@query
+def value_limits(spark, folder):
+    """Median, deviation and limits of every numeric column by group."""
+    frames = [
+        quality.value_limits(st.sample(spark, folder, table), group, value)
+        .withColumnRenamed(group, "group_value")
+        .withColumn("column_name", F.lit(value))
+        for table, columns in MEASURED.items()
+        for value, group in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query
+def unreasonable_events(spark, folder):
+    """Events whose value is far from what is usual for their type."""
+    events = st.sample(spark, folder, "events")
+    limits = quality.value_limits(events, "event_type", "value")
+    return quality.beyond_limits(events, limits, "event_type", "value")

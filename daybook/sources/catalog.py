@@ -52,8 +52,8 @@ def repair_partitions(spark: SparkSession, name: str) -> None:
     spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
-def list_tables(spark: SparkSession) -> DataFrame:
-    return spark.sql("SHOW TABLES")
+def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    return spark.sql("SHOW TABLES" + (f" IN `{database}`" if database else ""))
 
 
 def list_partitions(spark: SparkSession, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: StructType | None = None, conform: bool = False
+    spark: SparkSession, path: str, schema: StructType | str | None = None, conform: bool = False
 ) -> DataFrame:
     """Parquet scan. With ``conform`` the stored types may differ from ``schema``:
     required columns are checked and cast to the declared types."""
@@ -26,7 +28,7 @@ def read_table(
     return spark.read.schema(schema).parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Like ``read_table``, but a path that does not exist gives an empty frame."""
     try:
         return read_table(spark, path, schema)
@@ -82,16 +84,19 @@ def write_partitioned(
     partition: str = schemas.EVENT_PARTITION,
     rebalance: bool = True,
     keep_others: bool = True,
+    order: Sequence[str] = (),
 ) -> None:
     """One directory per partition value; a rerun replaces only the days it holds,
     or with ``keep_others`` off the whole table.
 
     Rows are rebalanced by the partition value: small days come together, and a
     day too large for one task is split into several files. A frame whose tasks
-    hold few days each already (a scan of a day-partitioned table) needs none.
+    hold few days each already (a scan of a day-partitioned table) needs none. The
+    rows of a file are in ``order``.
     """
+    dealt = df.hint("rebalance", partition) if rebalance else df
     (
-        (df.hint("rebalance", partition) if rebalance else df)
+        (dealt.sortWithinPartitions(partition, *order) if order else dealt)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .partitionBy(partition)
@@ -100,14 +105,34 @@ def write_partitioned(
 
 
 def publish(
-    df: DataFrame, folder: str, name: str, partition: str | None = None, **options: bool
+    df: DataFrame, folder: str, name: str, partition: str | None = None, **options
 ) -> DataFrame:
     """Store a derived table and return the frame that reads the stored copy."""
     path = f"{folder.rstrip('/')}/{name}"
     if partition is None:
         write_table(df, path)
+    else:
+        write_partitioned(df, path, partition, **options)
+    return read_published(df, folder, name, partition)
+
+
+def publish_ordered(df: DataFrame, folder: str, name: str, order: Sequence[str]) -> DataFrame:
+    """Like ``publish``, with rows in ``order`` inside and across the files: file after file
+    holds the next range of the order, and readers skip files, and parts of them, by
+    the least and greatest values kept with each.
+
+    Rows are dealt by ranges of the order itself, so a frequent first value is split by
+    the next columns.
+    """
+    write_table(df.repartitionByRange(*order).sortWithinPartitions(*order), f"{folder.rstrip('/')}/{name}")
+    return read_published(df, folder, name)
+
+
+def read_published(df: DataFrame, folder: str, name: str, partition: str | None = None) -> DataFrame:
+    """The stored copy of ``df``, whose columns it has in their order; ``df`` is not run."""
+    path = f"{folder.rstrip('/')}/{name}"
+    if partition is None:
         return df.sparkSession.read.schema(df.schema).parquet(path)
-    write_partitioned(df, path, partition, **options)
     stored = StructType([f for f in df.schema if f.name != partition]).add(df.schema[partition])
     return df.sparkSession.read.schema(stored).parquet(path).select(*df.columns)
 

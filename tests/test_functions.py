@@ -116,6 +116,27 @@ def test_lookup_join_splits_a_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("limit", [100, 1 << 40])
+def test_a_fact_with_hot_keys_is_shuffled_once(spark, limit):
+    """By key and salt, whether there are hot keys or not: their list is broadcast."""
+    fact = spark.createDataFrame(FACTS * 20, "id string, k string")
+    dim = spark.createDataFrame(DIM, "k string, v int")
+    joined = lookups.lookup_join(fact, dim, "k", spread="id", broadcast_bytes=-1, rows_per_split=limit)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # One for each side.
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan
+    assert ("BroadcastHashJoin" in plan) == (limit == 100)
+
+
+def test_heavy_keys_are_counted_in_one_scan(spark, tmp_path):
+    spark.createDataFrame([(str(n), n % 3, None if n % 2 else "x") for n in range(90)], "id string, a int, b string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    heavy = lookups.heavy_keys(df, ["a", "b"], 30)
+    assert collect(heavy["a"]) == [] and collect(heavy["b"]) == [("x", 45)]
+    assert collect(lookups.heavy_keys(df, ["a"], 29)["a"]) == [(0, 30), (1, 30), (2, 30)]
+    assert heavy["a"].schema["a"].dataType == df.schema["a"].dataType and lookups.heavy_keys(df, [], 1) == {}
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 

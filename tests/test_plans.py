@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables
 
 STORING = {
     "csv_round_trip", "scan_events_partitioned", "read_flat_log", "write_table", "publish_table",
-    "catalog_partitioned", "catalog_repair", "catalog_external", "catalog_partitions",
+    "catalog_partitioned", "catalog_repair", "catalog_external", "catalog_partitions", "catalog_tables",
+    "csv_all_tables", "replace_table", "table_versions", "ordered_table",
 }
 UNWANTED = (
     "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -62,7 +63,21 @@ def test_sessions_shuffle_slots_not_events_for_the_window(spark):
 
 
 @pytest.mark.parametrize(
-    "name", ["sessionize", "wau_mau", "dws_user_active_1d", "dwd_task_lifecycle", "dws_user_feature_usage_summary"]
+    "name, scans",
+    # The parts of the log are orders, orders again for the owners of lines, lines and events.
+    [("dws_user_active_1d", 8 + 3), ("duplicate_sessions", 16), ("event_transitions", 2)],
+)
+def test_the_log_is_not_scanned_for_every_count(spark, name, scans):
+    """Scans as planned, before any are reused: sessions and events once each."""
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert text.count("FileScan parquet") <= scans
+
+
+@pytest.mark.parametrize(
+    "name", [
+        "sessionize", "wau_mau", "wau_mau_bitmaps", "dws_user_active_1d", "dwd_task_lifecycle",
+        "dws_user_feature_usage_summary", "duplicate_sessions", "missing_days", "ordered_funnel",
+    ],
 )
 def test_results_equal_the_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
