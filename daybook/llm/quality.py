@@ -62,9 +62,6 @@ class _Words(dict):
         return code
 
 
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -91,11 +88,12 @@ def _features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _chunks(texts):
     """(codes, starts) of consecutive documents with some ``CHUNK`` words. Documents
-    are not cut."""
+    are not cut. The words remembered go with the task."""
+    words = _Words()
     codes: list[int] = []
     starts = [0]
     for text in texts:
-        codes += map(_words.__getitem__, (text.as_py() or "").encode().split())
+        codes += map(words.__getitem__, (text.as_py() or "").encode().split())
         starts.append(len(codes))
         if len(codes) >= CHUNK:
             yield np.array(codes, np.uint64), np.array(starts)

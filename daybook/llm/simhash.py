@@ -30,6 +30,8 @@ SEED = 42
 PAGE = 1024
 FANOUT = 4
 CHUNK = 200_000
+# Rows whose pages are joined at once.
+GROUP = 4 * PAGE
 # Shingles hashed at a time.
 SHINGLES = 200_000
 
@@ -212,16 +214,27 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _page_links(page: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within pages, each row to the first of its component in the page."""
-    index = Index(page, fps)
-    # Pages of one row have nothing to join.
-    roots = [(r, r) for r in index.roots]
-    if roots:
+    """Links within pages, each row to the first of its component in the page.
+
+    Pages are joined some ``GROUP`` rows at a time: where all rows of a page are near each
+    other, its pairs are all open at once, and this bounds how many pages have theirs so.
+    """
+    if not len(page):
+        return fps, fps
+    begins = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    cuts = begins[np.flatnonzero(np.r_[False, begins[1:] // GROUP != begins[:-1] // GROUP])]
+    moved, first = [], []
+    for some, rows in zip(np.split(page, cuts), np.split(fps, cuts)):
+        index = Index(some, rows)
+        # Pages of one row have nothing to join.
+        roots = [(r, r) for r in index.roots]
         roots[0] = (roots[0][0][:0],) * 2
-    linked = [_forest(len(fps), x, y) for x, y in index.join(roots, distance)]
-    label = linked[0] if linked else np.arange(len(fps))
-    moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+        for x, y in index.join(roots, distance):
+            label = _forest(len(rows), x, y)
+            linked = np.flatnonzero(label != np.arange(len(rows)))
+            moved.append(rows[linked])
+            first.append(rows[label[linked]])
+    return np.concatenate(moved), np.concatenate(first)
 
 
 def _cross_links(one: np.ndarray, two: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:

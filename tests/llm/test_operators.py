@@ -584,3 +584,22 @@ def test_query_sql(spark, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(got.columns)
     assert multiset(got.select(*names)) == Counter(found.fetchall())
+
+
+def test_dense_pages_need_bounded_memory():
+    """Of a chunk of pages whose rows are all near each other, a few are open at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    pages = 24
+    centres = rng.integers(0, 1 << 63, pages, np.uint64)
+    pairs = [(i, j) for i in range(64) for j in range(i)]
+    flips = np.array([0] + [1 << i | 1 << j for i, j in pairs[: simhash.PAGE - 1]], np.uint64)
+    fps = np.concatenate([np.sort(c ^ flips) for c in centres])
+    page = np.repeat(np.arange(pages), simhash.PAGE)
+    tracemalloc.start()
+    a, b = simhash._page_links(page, fps, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 << 20
+    assert len(a) == len(fps) - pages and set(b.tolist()) <= {int(x[0]) for x in np.split(fps, pages)}
