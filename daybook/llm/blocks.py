@@ -133,3 +133,31 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(raw: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` (0 and up) in ascending order, equal ones as they stand, and the
+    sorted values. Where value and place fit one number, those are sorted: faster than
+    sorting places by what stands there."""
+    bits = len(values).bit_length()
+    if len(values) and int(values.max()) < 1 << 62 - bits:
+        both = np.sort(values.astype(np.int64) << bits | np.arange(len(values)))
+        return both & (1 << bits) - 1, (both >> bits).astype(values.dtype)
+    order = np.argsort(values, kind="stable")
+    return order, values[order]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    ranked = np.sort(values)
+    return ranked[np.r_[True, ranked[1:] != ranked[:-1]]] if len(ranked) else ranked
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values, ascending; where each stands first; and for every value the
+    number of its own."""
+    order, ranked = in_order(values)
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], place

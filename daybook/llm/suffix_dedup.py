@@ -22,13 +22,16 @@ is compared, and equal bytes have equal hashes, so none is missed.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.blocks import NO_ID, _Numbers, answered, from_planes, gather, id_array, planes, task_numbers
+from daybook.llm.blocks import (
+    NO_ID, _Numbers, answered, from_planes, gather, id_array, in_order, numbered, planes, task_numbers,
+)
 from daybook.llm.common import Shelf, shuffle_partitions, store
 
 WINDOW = 50
@@ -178,11 +181,11 @@ class Dealt:
     """Different values in order, cut into shards of equal ranges."""
 
     def __init__(self, values: np.ndarray, shards: int, bits: int):
-        self.values, self.place = np.unique(values >> np.uint64(64 - bits), return_inverse=True)
+        self.values, _, self.place = numbered(values >> np.uint64(64 - bits))
         width = np.uint64(-(-(1 << bits) // shards))
         shard = (self.values // width).astype(np.int64)
-        self.present, begin = np.unique(shard, return_index=True)
-        self.part = {int(s): slice(a, b) for s, a, b in zip(self.present, begin, np.r_[begin[1:], len(shard)])}
+        cut = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+        self.part = {s: slice(a, b) for s, (a, b) in enumerate(itertools.pairwise(cut)) if a < b}
         self.shard = shard[self.place]
 
 
@@ -198,8 +201,8 @@ def _extremes(place: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> t
     """Least ``low`` and greatest ``high`` of the rows of each place below ``n``."""
     if not n:
         return low[:0], high[:0]
-    order = np.argsort(place, kind="stable")
-    cut = np.searchsorted(place[order], np.arange(n))
+    order, ranked = in_order(place)
+    cut = np.searchsorted(ranked, np.arange(n))
     return np.minimum.reduceat(low[order], cut), np.maximum.reduceat(high[order], cut)
 
 
@@ -231,7 +234,7 @@ def _answer(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     values = [np.cumsum(from_planes(r["values"], np.uint64), dtype=np.uint64) for r in rows]
     several = np.concatenate([_bits(r["several"], len(v)) for r, v in zip(rows, values)])
-    every, place = np.unique(np.concatenate(values), return_inverse=True)
+    every, _, place = numbered(np.concatenate(values))
     often = np.bincount(place, several + 1, len(every)) > 1
     marks = np.split(often[place], np.cumsum([len(v) for v in values])[:-1])
     return pa.table([
@@ -256,7 +259,7 @@ class Stretches:
             part = dealt.part[answer["shard"]]
             mark[part] = _bits(answer["marks"], part.stop - part.start)
         keep = np.flatnonzero(mark[dealt.place])
-        keep = keep[np.argsort(dealt.shard[keep], kind="stable")]
+        keep = keep[in_order(dealt.shard[keep])[0]]
         self.first, self.last, self.id = found.first[keep], found.last[keep], block.ids[found.doc[keep]]
         shard = dealt.shard[keep]
         self.texts, self.run, self.number = {}, {}, {}
@@ -297,17 +300,6 @@ SENT = "shard int, block_id bigint, sizes binary, low binary, above binary, size
 # --- step 3: corpus order of a shard ------------------------------------------------------
 
 
-def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ``key`` and its sorted values. Where key and place fit one number, those
-    are sorted, which is faster than sorting places."""
-    bits = len(key).bit_length()
-    if len(key) and int(key.max()) < 1 << 62 - bits:
-        both = np.sort(key << bits | np.arange(len(key)))
-        return both & (1 << bits) - 1, both >> bits
-    order = np.argsort(key)
-    return order, key[order]
-
-
 def _first_of(values: np.ndarray) -> np.ndarray:
     """For each of sorted ``values`` the place of the first equal one."""
     new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
@@ -320,7 +312,7 @@ def _refine(rank: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
     open_ = np.flatnonzero(left >= depth)
     if not len(open_):
         return rank
-    order, key = _sorted(rank[open_] * (len(rank) + 1) + rank[open_ + depth])
+    order, key = in_order(rank[open_] * (len(rank) + 1) + rank[open_ + depth])
     old = rank[open_][order]
     out = rank.copy()
     out[open_[order]] = old + _first_of(key) - _first_of(old)
@@ -328,7 +320,7 @@ def _refine(rank: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
-    order, values = _sorted(key)
+    order, values = in_order(key)
     out = np.empty(len(key), np.int64)
     out[order] = _first_of(values)
     return out
