@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.blocks import NO_ID, Block, answered, column, from_planes, gather, id_array, pack, planes, unpack
+from daybook.llm.blocks import (
+    NO_ID, Block, answered, column, distinct, from_planes, gather, id_array, in_order, numbered, pack, planes, unpack,
+)
 from daybook.llm.common import Shelf, shuffle_partitions, store
 from daybook.llm.elias_fano import EliasFano, Levels
 
@@ -139,16 +141,12 @@ class Pairs:
         self.context_count = np.where(context >= 0, known, 0)
         # Tokens after a context that training has; of these, the words it has too.
         self.live = np.flatnonzero((context >= 0) & (self.context_count > 0))
-        self.contexts, first, self.live_context = np.unique(
-            context[self.live], return_index=True, return_inverse=True
-        )
+        self.contexts, first, self.live_context = numbered(context[self.live])
         self.totals = self.context_count[self.live[first]]
         span = np.int64(sizes.words + 1)
         self.paired = np.flatnonzero(word[self.live] >= 0)
         asked = self.live[self.paired]
-        keys, self.place = np.unique(
-            self.live_context[self.paired] * span + word[asked], return_inverse=True
-        )
+        keys, _, self.place = numbered(self.live_context[self.paired] * span + word[asked])
         train = ~self.held_out[self.doc_of[asked]]
         self.train = np.bincount(self.place[train], minlength=len(keys)).astype(np.uint32)
         at_context, self.pair_word = keys // span, keys % span
@@ -162,11 +160,11 @@ class Pairs:
         slice_of = begin[at_context] + self.pair_word % slices[at_context]
         self.held = np.bincount(slice_of, minlength=len(self.owner))
         # By shard, then slice, then word.
-        self.slice_order = np.argsort(self.slice_shard, kind="stable")
+        self.slice_order = in_order(self.slice_shard)[0]
         rank = np.empty(len(self.owner), np.int64)
         rank[self.slice_order] = np.arange(len(self.owner))
-        self.pair_order = np.lexsort((self.pair_word, rank[slice_of]))
-        self.shards = np.unique(self.slice_shard)
+        self.pair_order = in_order(rank[slice_of] * span + self.pair_word)[0]
+        self.shards = distinct(self.slice_shard)
         ends = [*self.shards, self.shards[-1] + 1] if len(self.shards) else [0]
         self.slice_cut = np.searchsorted(self.slice_shard[self.slice_order], ends)
         self.pair_cut = np.searchsorted(self.slice_shard[slice_of][self.pair_order], ends)
@@ -229,7 +227,9 @@ class Trie:
         """The pairs of training, sorted by context and word, all different; ``total``
         is the count of the pair's context."""
         self.span = words + 1
-        self.own, first = np.unique(context, return_index=True)
+        # Contexts are sorted.
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+        self.own = context[first]
         ends = np.r_[first[1:], len(context)].astype(np.int64)
         self.contexts = EliasFano(self.own, self.span + 1, levels)
         # Where the successors of a context end.
@@ -277,7 +277,7 @@ def _answer(sizes: Sizes, discount: float):
         train = np.concatenate([r[6] for r in rows])
         have = train > 0
         context, total, word, train = context[have], total[have], word[have], train[have]
-        order = np.lexsort((word, context))
+        order = in_order(context * np.uint64(sizes.words + 1) + word)[0]
         context, total, word, train = context[order], total[order], word[order], train[order]
         new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(word) else order
         count = np.add.reduceat(train.astype(np.int64), new) if len(word) else train.astype(np.int64)
