@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.llm.blocks import distinct
 from daybook.llm.common import pick_rows, row_digest, store
 
 CLASSES = ("good", "junk", "toxic")
@@ -77,7 +78,7 @@ def _features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     # A word said again is one n-gram, whichever the word.
     pair = np.where(first == second, np.uint64(1), _mix(first * np.uint64(31) + second))
     kinds = _mix(shape[inner] * np.uint64(31) + shape[inner + 1])
-    once = np.unique(doc * WORDS + (_mix(word) % np.uint64(WORDS)).astype(np.int64))
+    once = distinct(doc * WORDS + (_mix(word) % np.uint64(WORDS)).astype(np.int64))
     found = np.concatenate([
         once % WORDS,
         WORDS + (pair % np.uint64(PAIRS)).astype(np.int64),
@@ -137,7 +138,8 @@ def first_copies(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 names=["doc_id", "class", "key"],
             )
 
-    labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "class", "text")
+    # Other columns of the documents may be called like the sample's.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "class", "text")
     keyed = labelled.mapInArrow(work, "doc_id bigint, class int, key bigint")
     return keyed.groupBy("class", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "class")
 
@@ -167,7 +169,7 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> DataFrame:
         ], names=["class", "bucket", "n"])
 
     # The sample is bounded by MAX_LABELLED rows of an id and a class.
-    labelled = docs.join(F.broadcast(sample), "doc_id").select("class", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("class", "text")
     counted = labelled.mapInArrow(work, "class int, bucket int, n bigint")
     return counted.groupBy("class", "bucket").agg(F.sum("n").alias("n"))
 

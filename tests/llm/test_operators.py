@@ -22,7 +22,7 @@ from daybook.llm.elias_fano import EliasFano, Levels
 SAMPLE = "/root/testdata/sf0.001"
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, row int, pos int,"
-    " h1 int, copy int, size int, rank int, score int, fp int, part int, _digest int, block_id int"
+    " h1 int, copy int, size int, rank int, score int, fp int, part int, _digest int, block_id int, class int, key int"
 )
 LINE = "A line that is long enough to be deduplicated, surely"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,7 +51,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, None, (None if n % 5 == 0 else f"s{n % 3}"), 1, "x", *[n % 4] * 11) for n, (i, t) in enumerate(ODD)]
+    rows = [(i, t, None, (None if n % 5 == 0 else f"s{n % 3}"), 1, "x", *[n % 4] * 13) for n, (i, t) in enumerate(ODD)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
