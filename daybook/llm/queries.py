@@ -187,9 +187,12 @@ FROM scored QUALIFY rank <= 10""",
     "op11_suffix_array_dedup": """
 WITH bodies AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT doc_id, c, substr(h, 2 * c + 1, 2 * 549) AS part
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS c FROM bodies)
 ), windows AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM bodies)
+  SELECT doc_id, c + j AS i, substr(part, 2 * j + 1, 100) AS win
+  FROM (SELECT doc_id, c, part, unnest(range(0, length(part) // 2 - 49)) AS j FROM pieces)
 ), firsts AS (
   SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
 ), gone AS (
