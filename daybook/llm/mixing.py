@@ -70,9 +70,10 @@ def mix(
     * Sources come by code point, NULL last, and take the weights in turn.
     * Documents are shuffled by a seeded hash of their columns; a source that needs
       more than it has goes round again, ``max_copies`` times at most.
-    * A copy is taken while the words before it are under the budget and its
-      source's target is not yet met, so a source misses its target by less than
-      one document.
+    * Copies are taken up to the source's target, the one that crosses it if that comes
+      nearer to the target than leaving it, and likewise up to the budget of all. A
+      source misses its target by half a document at most, and by those that the
+      budget cuts off the end of the whole mix.
     * NULL text has size 0. Documents of size 0 take no words and are not in the mix.
     * Rows that repeat an id and text are separate documents. An empty table gives
       an empty result.
@@ -144,7 +145,8 @@ def _take(
     )
     served = queued.withColumn("served", F.col("words") + F.col("epoch") * F.col("source_size"))
     served = served.withColumn("finish_time", F.col("served") / F.col("weight"))
-    served = served.filter(F.col("served") - F.col("size") < F.col("target"))
+    # The document that crosses the target is taken if that brings the source nearer to it.
+    served = served.filter(F.col("served") * 2 - F.col("size") <= F.col("target") * 2)
     # Cut at the budget: running sums in the order of finish times, cut by time.
     served = store(
         served.withColumn(
@@ -157,7 +159,7 @@ def _take(
     order = ["finish_time", "source", "draw", "doc_id", "epoch", "copy"]
     total = plan.agg((F.sum("source_size") * F.lit(float(budget))).alias("budget"))
     summed = running_total(served.withColumn("all", F.lit(0)), ["all"], "slice", [F.col(c) for c in order], mixed="size")
-    kept = summed.filter((F.col("mixed") - F.col("size")) < total.scalar())
+    kept = summed.filter(F.col("mixed") * 2 - F.col("size") <= total.scalar() * 2)
     return kept.select(
         "doc_id", "source", "size", "source_size", "target", "finish_time", "epoch", "copy", "digest"
     ).orderBy("finish_time", F.col("source").asc_nulls_last(), "digest", "doc_id", "epoch", "copy")
