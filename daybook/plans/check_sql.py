@@ -432,6 +432,10 @@ STATEMENTS = {
     "cohort_retention_matrix": "SELECT cohort_date, day_index, retain_rate FROM curve",
     "catalog_tables": ROWS_OF,
     "csv_all_tables": ROWS_OF,
+    "incremental_build": """
+      SELECT 'e' || event_id::VARCHAR AS event_id, e.user_id::VARCHAR AS user_id, e.ts AS event_time, e.event_type,
+             u.province, u.register_channel
+      FROM events e LEFT JOIN dim_user u ON u.user_id = e.user_id""",
     "replace_table": """
       SELECT *, CASE WHEN o_totalprice < 100000 THEN 'low' ELSE 'high' END AS price_class FROM orders""",
     "table_versions": """

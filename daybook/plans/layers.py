@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook import schemas
 from daybook.functions.lookups import fits_broadcast, key_counts
 from daybook.operators import activity, detail, features, lifecycle, quality, summary
-from daybook.plans.incremental import Manifest
+from daybook.plans.incremental import Changes, Manifest
 from daybook.session import size_shuffles
 from daybook.sources import catalog, files, versions
 
@@ -153,30 +153,17 @@ def _store_days(log: DataFrame, user: DataFrame, task: DataFrame, out: str, keep
     )
 
 
-def run(
+def store_detail(
     spark: SparkSession,
+    raw: Frames,
     raw_folder: str,
-    out_folder: str,
+    out: str,
     copies: bool = False,
     days: tuple[str, str] | None = None,
-) -> Frames:
-    """Build and store every layer; each layer reads the stored one before it.
-
-    The joined events are the one wide table. They are stored once, by day, and
-    the clean and fact-ordered tables are views of them; with ``copies`` these
-    two are stored as well. Lifecycles are merged from stored parts by day.
-
-    With ``days`` (first, last) only what has changed is read: the directories of those
-    days, and others whose files differ from the manifest of the last build, are taken as
-    new, and all event days that they touch, or that have events of users or tasks whose
-    rows changed, are made again from the directories that hold them. The rest of the raw
-    log is not read. The tables made of all days are built again from the stored ones.
-    The result is that of a run without ``days``.
-    """
-    out = out_folder.rstrip("/")
-    raw = read_raw(spark, raw_folder)
+) -> tuple[Frames, Manifest | None, Changes | None]:
+    """Build and store the detail layer, as ``run`` does. When all that is made of it is
+    stored as well, ``manifest.store(changes)`` writes down what was read."""
     log, user, task = raw["ods_todo_event_log"], raw["dim_user"], raw["dim_task"]
-    size_shuffles(spark, log, task, user)
     log_path = f"{raw_folder.rstrip('/')}/ods_todo_event_log"
     # A log without directories by day has no parts to leave unread.
     by_day = schemas.EVENT_PARTITION in spark.read.parquet(log_path).columns
@@ -206,6 +193,33 @@ def run(
     stored["dwd_user_active_detail"] = files.read_published(
         detail.user_active_detail(events), f"{out}/detail", "dwd_user_active_detail", "active_date"
     )
+    return stored, manifest, changes
+
+
+def run(
+    spark: SparkSession,
+    raw_folder: str,
+    out_folder: str,
+    copies: bool = False,
+    days: tuple[str, str] | None = None,
+) -> Frames:
+    """Build and store every layer; each layer reads the stored one before it.
+
+    The joined events are the one wide table. They are stored once, by day, and
+    the clean and fact-ordered tables are views of them; with ``copies`` these
+    two are stored as well. Lifecycles are merged from stored parts by day.
+
+    With ``days`` (first, last) only what has changed is read: the directories of those
+    days, and others whose files differ from the manifest of the last build, are taken as
+    new, and all event days that they touch, or that have events of users or tasks whose
+    rows changed, are made again from the directories that hold them. The rest of the raw
+    log is not read. The tables made of all days are built again from the stored ones.
+    The result is that of a run without ``days``.
+    """
+    out = out_folder.rstrip("/")
+    raw = read_raw(spark, raw_folder)
+    size_shuffles(spark, raw["ods_todo_event_log"], raw["dim_task"], raw["dim_user"])
+    stored, manifest, changes = store_detail(spark, raw, raw_folder, out, copies, days)
 
     summaries = {
         name: files.publish_ordered(df, f"{out}/summary", name, ORDER[name])

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from daybook import schemas
 from daybook.functions.lookups import lookup_join
 from daybook.functions.values import lenient_date
 from daybook.operators import activity, bitmaps, derive, detail, features, lifecycle, quality, sequences, summary
+from daybook.plans import layers
 from daybook.session import scratch_path
 from daybook.sources import catalog, files, versions
 from daybook.sources import sample_tables as st
@@ -319,6 +321,35 @@ def dwd_user_active_detail(spark, folder):
     return detail.user_active_detail(_session_log(spark, folder))
 
 
+# First day that the second of two builds adds.
+ADDED_FROM = "2024-01-20"
+
+
+@query
+def incremental_build(spark, folder):
+    """Joined app events of two builds: the first of the days before ``ADDED_FROM``, with
+    users that have moved since, the second of the days added and what has changed."""
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "out")
+    log = st.app_events(spark, folder).withColumn("session_id", F.lit(None).cast("string"))
+    log = log.select(
+        *[F.col(f.name).cast(f.dataType) for f in schemas.EVENT_LOG],
+        F.to_date("event_time").cast("string").alias("event_date"),
+    )
+    users, path = st.dim_user(spark, folder), f"{raw}/ods_todo_event_log"
+    moved = F.when(F.col("user_id") % 10 == 0, "elsewhere").otherwise(F.col("province"))
+    added = F.col("event_date") >= ADDED_FROM
+    files.write_table(schemas.conform(st.dim_task(spark, folder), schemas.DIM_TASK), f"{raw}/dim_task")
+    for number, (dim, part) in enumerate(((users.withColumn("province", moved), ~added), (users, added))):
+        files.write_table(schemas.conform(dim, schemas.DIM_USER), f"{raw}/dim_user")
+        files.write_partitioned(log.filter(part), path)
+        days = (ADDED_FROM, "9999-12-31") if number else None
+        stored, manifest, changes = layers.store_detail(spark, layers.read_raw(spark, raw), raw, out, days=days)
+        manifest.store(changes)
+    return stored["event_raw"].select(
+        "event_id", "user_id", "event_time", "event_type", "province", "register_channel"
+    )
+
+
 # --- summary layer --------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ STORING = {
     "csv_round_trip", "scan_events_partitioned", "read_flat_log", "write_table", "publish_table",
     "catalog_partitioned", "catalog_repair", "catalog_external", "catalog_partitions", "catalog_tables",
     "csv_all_tables", "replace_table", "table_versions", "ordered_table",
+    "incremental_build",
 }
 UNWANTED = (
     "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
