@@ -141,8 +141,13 @@ def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sorting places by what stands there."""
     bits = len(values).bit_length()
     if len(values) and int(values.max()) < 1 << 62 - bits:
-        both = np.sort(values.astype(np.int64) << bits | np.arange(len(values)))
-        return both & (1 << bits) - 1, (both >> bits).astype(values.dtype)
+        both = values.astype(np.int64)
+        both <<= bits
+        both |= np.arange(len(values))
+        both.sort()
+        order = both & (1 << bits) - 1
+        both >>= bits
+        return order, both.astype(values.dtype, copy=False)
     order = np.argsort(values, kind="stable")
     return order, values[order]
 

@@ -129,27 +129,31 @@ class Pairs:
         inner[stops - 1] = False
         tokens[inner] = block.tokens
         self.starts = stops - self.lengths
-        self.doc_of = np.repeat(np.arange(len(block.ids)), self.lengths)
+        self.doc_of = np.repeat(np.arange(len(block.ids), dtype=np.int32), self.lengths)
         self.held_out = held_out_ids(block.ids)
         self.count = counts[tokens]
         word = ids[tokens]
+        del inner, tokens, ids, counts
         # The context of a first word is the start of a text, numbered after all words.
         context = np.r_[np.int64(-1), word[:-1]]
         context[self.starts] = sizes.words
         known = np.r_[np.int64(0), self.count[:-1]]
         known[self.starts] = sizes.documents
-        self.context_count = np.where(context >= 0, known, 0)
         # Tokens after a context that training has; of these, the words it has too.
-        self.live = np.flatnonzero((context >= 0) & (self.context_count > 0))
+        self.live = np.flatnonzero((context >= 0) & (known > 0))
         self.contexts, first, self.live_context = numbered(context[self.live])
-        self.totals = self.context_count[self.live[first]]
+        self.totals = known[self.live[first]]
+        del context, known, first
         span = np.int64(sizes.words + 1)
         self.paired = np.flatnonzero(word[self.live] >= 0)
         asked = self.live[self.paired]
         keys, _, self.place = numbered(self.live_context[self.paired] * span + word[asked])
+        del word
         train = ~self.held_out[self.doc_of[asked]]
         self.train = np.bincount(self.place[train], minlength=len(keys)).astype(np.uint32)
+        del asked, train
         at_context, self.pair_word = keys // span, keys % span
+        del keys
         # A context is asked for in all its slices, a word in its own.
         slices = sizes.slices(self.totals)
         self.owner = np.repeat(np.arange(len(self.contexts)), slices)
@@ -163,6 +167,7 @@ class Pairs:
         self.slice_order = in_order(self.slice_shard)[0]
         rank = np.empty(len(self.owner), np.int64)
         rank[self.slice_order] = np.arange(len(self.owner))
+        del at_context
         self.pair_order = in_order(rank[slice_of] * span + self.pair_word)[0]
         self.shards = distinct(self.slice_shard)
         ends = [*self.shards, self.shards[-1] + 1] if len(self.shards) else [0]
@@ -309,6 +314,7 @@ def _score(sizes: Sizes, discount: float):
                 chance[pairs.live] *= back_off[pairs.live_context]
                 chance[pairs.live[pairs.paired]] += seen[pairs.place]
                 n = len(block.ids)
+                del seen, back_off
                 yield pa.RecordBatch.from_arrays([
                     id_array(block.ids), pa.array(pairs.held_out), pa.array(pairs.lengths),
                     pa.array(np.bincount(pairs.doc_of, pairs.count > 0, n).astype(np.int64)),
