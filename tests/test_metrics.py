@@ -42,6 +42,17 @@ def test_matrix_has_every_day_of_the_data(spark):
     assert activity.cohort_matrix(curve, [0, 59, 60]).collect() == [(day(1), 1.0, 1.0, None)]
 
 
+def test_matrix_in_bands_has_every_cell(spark):
+    """The registered query is a matrix again, of all day indexes and not of 31."""
+    curve = spark.range(70).selectExpr(
+        "date'2026-07-01' AS cohort_date", "CAST(id AS INT) AS day_index", "1 AS users", "id / 100 AS retain_rate"
+    ).filter("day_index NOT BETWEEN 31 AND 61 AND day_index <> 5")
+    rows = activity.cohort_bands(curve, 31).orderBy("first_day_index").collect()
+    assert [r["first_day_index"] for r in rows] == [0, 62]
+    cells = {r["first_day_index"] + n: r[f"day_{n}"] for r in rows for n in range(31)}
+    assert cells == {n: n / 100 if n < 70 and n != 5 else None for n in [*range(31), *range(62, 93)]}
+
+
 def test_spine_gap(spark):
     trend = collect(activity.activity_trend(active(spark, ("u", day(1)), ("u", day(12)))), "date")
     assert [r[1] for r in trend] == [1] + [0] * 10 + [1]
