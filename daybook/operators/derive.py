@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.lookups import fits_broadcast, lookup_join
+from daybook.functions.lookups import ROWS_PER_SPLIT, fits_broadcast, heavy_keys, lookup_join
 from daybook.functions.times import time_slot
 from daybook.functions.values import date_from_text
 from daybook.session import scratch_path
@@ -67,6 +67,58 @@ def padded(number: Column, digits: int) -> Column:
     return F.when(number < 10 ** (digits - 1), F.lpad(text, digits, "0")).otherwise(text)
 
 
+# Rows of one user that are put in order at once.
+ROWS_PER_USER = 250_000
+
+
+def heavy_users(events: DataFrame, user: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Users, NULL among them, with too many events to be put in order by one task."""
+    return heavy_keys(events, [user], min(rows_per_split, ROWS_PER_USER), nulls=True)[user]
+
+
+def _sessions_in_order(
+    events: DataFrame, user: str, time: str, max_gap_minutes: int, columns: list[str], min_rows: int
+) -> DataFrame:
+    """``columns``, ``session_idx``: events of each user numbered in order of time.
+
+    One shuffle by user, which what follows by user finds in place.
+    """
+    in_order = Window.partitionBy(user).orderBy(time)
+    apart = F.col(time) - F.col("before_") > F.expr(f"INTERVAL '{max_gap_minutes}' MINUTE")
+    starts = F.when(F.col(time).isNull(), 0).when(F.col("before_").isNull() | apart, 1).otherwise(0)
+    number = F.sum(starts.cast("bigint")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = events.withColumn("before_", F.lag(time).over(in_order)).select(
+        *columns, F.when(F.col(user).isNotNull() & F.col(time).isNotNull(), number).alias("session_idx")
+    )
+    if min_rows > 1:
+        size = F.count(F.lit(1)).over(Window.partitionBy(user, "session_idx"))
+        lost = F.col("session_idx").isNull()
+        numbered = numbered.withColumn("rows_", size).filter(lost | (F.col("rows_") >= min_rows))
+    return numbered.select(*columns, "session_idx")
+
+
+def _sessions_by_slot(
+    events: DataFrame, slots: DataFrame, user: str, time: str, max_gap_minutes: int, columns: list[str],
+    min_rows: int, spread: str | Sequence[str], **join_options,
+) -> DataFrame:
+    """``columns``, ``session_idx``: the numbers of slots looked up for their events."""
+    rows = events.withColumn("slot", time_slot(F.col(time), max_gap_minutes * 60))
+    numbers = session_numbers(slots, user, max_gap_minutes)
+    if min_rows > 1:
+        of_session = Window.partitionBy(user, "session_idx")
+        sized = numbers.join(slots.select(user, "slot", "n"), [user, "slot"]).withColumn(
+            "rows", F.sum("n").over(of_session)
+        )
+        numbers = sized.filter(F.col("rows") >= min_rows).select(user, "slot", "session_idx")
+    joined = lookup_join(
+        rows, numbers, [user, "slot"], spread, counts=slots.select(user, "slot", "n"), **join_options
+    )
+    if min_rows > 1:
+        without = F.col(user).isNull() | F.col("slot").isNull()
+        joined = joined.filter(F.col("session_idx").isNotNull() | without)
+    return joined.select(*columns, "session_idx")
+
+
 def assign_sessions(
     events: DataFrame,
     user: str = "user_id",
@@ -74,41 +126,48 @@ def assign_sessions(
     max_gap_minutes: int = 30,
     spread: str | Sequence[str] | None = None,
     min_rows: int = 1,
+    heavy: DataFrame | None = None,
     **join_options,
 ) -> DataFrame:
     """Add ``session_id``: a new session after a gap strictly over the limit.
 
+    Where the slots of the events fit a broadcast, their numbers are looked up. Otherwise
+    events are put in order by user in one shuffle, all but those of users with more than
+    ``ROWS_PER_USER`` rows, which are numbered by slots: ``heavy`` may list these
+    (``heavy_users``), otherwise they are counted while the plan is made.
+
     ``spread`` names columns that vary among the events of one user (default:
     the event time), used where a slot is too large for one task. With ``min_rows``
-    only events of sessions with at least so many rows are kept; the rows of a session
-    are the sum of those of its slots, so the events are not counted again. Events
+    only events of sessions with at least so many rows are kept. Events
     without user or time have no session and count as one.
     """
-    slots = user_slots(events, user, time, max_gap_minutes)
-    limit = join_options.get("broadcast_bytes")
-    if not fits_broadcast(slots, limit):
-        # Read for the numbers and for the heavy slots: one pass over the events.
-        slots = publish(slots, scratch_path(events.sparkSession, "sessions"), "slots")
-    rows = events.withColumn("slot", time_slot(F.col(time), max_gap_minutes * 60))
-    numbers = session_numbers(slots, user, max_gap_minutes)
     columns = [c for c in events.columns if c != "session_id"]
     identity = session_id(F.col(user), F.col("session_idx")).alias("session_id")
+    settings = (user, time, max_gap_minutes, columns, min_rows)
+    spread = spread or time
+    slots = user_slots(events, user, time, max_gap_minutes)
+    if fits_broadcast(slots, join_options.get("broadcast_bytes")):
+        numbered = _sessions_by_slot(events, slots, *settings, spread, **join_options)
+    else:
+        if heavy is None:
+            heavy = heavy_users(events, user, join_options.get("rows_per_split", ROWS_PER_SPLIT))
+        listed = F.broadcast(heavy.select(F.col(user).alias("heavy_")))
+        if heavy.isEmpty():
+            numbered = _sessions_in_order(events, *settings)
+        else:
+            same = F.col(user).eqNullSafe(F.col("heavy_"))
+            hot = events.join(listed, same, "left_semi")
+            # Read for the numbers and for the heavy slots: one pass over the events.
+            slots = publish(
+                user_slots(hot, user, time, max_gap_minutes), scratch_path(events.sparkSession, "sessions"), "slots"
+            )
+            numbered = _sessions_by_slot(hot, slots, *settings, spread, **join_options).unionByName(
+                _sessions_in_order(events.join(listed, same, "left_anti"), *settings)
+            )
     if min_rows > 1:
-        of_session = Window.partitionBy(user, "session_idx")
-        sized = numbers.join(slots.select(user, "slot", "n"), [user, "slot"]).withColumn(
-            "rows", F.sum("n").over(of_session)
-        )
-        numbers = sized.filter(F.col("rows") >= min_rows).select(user, "slot", "session_idx")
-    joined = lookup_join(
-        rows, numbers, [user, "slot"], spread or time, counts=slots.select(user, "slot", "n"), **join_options
-    )
-    if min_rows > 1:
-        without = F.col(user).isNull() | F.col("slot").isNull()
         lost = events.filter(F.col(user).isNull() | F.col(time).isNull()).agg(F.count(F.lit(1)).alias("n"))
-        joined = joined.filter(
-            F.col("session_idx").isNotNull() | (without & (lost.scalar() >= min_rows))
-        )
-    return joined.select(*columns, identity)
+        numbered = numbered.filter(F.col("session_idx").isNotNull() | (lost.scalar() >= min_rows))
+    return numbered.select(*columns, identity)
 
 
 def event_date(time: Column) -> Column:

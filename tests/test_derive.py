@@ -64,6 +64,37 @@ def test_sessions_follow_the_definition(spark, minutes, salted):
     assert sessions(df, max_gap_minutes=minutes, **options) == expected
 
 
+def stored_events(spark, path):
+    """Three users, one of them with most events, rows without user or time."""
+    rng = random.Random(3)
+    users = ["a", "b", None] + ["busy"] * 5
+    events = [
+        (rng.choice(users), None if i % 29 == 0 else T(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(0, 9000)), i)
+        for i in range(900)
+    ]
+    spark.createDataFrame(events, "user_id string, event_time timestamp_ntz, event_id int").write.parquet(path)
+    return events, spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("rows", [10, 300, 10_000])
+@pytest.mark.parametrize("least", [1, 3])
+def test_sessions_of_large_logs_follow_the_definition(spark, tmp_path, rows, least):
+    """All users in order, all by slots, or the busy one by slots."""
+    events, df = stored_events(spark, f"{tmp_path}/events")
+    whole = [e for e in events if e[0] is not None and e[1] is not None]
+    expected = {e[2]: None for e in events} | plain_sessions(whole, dt.timedelta(minutes=30))
+    sizes = {s: list(expected.values()).count(s) for s in expected.values()}
+    expected = {e: s for e, s in expected.items() if sizes[s] >= least}
+    assert sessions(df, broadcast_bytes=-1, rows_per_split=rows, min_rows=least) == expected
+
+
+def test_sessions_and_what_follows_by_user_share_a_shuffle(spark, tmp_path):
+    _, df = stored_events(spark, f"{tmp_path}/events")
+    out = derive.assign_sessions(df, spread="event_id", broadcast_bytes=-1)
+    days = out.groupBy("user_id", F.to_date("event_time")).agg(F.count_distinct("session_id"))
+    assert days._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_long_session_numbers_are_not_cut(spark):
     df = spark.createDataFrame([(9999,), (10000,), (7,)], "n bigint")
     out = [r[0] for r in df.select(derive.session_id(F.lit("u"), F.col("n"))).collect()]

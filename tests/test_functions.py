@@ -137,6 +137,17 @@ def test_heavy_keys_are_counted_in_one_scan(spark, tmp_path):
     assert heavy["a"].schema["a"].dataType == df.schema["a"].dataType and lookups.heavy_keys(df, [], 1) == {}
 
 
+def test_keys_are_not_shuffled_to_find_that_none_is_heavy(spark, tmp_path):
+    """Rows of a task combine by part of the keys, whatever the number of keys."""
+    spark.range(300_000).selectExpr("id AS k", "id % 3 AS j").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert lookups.heavy_counts(df, ["k"], 1000)._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation <empty>")
+    assert collect(lookups.heavy_counts(df, ["j"], 99_999)) == [(0, 100_000), (1, 100_000), (2, 100_000)]
+    assert collect(lookups.heavy_keys(df.selectExpr("nullif(j, 1) AS j"), ["j"], 99_999, nulls=True)["j"], "j") == [
+        (None, 100_000), (0, 100_000), (2, 100_000)
+    ]
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 

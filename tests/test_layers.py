@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import detail, summary
+from daybook.operators import derive, detail, summary
 from tests.helpers import collect, event_log, tasks, users
 
 D = dt.date
@@ -65,6 +65,22 @@ def test_event_raw_keeps_every_event(log, user, task, options):
     assert fact.columns[:4] == ["event_id", "user_id", "task_id", "list_id"]
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1}, {"broadcast_bytes": -1, "rows_per_split": 1}])
+def test_event_raw_of_parts_with_sessions(spark, log, user, task, options, tmp_path):
+    """The same rows as sessions first and the whole log at once; events are shuffled
+    by task and by user only."""
+    typed = log.drop("session_id").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    typed.write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    whole = detail.event_raw(derive.assign_sessions(log, spread="log_id"), user, task)
+    cut = F.col("event_type") == "create_task"
+    raw = detail.event_raw([log.filter(cut), log.filter(~cut)], user, task, gap_minutes=30, **options)
+    assert raw.columns == whole.columns and collect(raw, "event_id") == collect(whole, "event_id")
+    if options == {"broadcast_bytes": -1}:
+        plan = raw._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(user_id") <= 2
+
+
 def test_attributes(log, user, task):
     text = (
         F.when(F.col("log_id") == "e1", '{"priority":"high","due_date":null,"has_reminder":true,"action_duration":3}')
