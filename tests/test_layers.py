@@ -158,6 +158,20 @@ def test_active_1d_puts_unknown_users_together(events, user, options):
     assert first["first_active_date"] == first["last_active_date"] == D(2026, 7, 1)
 
 
+def test_active_1d_of_large_logs_is_the_same(spark, events, user, tmp_path):
+    """Users listed twice, unknown and NULL ones; days of known users are not shuffled again."""
+    more = events.withColumn("user_id", F.when(F.col("event_id") == "e2", F.lit(None)).otherwise(F.col("user_id")))
+    more.unionByName(events).write.parquet(f"{tmp_path}/e")
+    twice, log = user.unionByName(user.limit(1)), spark.read.parquet(f"{tmp_path}/e")
+    wanted = summary.user_active_1d(log, twice, broadcast_bytes=1 << 40)
+    for rows in (1, 1_000_000):
+        out = summary.user_active_1d(log, twice, broadcast_bytes=-1, rows_per_split=rows)
+        assert collect(out, "user_id", "stat_date") == collect(wanted, "user_id", "stat_date")
+    assert "gid" in wanted._jdf.queryExecution().executedPlan().toString()
+    known = out.filter("user_id IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert known.count("Expand") <= 1
+
+
 def test_behavior_summary(events, task):
     cycle = detail.task_lifecycle(events, task)
     out = {r["user_id"]: r for r in summary.user_behavior_summary(events, cycle).collect()}
