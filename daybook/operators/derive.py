@@ -282,21 +282,26 @@ def event_transitions(
     time: str = "event_time",
     tie: str = "event_id",
     chunk_seconds: int = 60,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Counts of consecutive event types (from, to) within a session.
 
+    ``by`` names columns that are the same in all events of a session, such as its user:
+    events that are together by them are not shuffled again.
+
     A session may hold any share of the log, so it is cut into chunks of time. The events
     of a chunk are put in order once and stored as a list of types. Pairs inside a chunk
     are neighbours in its list; the pair across two chunks joins the last type of one to
     the first of the next, and only these are ordered per session.
     """
     rows = events.filter(F.col(session).isNotNull()).select(
+        *by,
         F.col(session).alias("session"),
         time_slot(F.col(time), chunk_seconds).alias("chunk"),
         F.struct(F.col(time).alias("at"), F.col(tie).alias("tie"), F.col("event_type").alias("type")).alias("event"),
     )
     types = F.transform(F.sort_array(F.collect_list("event")), lambda e: e["type"])
-    chunks = rows.groupBy("session", "chunk").agg(types.alias("types"))
+    chunks = rows.groupBy(*by, "session", "chunk").agg(types.alias("types"))
     chunks = publish(
         chunks.select(
             "session", "chunk", F.try_element_at("types", F.lit(1)).alias("first"),

@@ -14,22 +14,26 @@ from daybook.sources.files import publish
 SEPARATOR = " > "
 
 
-def session_chunks(rows: DataFrame, types: Sequence[str]) -> DataFrame:
+def session_chunks(rows: DataFrame, types: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``session, chunk, here, later``: the events of each chunk of a session in order,
     as ``(place, type)``, and for each of ``types`` its first place in a later chunk.
 
-    ``rows`` has ``session, chunk, place, type``. Only one row for each chunk is ordered
-    per session.
+    ``rows`` has ``session, chunk, place, type`` and the columns ``by``, which are the same
+    in all rows of a session. Only one row for each chunk is ordered per session. Sessions
+    with a single row are left out, as nothing follows it.
     """
     firsts = [F.min(F.when(F.col("type") == t, F.col("place"))).alias(f"first_{i}") for i, t in enumerate(types)]
-    chunks = rows.groupBy("session", "chunk").agg(
+    chunks = rows.groupBy(*by, "session", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("place", "type"))).alias("here"), *firsts
     )
-    backwards = (
-        Window.partitionBy("session").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    in_order = Window.partitionBy(*by, "session").orderBy(F.desc("chunk"))
+    backwards = in_order.rowsBetween(Window.unboundedPreceding, -1)
     later = F.array(*[F.min(f"first_{i}").over(backwards) for i in range(len(types))])
-    return chunks.withColumn("later", later).select("session", "chunk", "here", "later")
+    chunks = chunks.withColumns(
+        {"later": later, "next": F.lag("chunk").over(in_order), "last": F.lead("chunk").over(in_order)}
+    )
+    alone = (F.size("here") == 1) & F.col("next").isNull() & F.col("last").isNull()
+    return chunks.filter(~alone).select("session", "chunk", "here", "later")
 
 
 def _frequent(states: DataFrame, min_sessions: int) -> DataFrame:
@@ -65,6 +69,7 @@ def frequent_sequences(
     time: str = "event_time",
     tie: str = "event_id",
     chunk_seconds: int = 60,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``sequence, length, session_cnt``: the sequences of up to ``max_length`` event types
     that at least ``min_sessions`` sessions contain, in this order, with any events
@@ -78,29 +83,30 @@ def frequent_sequences(
 
     A session may hold any share of the log: it is cut into chunks of time, and a state is
     looked up in its chunk alone. Events without session, time or type take no part.
+    ``by`` names columns that are the same in all events of a session, such as its user:
+    events that are together by them are not shuffled again.
     """
     spark = events.sparkSession
     folder = scratch_path(spark, "sequences")
     rows = events.select(
+        *by,
         F.col(session).alias("session"),
         time_slot(F.col(time), chunk_seconds).alias("chunk"),
         F.struct(F.col(time).alias("at"), F.col(tie).alias("tie")).alias("place"),
         F.col("event_type").alias("type"),
     ).filter("session IS NOT NULL AND chunk IS NOT NULL AND type IS NOT NULL")
-    first = rows.groupBy("session", "type").agg(F.min("place").alias("place"))
-    states = publish(
-        first.select(
-            "session", F.array("type").alias("seq"), "place",
-            time_slot(F.col("place.at"), chunk_seconds).alias("chunk"),
-        ),
-        folder, "level_1",
-    )
-    found = publish(_frequent(states, min_sessions), folder, "frequent_1")
+    single = rows.select(*by, "session", "type").distinct().select(F.array("type").alias("seq"))
+    found = publish(_frequent(single, min_sessions), folder, "frequent_1")
     # Event types are a vocabulary of the application, not of the data's size.
     types = sorted(r.seq[0] for r in found.select("seq").collect())
     result = found
     if types and max_length > 1:
-        chunks = publish(session_chunks(rows.filter(F.col("type").isin(types)), types), folder, "chunks")
+        chunks = publish(session_chunks(rows.filter(F.col("type").isin(types)), types, by), folder, "chunks")
+        first = chunks.select("session", F.inline("here")).groupBy("session", "type").agg(F.min("place").alias("place"))
+        states = first.select(
+            "session", F.array("type").alias("seq"), "place",
+            time_slot(F.col("place.at"), chunk_seconds).alias("chunk"),
+        )
     for length in range(2, max_length + 1 if types else 0):
         kept = states.join(found.select("seq"), "seq", "left_semi")
         states = publish(_grown(kept, chunks, types, chunk_seconds), folder, f"level_{length}")

@@ -45,6 +45,33 @@ def test_frequent_sequences_follow_the_definition(spark, seed, chunk):
     assert all(r.length == len(r.sequence.split(" > ")) for r in out.collect())
 
 
+def test_sequences_and_transitions_by_user_shuffle_the_log_once(spark, tmp_path):
+    """The same rows as without ``by``; what is together by user stays where it is."""
+    _, events = events_of(spark, 5)
+    events.withColumn("user_id", F.col("session_id")).write.parquet(f"{tmp_path}/e")
+    dealt = spark.read.parquet(f"{tmp_path}/e").repartition("user_id")
+    plain, together = (sequences.frequent_sequences(dealt, 8, 3, by=by) for by in ((), ["user_id"]))
+    assert collect(plain) == collect(together)
+    plain, together = (derive.event_transitions(dealt, by=by) for by in ((), ["user_id"]))
+    assert collect(plain) == collect(together)
+    rows = dealt.selectExpr(
+        "user_id", "session_id AS session", "floor(second(event_time) / 10) AS chunk",
+        "struct(event_time AS at, event_id AS tie) AS place", "event_type AS type",
+    ).filter("session IS NOT NULL")
+    chunks = sequences.session_chunks(rows, list("abcd"), ["user_id"])
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_sessions_with_one_event_are_counted_but_not_stored(spark):
+    _, events = events_of(spark, 6, most=2)
+    rows = events.selectExpr(
+        "session_id AS session", "0 AS chunk", "struct(event_time AS at, event_id AS tie) AS place", "event_type AS type"
+    ).filter("session IS NOT NULL")
+    assert {r.session for r in sequences.session_chunks(rows, list("abcd")).collect()} == {"hot"}
+    singles = {r.sequence: r.session_cnt for r in sequences.frequent_sequences(events, 1, 1).collect()}
+    assert singles == {r.type: r.n for r in rows.groupBy("type").agg(F.countDistinct("session").alias("n")).collect()}
+
+
 def test_sequences_of_nothing(spark):
     _, events = events_of(spark, 1)
     assert sequences.frequent_sequences(events.filter("false"), 1).collect() == []
