@@ -56,11 +56,11 @@ class EliasFano:
         packed = np.zeros(0, np.uint8)
         if low:
             shifts = np.arange(low, dtype=np.uint64)
-            parts = [
-                ((values[i : i + (1 << 17), None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
-                for i in range(0, n, 1 << 17)
-            ]
-            packed = np.packbits(np.concatenate(parts) if parts else packed, bitorder="little")
+            # Some numbers at a time, a multiple of eight: their bits fill whole bytes.
+            packed = np.concatenate([packed, *(
+                np.packbits(((values[i : i + (1 << 14), None] >> shifts) & np.uint64(1)).astype(np.uint8), bitorder="little")
+                for i in range(0, n, 1 << 14)
+            )])
         self.packed = levels.map(np.r_[packed, np.zeros(9, np.uint8)])
 
     def _low(self, at: np.ndarray) -> np.ndarray:

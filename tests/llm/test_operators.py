@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daybook.llm import chat, components, exact_dedup, line_dedup, lm, mixing, queries, quality, search
+from daybook.llm import blocks, chat, components, exact_dedup, line_dedup, lm, mixing, queries, quality, search
 from daybook.llm import sentencepiece, simhash, substring
-from daybook.llm.common import running_total
+from daybook.llm.common import running_total, small_batches
 from daybook.llm.elias_fano import EliasFano, Levels
 
 SAMPLE = "/root/testdata/sf0.001"
@@ -257,6 +257,66 @@ def test_lm_scores(odd, sample, monkeypatch):
             assert g[6] == pytest.approx(e[6], rel=0.02, abs=0.05)
 
 
+def test_words_are_looked_up_in_packed_rows(spark):
+    """A block asks each part of the vocabulary once; odd words and words without a row."""
+    texts_ = ["a b \u00e9t\u00e9 a \U0001f600", None, "", "c a \x00 zz " + "w " * 50, "b", " ".join(f"w{i}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string").repartition(3)
+    packed = blocks.pack(docs, lower=False).localCheckpoint()
+    known = {w: (n, n * n + (1 << 33)) for n, w in enumerate(["a", "\u00e9t\u00e9", "\U0001f600", "\x00", "b", "x", *(f"w{i}" for i in range(0, 3000, 2))])}
+    words_ = spark.createDataFrame([(w, *x) for w, x in known.items()], "word string, id bigint, c bigint")
+    parts = 7
+    rows = blocks.answered(packed, blocks.looked_up(packed, words_, parts)).toArrow()
+    seen = set()
+    for row, batch in enumerate(rows.to_batches(max_chunksize=1)):
+        block = blocks.unpack(batch, 0)
+        found = batch.column(5)[0]
+        assert len(found.as_py() or ()) <= parts
+        ids, counts = blocks.of_words(block.words, found, parts)
+        got = [None if i < 0 else (i, c) for i, c in zip(ids.tolist(), counts.tolist())]
+        assert got == [known.get(w.decode()) for w in block.words]
+        seen.update(block.words)
+    assert len(seen) > 3000
+    assert blocks.looked_up(packed.filter("false"), words_, parts).count() == 0
+    assert blocks.looked_up(packed, words_.filter("false"), parts).count() == packed.filter("length(words) > 0").count()
+
+
+def test_batches_of_blocks_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(20, numPartitions=1).selectExpr("id", "repeat('x', 3000000) AS word")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(key, None)
+    with small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) == 20 and max(got) <= 4
+    assert spark.conf.get(key, None) == before
+
+
+def test_pairs_of_a_shard_need_bounded_memory():
+    """What a shard is asked is not held several times over."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    sizes, rows = lm.Sizes(10**8, 10**6, 10**5, 0, 1, 1), []
+    for b in range(60):
+        contexts = np.unique(rng.integers(0, 10**6, 5_000)).astype(np.uint64)
+        held = np.full(len(contexts), 4, np.uint32)
+        asked = rng.integers(0, 10**6, 4 * len(contexts)).astype(np.uint64)
+        train = rng.integers(0, 3, len(asked)).astype(np.uint32)
+        totals = contexts % np.uint64(50) + np.uint64(20)
+        rows.append((0, b, *map(blocks.planes, (contexts, totals, held, asked, train))))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), lm._ASK.types)], schema=lm._ASK)
+    tracemalloc.start()
+    out = lm._answer(sizes, lm.DISCOUNT)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 60
+    assert peak < 90 << 20
+
+
 # --- simhash ------------------------------------------------------------------------------
 
 
