@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from daybook.llm import blocks, chat, components, exact_dedup, line_dedup, lm, mixing, queries, quality, search
 from daybook.llm import sentencepiece, simhash, substring
+from daybook.llm.blocks import NO_ID
 from daybook.llm.common import running_total, small_batches
 from daybook.llm.elias_fano import EliasFano, Levels
 
@@ -506,6 +507,38 @@ def test_search(odd, sample, monkeypatch):
         assert multiset(got) == search_expected(texts(docs), texts(asked))
 
 
+def test_small_query_blocks_share_a_round(spark, odd, monkeypatch):
+    """Shards are sent once for each round, so query blocks of a few words are no rounds
+    of their own; when queries need several rounds, results are the same."""
+    rounds = []
+    sequence = F.sequence
+    monkeypatch.setattr(search.F, "sequence", lambda a, b: rounds.append(b) or sequence(a, b))
+    asked = odd.filter("doc_id <> 8").repartition(40)
+    got = search.search(odd, asked).withColumn("score", F.round("score", 6))
+    assert multiset(got) == search_expected(texts(odd), texts(asked))
+    assert str(rounds[0]) == str(F.lit(0))
+    monkeypatch.setattr(search, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(search, "FIRST", 0)
+    again = search.search(odd, asked).withColumn("score", F.round("score", 6))
+    assert str(rounds[2]) != str(F.lit(0))
+    assert multiset(again) == multiset(got)
+
+
+def test_search_in_empty_texts(spark):
+    """A shard without a term, a query without a word."""
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id bigint, text string").coalesce(1)
+    both = docs.union(spark.createDataFrame([(4, "a b")], "doc_id bigint, text string"))
+    assert search.search(docs, both).count() == 0
+    assert [r.doc_id for r in search.search(both, both).collect()] == [4]
+
+
+def test_squeezed_numbers():
+    for values in (np.zeros(0, np.int64), np.arange(-5, 2000), np.array([NO_ID, 7, -1]), np.arange(9, dtype=np.uint32)):
+        raw = blocks.squeeze(values)
+        assert blocks.unsqueeze(raw, values.dtype).tolist() == values.tolist()
+    assert len(blocks.squeeze(np.arange(1 << 16) % 100)) < 1 << 17
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
@@ -637,7 +670,7 @@ def test_pipeline(spark, sample):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "labels", "conversations"):
+    for table in ("documents", "labels", "conversations", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SAMPLE}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SAMPLE)
     found = connection.execute(queries.ORACLE_SQL[name])
