@@ -524,6 +524,36 @@ def test_small_query_blocks_share_a_round(spark, odd, monkeypatch):
     assert multiset(again) == multiset(got)
 
 
+def test_groups_find_few_rows(spark, monkeypatch):
+    """Groups know the score that a query has reached in the waves before: what they find
+    does not grow with their number. Of copies, those with the smallest ids are found."""
+    rng = np.random.default_rng(5)
+    chance = 1 / np.arange(1, 301)
+    texts_of = [" ".join(f"w{w}" for w in rng.choice(300, n, p=chance / chance.sum())) for n in rng.integers(5, 60, 1280)]
+    rows = [(i, texts_of[7 if i % 9 == 4 else i]) for i in range(1280)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(32, "doc_id")
+    asked = docs.filter("doc_id % 40 = 0 OR doc_id = 13").coalesce(1)
+    found = spark.sparkContext.accumulator(0)
+    make = search._search
+
+    def counted(*settings):
+        work = make(*settings)
+
+        def count(shards, queries):
+            result = work(shards, queries)
+            found.add(result.num_rows)
+            return result
+
+        return count
+
+    monkeypatch.setattr(search, "_search", counted)
+    monkeypatch.setattr(search, "GROUP", 1)
+    monkeypatch.setattr(search, "DOC_BLOCK", 8)
+    got = search.search(docs, asked).withColumn("score", F.round("score", 6))
+    assert multiset(got) == search_expected(rows, texts(asked))
+    assert found.value < 33 * search.K * 10
+
+
 def test_search_in_empty_texts(spark):
     """A shard without a term, a query without a word."""
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id bigint, text string").coalesce(1)
