@@ -1,8 +1,10 @@
 """Training-data operators against brute force, on odd rows and sample tables."""
 
 import hashlib
+import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,6 +260,24 @@ def test_lm_scores(odd, sample, monkeypatch):
             assert g[6] == pytest.approx(e[6], rel=0.02, abs=0.05)
 
 
+def test_packed_words(spark):
+    """Words are what white space of ASCII leaves, whatever else a text has; numbers of
+    words go by first place."""
+    every = "".join(map(chr, range(256)))
+    rows = [(1, every), (None, None), (3, ""), (4, "  Éa\x0b\x0cB\r\n b\x1cb\x85 "), (5, "B b\x00 B É"), (6, " "), (7, every)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for lowered in (False, True):
+        found = []
+        for batch in blocks.pack(docs, lower=lowered).toArrow().to_batches():
+            for row in range(batch.num_rows):
+                block = blocks.unpack(batch, row)
+                assert list(dict.fromkeys(block.tokens.tolist())) == list(range(len(block.words)))
+                of_block = [block.words[t] for t in block.tokens]
+                cuts = itertools.pairwise([0, *block.ends.tolist()])
+                found += [(None if i == NO_ID else i, of_block[a:b]) for i, (a, b) in zip(block.ids.tolist(), cuts)]
+        assert found == [(i, words(lower(t) if lowered else t)) for i, t in rows]
+
+
 def test_words_are_looked_up_in_packed_rows(spark):
     """A block asks each part of the vocabulary once; odd words and words without a row."""
     texts_ = ["a b \u00e9t\u00e9 a \U0001f600", None, "", "c a \x00 zz " + "w " * 50, "b", " ".join(f"w{i}" for i in range(3000))]
@@ -554,6 +574,58 @@ def test_groups_find_few_rows(spark, monkeypatch):
     assert found.value < 33 * search.K * 10
 
 
+def test_an_index_is_made_once_for_many_query_words(spark, monkeypatch):
+    """Twelve blocks' worth of query words meet an index in one round; queries that are
+    answered some at a time, in any order, have the same results."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.3, 30) % 90)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6, "doc_id")
+    asked = docs.filter("doc_id % 2 = 0").repartition(16, "doc_id")
+    made = spark.sparkContext.accumulator(0)
+    make = search._search
+
+    def counted(*settings):
+        work = make(*settings)
+
+        def count(shards, queries):
+            made.add(int(shards.num_rows > 0 and queries.num_rows > 0))
+            return work(shards, queries)
+
+        return count
+
+    monkeypatch.setattr(search, "_search", counted)
+    monkeypatch.setattr(search, "BLOCK_WORDS", 200)  # for 2400 query words
+    want = search_expected(rows, texts(asked))
+    assert multiset(search.search(docs, asked).withColumn("score", F.round("score", 6))) == want
+    assert made.value == 1
+    monkeypatch.setattr(search, "AT_ONCE", 100)
+    monkeypatch.setattr(search, "DOC_BLOCK", 8)
+    assert multiset(search.search(docs, asked).withColumn("score", F.round("score", 6))) == want
+
+
+def test_an_index_takes_little_memory():
+    """Groups are as large as their indexes allow: what an index takes while it is made."""
+    rng = np.random.default_rng(9)
+    rows, entries = [], 0
+    for shard in range(4):
+        n, terms = 500, np.sort(rng.choice(20_000, 5_000, replace=False))
+        held = rng.integers(1, 40, len(terms))
+        docs = np.concatenate([np.sort(rng.choice(n, h, replace=False)) for h in held])
+        arrays = {
+            "ids": np.arange(n) + n * shard, "lengths": np.bincount(docs, minlength=n) * 2, "tops": rng.integers(0, 9, n),
+            "terms": terms, "frequency": held * 4, "held": held.astype(np.uint32), "docs": docs.astype(np.uint32),
+            "counts": np.full(len(docs), 2, np.uint32),
+        }
+        rows.append({"shard": shard} | {name: blocks.squeeze(a) for name, a in arrays.items()})
+        entries += len(docs)
+    search.Index(rows, 8_000, 400.0)
+    tracemalloc.start()
+    index = search.Index(rows, 8_000, 400.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.ids) == 2_000 and peak < 60 * entries
+
+
 def test_search_in_empty_texts(spark):
     """A shard without a term, a query without a word."""
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id bigint, text string").coalesce(1)
